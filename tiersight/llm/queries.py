@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiersight.llm import mixing, topk, urls
+from tiersight.llm import lattice, mixing, quality, simhash, topk, urls
 
 RULES = [
     urls.rule_of("block", "com/en/"),
@@ -25,11 +25,24 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = urls.url_verdicts(table(spark, sf_dir, "pages"), RULES)
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -85,8 +98,10 @@ LEFT JOIN alias l ON p.full_url AND l.name = p.host || p.path || p.query
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mixing, op8_url_filter, op10_exact_top_k)}
+    return {f.__name__: f for f in (
+        op3_source_mixing, op4_simhash_near_dedup, op7_embedding_near_dedup, op8_url_filter, op9_quality_classifier, op10_exact_top_k,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.MIX_SQL, "op8_url_filter": URL_SQL, "op10_exact_top_k": topk.TOP_K_SQL}
+    return {"op3_source_mixing": mixing.MIX_SQL, "op7_embedding_near_dedup": lattice.NEAR_VECTORS_SQL, "op8_url_filter": URL_SQL, "op10_exact_top_k": topk.TOP_K_SQL}
