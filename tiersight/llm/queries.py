@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiersight.llm import lattice, mixing, quality, simhash, topk, urls
+from tiersight.llm import genetic, lattice, mixing, packing, quality, simhash, topk, urls
 
 RULES = [
     urls.rule_of("block", "com/en/"),
@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_matrices(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genetic.genetic_packing(table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -99,7 +107,7 @@ LEFT JOIN alias l ON p.full_url AND l.name = p.host || p.path || p.query
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op3_source_mixing, op4_simhash_near_dedup, op7_embedding_near_dedup, op8_url_filter, op9_quality_classifier, op10_exact_top_k,
+        op1_token_matrices, op3_source_mixing, op4_simhash_near_dedup, op5_best_fit_packing, op7_embedding_near_dedup, op8_url_filter, op9_quality_classifier, op10_exact_top_k,
     )}
 
 
