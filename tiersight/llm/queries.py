@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiersight.llm import genetic, lattice, mixing, packing, quality, simhash, topk, urls
+from tiersight.llm import genetic, html_text, lattice, mixing, packing, quality, simhash, topk, urls
 
 RULES = [
     urls.rule_of("block", "com/en/"),
@@ -37,6 +37,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genetic.genetic_packing(table(spark, sf_dir, "documents"))
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -107,7 +111,7 @@ LEFT JOIN alias l ON p.full_url AND l.name = p.host || p.path || p.query
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_token_matrices, op3_source_mixing, op4_simhash_near_dedup, op5_best_fit_packing, op7_embedding_near_dedup, op8_url_filter, op9_quality_classifier, op10_exact_top_k,
+        op1_token_matrices, op3_source_mixing, op4_simhash_near_dedup, op5_best_fit_packing, op6_html_main_text, op7_embedding_near_dedup, op8_url_filter, op9_quality_classifier, op10_exact_top_k,
     )}
 
 
