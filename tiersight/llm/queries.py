@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiersight.llm import genetic, html_text, lattice, mixing, packing, quality, simhash, topk, urls
+from tiersight.llm import genetic, html_text, lattice, mixing, packing, passages, quality, simhash, topk, urls
 
 RULES = [
     urls.rule_of("block", "com/en/"),
@@ -25,6 +25,10 @@ def op1_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_matrices(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -111,7 +115,7 @@ LEFT JOIN alias l ON p.full_url AND l.name = p.host || p.path || p.query
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_token_matrices, op3_source_mixing, op4_simhash_near_dedup, op5_best_fit_packing, op6_html_main_text, op7_embedding_near_dedup, op8_url_filter, op9_quality_classifier, op10_exact_top_k,
+        op1_token_matrices, op2_substring_dedup, op3_source_mixing, op4_simhash_near_dedup, op5_best_fit_packing, op6_html_main_text, op7_embedding_near_dedup, op8_url_filter, op9_quality_classifier, op10_exact_top_k,
     )}
 
 

@@ -41,12 +41,15 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     same ids several times faster. All others go through tokenizers itself.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(path)
+    @lru_cache(maxsize=1)
+    def exact():  # loaded where a text needs it
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
 
     def slow(text: str) -> np.ndarray:
-        return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(exact().encode(text, add_special_tokens=False).ids, np.uint32)
 
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
