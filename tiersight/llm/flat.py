@@ -6,6 +6,8 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _RANDOM = np.random.default_rng(20_240_501)
 #: A number for each byte; A-Z have those of a-z.
@@ -52,13 +54,24 @@ def words_of(texts: list[bytes]) -> Words:
     return Words(data, first, start, end, mixed(np.add.reduceat(value, np.concatenate(([0], np.cumsum(length)[:-1])))))
 
 
-def chunks(texts: list[bytes], size: int = 1 << 20, most: int = 1024) -> Iterator[tuple[int, int]]:
-    """Ranges of up to `most` texts, of about `size` bytes together, at least one text each."""
+def _ranges(lengths: list[int], size: int, most: int) -> Iterator[tuple[int, int]]:
     lo = held = 0
-    for i, text in enumerate(texts):
-        if i > lo and (held + len(text) > size or i - lo == most):
+    for i, length in enumerate(lengths):
+        if i > lo and (held + length > size or i - lo == most):
             yield lo, i
             lo, held = i, 0
-        held += len(text)
-    if lo < len(texts):
-        yield lo, len(texts)
+        held += length
+    if lo < len(lengths):
+        yield lo, len(lengths)
+
+
+def parts(batch: pa.RecordBatch, column: str, size: int = 1 << 20, most: int = 1024) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `size` bytes of a text column, so that few texts are Python objects at once."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    for lo, hi in _ranges(lengths, size, most):
+        yield batch.slice(lo, hi - lo)
+
+
+def utf8(column: pa.Array) -> list[bytes]:
+    """The texts' bytes, null as empty."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]

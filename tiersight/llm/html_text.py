@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiersight.llm.flat import parts
 from tiersight.llm.sample_pages import labelled_pages
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -286,8 +287,7 @@ def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for part in parts(batch, "html"):
                 texts = main_texts(shared.value, part.column("html").to_pylist())
                 columns = [part.column(f.name) for f in taken]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*(f.name for f in taken), "text", "n_chars"])

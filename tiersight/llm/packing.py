@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,37 +144,40 @@ def packed_matrices(docs: DataFrame, length: int = 2048, end_id: int = 50256, pa
     short = cut.where(F.col("length") < length)
     placed, bins = places(short.select("row", "length"), length)
 
-    def lay(sequence_id: int, content: list[tuple]) -> tuple:
-        ids = np.concatenate([np.frombuffer(p.ids, wide) for p in content])
-        ends = np.cumsum([p.length for p in content])
+    def lay(sequence_id: int, content: list[dict]) -> tuple:
+        ids = np.concatenate([np.frombuffer(p["ids"], wide) for p in content])
+        sizes = [p["length"] for p in content]
+        ends = np.cumsum(sizes)
         row, at = np.full(length, pad_id, wide), np.zeros(length, spaced)
         row[: len(ids)] = ids
-        at[: len(ids)] = np.arange(len(ids)) - np.repeat(ends - [p.length for p in content], [p.length for p in content])
-        doc_ids = [None if pd.isna(p.doc_id) else int(p.doc_id) for p in content]
-        return sequence_id, row.tobytes(), at.tobytes(), [0, *ends.tolist()], len(ids), doc_ids, [p.piece for p in content], [p.start for p in content]
+        at[: len(ids)] = np.arange(len(ids)) - np.repeat(ends - sizes, sizes)
+        return sequence_id, row.tobytes(), at.tobytes(), [0, *ends.tolist()], len(ids), *([p[k] for p in content] for k in ("doc_id", "piece", "start"))
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
         names = ["sequence_id", "ids", "position_ids", "cu_seqlens", "n_tokens", "doc_ids", "pieces", "starts"]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
         rows, content = [], []
-        for pdf in batches:
-            for p in pdf.itertuples():
-                if content and content[0].sequence_id != p.sequence_id:
-                    rows.append(lay(content[0].sequence_id, content))
-                    content = []
-                    if len(rows) == 512:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-                content.append(p)
+        for batch in batches:
+            for part in tokens.parts(batch, "ids"):
+                for p in part.to_pylist():
+                    if content and content[0]["sequence_id"] != p["sequence_id"]:
+                        rows.append(lay(content[0]["sequence_id"], content))
+                        content = []
+                        if len(rows) == 256:
+                            yield made(rows)
+                            rows = []
+                    content.append(p)
         if content:
-            rows.append(lay(content[0].sequence_id, content))
-        yield pd.DataFrame(rows, columns=names)
+            rows.append(lay(content[0]["sequence_id"], content))
+        yield made(rows)
 
     schema = "sequence_id long, ids binary, position_ids binary, cu_seqlens array<int>, n_tokens int, doc_ids array<long>, pieces array<int>, starts array<long>"
     part = ["doc_id", "piece", "start", "length", "ids"]
     dealt = short.join(placed, "row").select("sequence_id", "offset", *part).repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
     # whole pieces are sequences already and are not dealt out again
     whole = cut.where(F.col("length") >= length).select((F.col("row") + bins).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *part)
-    return dealt.mapInPandas(each, schema).unionAll(whole.mapInPandas(each, schema))
+    return dealt.mapInArrow(each, schema).unionAll(whole.mapInArrow(each, schema))
 
 
 def write_packed(packed: DataFrame, path: str, sequences_per_file: int = 65_536) -> None:

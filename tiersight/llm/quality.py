@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiersight.llm.flat import chunks, mixed, words_of
+from tiersight.llm.flat import mixed, parts, utf8, words_of
 
 WORDS, SHAPES, LENGTHS = 1024, 1024, 24
 TERMS = WORDS + SHAPES + LENGTHS + 1
@@ -122,11 +122,10 @@ def sample_counts(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[np
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            for lo, hi in chunks(texts):
-                counts = term_counts(texts[lo:hi]).astype(np.float32)
+            for part in parts(batch, "text"):
+                counts = term_counts(utf8(part.column("text")))
                 packed = pa.array([zlib.compress(c.tobytes(), 1) for c in counts], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("id")[lo:hi], packed, batch.column("quality")[lo:hi]], ["id", "counts", "quality"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), packed, part.column("quality")], ["id", "counts", "quality"])
 
     found: dict[int, tuple[bytes, int]] = {}
     for r in rows.mapInArrow(each, "id long, counts binary, quality int").toLocalIterator():
@@ -155,12 +154,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 4096, thr
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            scores = np.full(len(texts), 0.5)
-            if model is not None:
-                for lo, hi in chunks(texts):
-                    scores[lo:hi] = score(model, term_counts(texts[lo:hi]))
+        for batch in (part for whole in batches for part in parts(whole, "text")):
+            scores = np.full(batch.num_rows, 0.5) if model is None else score(model, term_counts(utf8(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], schema=pa.schema([*batch.schema, *schema]))
 
     typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiersight.llm.flat import parts, utf8
 from tiersight.operators.graph import components
 from tiersight.operators.staging import stage
 
@@ -29,9 +30,9 @@ SLICE = 1 << 17
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def shingle_hashes(text: str | None, words: int = 3) -> Iterator[np.ndarray]:
+def shingle_hashes(text: bytes, words: int = 3) -> Iterator[np.ndarray]:
     """Unsigned XXH64 of each shingle's UTF-8 bytes, in slices."""
-    found = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
+    found = text.lower().split()  # of bytes: A-Z and ASCII white space only
     if not found:
         return
     joined = b" ".join(found)
@@ -44,7 +45,7 @@ def shingle_hashes(text: str | None, words: int = 3) -> Iterator[np.ndarray]:
         yield np.fromiter((digest(joined[a:b], SEED) for a, b in zip(lo, hi)), np.uint64, len(lo))
 
 
-def fingerprints(texts: list[str | None], words: int = 3) -> np.ndarray:
+def fingerprints(texts: list[bytes], words: int = 3) -> np.ndarray:
     """A bit is set if it is set in over half of the text's shingle hashes; no words give zero."""
     out = np.zeros(len(texts), np.uint64)
     hashes: list[np.ndarray] = []
@@ -87,8 +88,9 @@ def with_fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = fingerprints(batch.column("text").to_pylist(), words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            for part in parts(batch, "text"):
+                fp = fingerprints(utf8(part.column("text")), words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, fp long")
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiersight.llm.flat import parts
 from tiersight.operators.staging import stage
 
 #: The word pattern of byte-level BPE vocabularies with 50,257 ids, as their publishers give it.
@@ -100,7 +101,7 @@ def pieces(docs: DataFrame, length: int, end_id: int, path: str, with_ids: bool)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, "text")):
             ids_of = batch.column("doc_id").to_pylist()
             columns: list[list] = [[], [], [], [], [], []]
             held = 0
@@ -114,8 +115,8 @@ def pieces(docs: DataFrame, length: int, end_id: int, path: str, with_ids: bool)
                     c.clear()
                 return out
 
-            for doc_id, text in zip(ids_of, batch.column("text")):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+            for doc_id, text in zip(ids_of, batch.column("text").to_pylist()):
+                ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
                 for k, (at, size) in enumerate(cut(len(ids), length)):
                     part = ids[at : at + size]
                     row = (doc_id, k, at, size, zlib.crc32(part.tobytes()), part.astype(width).tobytes() if with_ids else None)

@@ -1,0 +1,106 @@
+"""Search of names."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tiersight.functions import text as names
+from tiersight.operators import textsearch
+from tiersight.queries.base import Tables, query
+
+ASKED = ["lavender", "rose red", "lav", "roze", "red pink", "zz", "part 12", "light", "blue steel", "smoke"]
+GRAMS = "list_transform(range(1, greatest(length({s}) - 1, 2)), lambda i: substr({s}, i, 3))"
+NORMAL = r"trim(regexp_replace(regexp_replace(translate(lower({s}), '’''`‘-–—_/.,()', '              '), '[^\p{{L}}\p{{N}} ]+', '', 'g'), '\s+', ' ', 'g'))"
+ARTICLES_SQL = ", ".join(f"'{a}'" for a in names.ARTICLES)
+
+
+def skeleton_sql(s: str) -> str:
+    out = s
+    for pattern, to in names.CHAT:
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    out = f"array_to_string(list_filter(string_split({out}, ' '), lambda w: w NOT IN ({ARTICLES_SQL})), '')"
+    for pattern, to in names.SOUNDS:
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    squeezed = f"array_to_string(list_transform(range(1, length({out}) + 1), lambda i: CASE WHEN i > 1 AND substr({out}, i, 1) = substr({out}, i - 1, 1) THEN '' ELSE substr({out}, i, 1) END), '')"
+    return f"CASE WHEN regexp_matches({s}, '[^a-z0-9 ]') THEN '' ELSE {squeezed} END"
+
+
+def name_units(t: Tables):
+    rows = t.part.groupBy("p_name").agg(F.min("p_partkey").alias("entry"))
+    return rows.select("entry", (F.col("entry") % 3).cast("int").alias("level_rank"), F.col("p_name").alias("name"), F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("slug"))
+
+
+UNITS_SQL = f"""u AS (SELECT min(p_partkey) AS entry, (min(p_partkey) % 3)::INTEGER AS level_rank, {NORMAL.format(s='p_name')} AS name, replace(lower(replace(p_name, ' ', '-')), '-', ' ') AS slug FROM part GROUP BY p_name)"""
+
+
+@query(f"WITH {UNITS_SQL}, g AS (SELECT entry, unnest(list_distinct({GRAMS.format(s='name')})) AS gram FROM u) SELECT gram, count(*) AS entries, min(entry) AS first FROM g GROUP BY gram")
+def trigram_postings(spark, sf_dir):
+    index = textsearch.build_index(name_units(Tables(spark, sf_dir)), decompose=False)
+    return index.postings.groupBy("gram").agg(F.count("*").alias("entries"), F.min("entry").alias("first"))
+
+
+@query(f"WITH {UNITS_SQL}, b AS (SELECT entry, name, {skeleton_sql('name')} AS bones FROM u) SELECT bones, count(*) AS n, min(entry) AS first FROM b WHERE length(bones) >= 2 GROUP BY bones")
+def skeleton_index(spark, sf_dir):
+    index = textsearch.build_index(name_units(Tables(spark, sf_dir)), decompose=False)
+    return index.entries.where(F.length("bones") >= 2).groupBy("bones").agg(F.count("*").alias("n"), F.min("entry").alias("first"))
+
+
+SEARCH_SQL = f"""WITH {UNITS_SQL}, e AS (SELECT *, len({GRAMS.format(s='name')}) AS grams, {skeleton_sql('name')} AS bones FROM u),
+asked(query) AS (VALUES {', '.join(f"('{a}')" for a in ASKED)}), q0 AS (SELECT query, {NORMAL.format(s='query')} AS q FROM asked),
+q AS (SELECT *, len({GRAMS.format(s='q')}) AS q_grams, {skeleton_sql('q')} AS q_bones FROM q0 WHERE q <> ''),
+o AS (SELECT q.query, e.entry, len(list_intersect({GRAMS.format(s='q.q')}, {GRAMS.format(s='e.name')})) AS overlap, length(q_bones) >= 2 AND q_bones = bones AS spelt, EXISTS (SELECT 1 FROM a WHERE a.alias = q.q AND a.entry = e.entry) AS aliased FROM q, e),
+s AS (
+  SELECT query, entry, level_rank, 200.0::DOUBLE * overlap / (grams + q_grams) AS dice, name = q OR slug = q AS same, aliased, spelt,
+    CASE WHEN starts_with(name, q) THEN name WHEN starts_with(slug, q) THEN slug END AS field, q FROM o JOIN q USING (query) JOIN e USING (entry) WHERE overlap > 0 OR spelt OR aliased
+), h AS (
+  SELECT query, entry, level_rank, CASE WHEN same OR aliased THEN 1000.0 WHEN field IS NOT NULL THEN 500.0 - least(499.0, length(field) - length(q)) WHEN spelt THEN 300.0::DOUBLE + dice ELSE dice END::DOUBLE AS score,
+    CASE WHEN same THEN 'exact' WHEN aliased THEN 'alias' WHEN field IS NOT NULL THEN 'prefix' WHEN spelt THEN 'spelling' ELSE 'trigram' END AS matched FROM s
+)
+SELECT query, entry, score, matched, row_number() OVER (PARTITION BY query ORDER BY score DESC, level_rank, entry)::INTEGER AS place FROM h WHERE score > 0 QUALIFY place <= 10"""
+
+
+@query(SEARCH_SQL.replace("asked(query)", "x AS (SELECT 'smoke' AS alias, min(entry) AS entry FROM u UNION ALL SELECT 'blue steel', max(entry) FROM u), a AS (SELECT alias, entry FROM x WHERE alias NOT IN (SELECT name FROM u)), asked(query)", 1))
+def name_search(spark, sf_dir):
+    units = name_units(Tables(spark, sf_dir))
+    aliases = units.agg(F.min("entry").alias("lo"), F.max("entry").alias("hi")).select(F.explode(F.array(F.struct(F.lit("smoke").alias("alias"), F.col("lo").alias("entry")), F.struct(F.lit("blue steel").alias("alias"), F.col("hi").alias("entry")))).alias("x")).select("x.*")
+    index = textsearch.build_index(units, aliases, decompose=False)
+    return textsearch.search(index, spark.createDataFrame([(a,) for a in ASKED], "query string"), decompose=False)
+
+
+@query("""WITH c AS (SELECT lpad(p_partkey::VARCHAR, 9, '0') AS digits, substr(lpad(p_partkey::VARCHAR, 9, '0'), 1, 5) || '.' || substr(lpad(p_partkey::VARCHAR, 9, '0'), 6) AS code FROM part),
+q(query) AS (VALUES ('7'), ('000000012'), ('00000.0015'), (' 19 '), ('abc'), ('1.2'))
+SELECT DISTINCT query, code FROM q JOIN c ON regexp_full_match(trim(query), '[0-9][0-9.]*') AND (trim(query) = code OR (NOT contains(query, '.') AND ltrim(trim(query), '0') = ltrim(digits, '0')))""")
+def code_search(spark, sf_dir):
+    digits = names.padded_code(F.col("p_partkey").cast("string"))
+    codes = Tables(spark, sf_dir).part.select(F.concat(F.substring(digits, 1, 5), F.lit("."), F.substring(digits, 6, 4)).alias("code"), digits.alias("digits"))
+    return textsearch.by_code(codes, spark.createDataFrame([(q,) for q in ("7", "000000012", "00000.0015", " 19 ", "abc", "1.2")], "query string"))
+
+
+@query("""SELECT p_partkey AS code, levenshtein(p_name, p_type)::DOUBLE / greatest(length(p_name), length(p_type), 1) AS apart,
+  1.0::DOUBLE - levenshtein(p_name, p_type)::DOUBLE / greatest(length(p_name), length(p_type), 1) AS close FROM part""")
+def letters_apart(spark, sf_dir):
+    a, b = F.col("p_name"), F.col("p_type")
+    close = F.lit(1.0) - names.letters_apart_share(a, b)
+    return Tables(spark, sf_dir).part.select(F.col("p_partkey").alias("code"), names.letters_apart_share(a, b).alias("apart"), close.alias("close"))
+
+
+@query(f"""SELECT p_partkey AS code, trim(regexp_replace(regexp_replace(lower(replace(p_name, ' ', '--')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug,
+  len(list_distinct({GRAMS.format(s="(' ' || replace(p_name, ' ', '') || ' ')")})) AS grams, substr(sha256(p_partkey || '|' || p_name), 1, 12) AS id, ('0x' || substr(sha256(p_partkey || ':' || p_name), 1, 8))::BIGINT AS seed,
+  trim(regexp_replace(translate(lower(p_type), '‘’()%.:·', '''''      '), '\\s+', ' ', 'g')) AS term FROM part""")
+def name_keys(spark, sf_dir):
+    """Slugs, padded trigrams, ids, seeds and term keys of names."""
+    code = F.col("p_partkey").cast("string")
+    slug = names.slugify(F.replace("p_name", F.lit(" "), F.lit("--")), decompose=False)
+    return Tables(spark, sf_dir).part.select(
+        F.col("p_partkey").alias("code"), slug.alias("slug"), F.size(names.padded_grams(F.replace("p_name", F.lit(" "), F.lit("-")))).cast("long").alias("grams"),
+        names.short_id(code, F.col("p_name")).alias("id"), names.seed_of(code, F.col("p_name")).alias("seed"), names.term_key(F.col("p_type")).alias("term"),
+    )
+
+
+@query()
+def folded_names(spark, sf_dir):
+    """Words of documents in several languages, folded, with their consonants."""
+    words = Tables(spark, sf_dir).documents.select("doc_id", F.explode(F.split("text", r"\s+")).alias("word")).select("word").distinct()
+    folded = words.withColumn("name", names.normalise(F.col("word")))
+    return folded.select("word", "name", names.skeleton(F.col("name")).alias("bones"))
