@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tiersight.llm import tokens
 from tiersight.operators.staging import stage
 
-#: Ranks are counted in parts of about this many pieces of one length.
-RANKED = 50_000
+#: Pieces of one length are counted in parts of about this many.
+RANKED = 1000
 #: Plans of up to this many rows (40 bytes each) are broadcast.
 SHIPPED = 200_000
 
@@ -108,9 +108,9 @@ def places(short: DataFrame, capacity: int) -> tuple[DataFrame, int]:
     spark = short.sparkSession
     counts = {r.length: r.n for r in short.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     moves, bins = plan(counts, capacity)
-    parts = max(counts.values(), default=0) // RANKED + 1
-    part = F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
-    ranked = short.select("row", "length", part.alias("part"))
+    parts = spark.createDataFrame([(length, n // RANKED + 1) for length, n in counts.items()] or [(0, 1)], "length long, parts long")
+    part = F.pmod(F.xxhash64("row"), F.col("parts"))
+    ranked = short.join(F.broadcast(parts), "length").select("row", "length", part.alias("part"))
     ranked = stage(ranked.withColumn("k", F.row_number().over(Window.partitionBy("length", "part").orderBy("row")) - 1))
     sizes = ranked.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
