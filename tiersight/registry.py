@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tiersight.queries import aggregates, demand, joins, lists, quality, search, statistics, windows  # noqa: F401
+from tiersight.queries import aggregates, demand, geography, joins, lists, quality, search, statistics, windows  # noqa: F401
 from tiersight.queries.base import QUERIES, SQL, Query
 
 
