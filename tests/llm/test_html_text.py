@@ -49,6 +49,11 @@ def test_layout_without_article(model):
     assert html_text.main_texts(model, [page]) == ["A <title> One two three. Four five é. Six seven, and more words here."]
 
 
+def test_head_ends_where_text_begins(model):
+    text = "Words of the article that stand in its first paragraph, and some more."
+    assert html_text.main_texts(model, [f"<html><head><title>No</title><article><p>{text}</article>"]) == [text]
+
+
 def test_odd_pages(model):
     pages = [None, "", "<", "<!-- <p>never closed", "</p></div>", "<script>x", "<p title='a>b", "<div>" * 3000 + "deep", "a" * 200_000]
     got = html_text.main_texts(model, pages)

@@ -46,6 +46,8 @@ def test_odd_rows(spark):
     want = plain_copies(docs.collect())
     assert counts == {i: n * (2 if i == 1 else 1) for i, n in want.items() if n}
     assert mixing.mix(docs.where("false")).count() == 0
+    same = mixing.mixed_rows(docs)
+    assert same.columns == docs.columns and {r.copy for r in same.collect()} <= {1, 2, 3, 4} and same.count() == sum(counts.values())
 
 
 def test_weights_and_large_means(spark):

@@ -23,7 +23,8 @@ def test_nulls_empty_texts_extra_columns_and_no_labels(spark):
     none = quality.quality_scores(docs, labels.where("false")).collect()
     assert [r.score for r in none] == [0.5] * 5
     assert quality.quality_scores(docs.where("false"), labels).count() == 0
-    assert quality.keep_good(docs, labels).columns == docs.columns
+    kept = quality.keep_good(docs, labels.where("false"))
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
 
 
 def test_term_counts_cover_the_whole_text():

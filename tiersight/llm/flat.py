@@ -8,6 +8,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 _RANDOM = np.random.default_rng(20_240_501)
 #: A number for each byte; A-Z have those of a-z.
@@ -54,6 +55,14 @@ def words_of(texts: list[bytes]) -> Words:
     return Words(data, first, start, end, mixed(np.add.reduceat(value, np.concatenate(([0], np.cumsum(length)[:-1])))))
 
 
+def free_name(base: str, df: DataFrame) -> str:
+    """A column name that a table doesn't have."""
+    names = {c.lower() for c in df.columns}
+    while base in names:
+        base = f"_{base}"
+    return base
+
+
 def _ranges(lengths: list[int], size: int, most: int) -> Iterator[tuple[int, int]]:
     lo = held = 0
     for i, length in enumerate(lengths):

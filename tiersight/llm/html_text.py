@@ -111,6 +111,7 @@ def parse(page: str) -> Page:
                     break
             continue
         if name in CLOSES_P:
+            close({"head"}, {"body"})
             close({"p"}, {"article", "section", "div", "td", "li", "blockquote", "body", "main", "aside", "footer", "header", "form"})
         if name in ENDS:
             close(*ENDS[name])

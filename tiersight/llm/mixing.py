@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiersight.llm.flat import free_name
 from tiersight.operators.staging import stage
 
 #: Means above this are drawn as a sum of equal parts, so that exp(-mean) stays a normal number.
@@ -64,21 +65,28 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     empty table gives an empty table. Columns of `docs` named copy or shuffle_key are replaced.
     """
     taken = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
+    return _mixed(docs.select(*taken), "copy", "shuffle_key", weights, power, epochs, seed)
+
+
+def mixed_rows(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, epochs: float = 1.0, seed: int = 42) -> DataFrame:
+    """The rows of `docs` as often as `mix` takes them, in random order, with their own columns only."""
+    return _mixed(docs, free_name("_copy", docs), free_name("_key", docs), weights, power, epochs, seed).select(*docs.columns)
+
+
+def _mixed(docs: DataFrame, copy: str, key: str, weights: dict[str, float] | None, power: float, epochs: float, seed: int) -> DataFrame:
+    source, cdf, number, count = (free_name(n, docs) for n in ("_source", "_cdf", "_parts", "_count"))
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
-    table = stage(
-        source_rates(docs, weights, power, epochs)
-        .select(F.col("source").alias("_source"), parts.alias("_parts"), (F.col("rate") / parts).alias("_mean"))
-        .select("_source", "_parts", poisson_cdf(F.col("_mean")).alias("_cdf"))
-    )
+    rates = source_rates(docs, weights, power, epochs).select(F.col("source").alias(source), parts.alias(number), (F.col("rate") / parts).alias("mean"))
+    table = stage(rates.select(source, number, poisson_cdf(F.col("mean")).alias(cdf)))
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     part = lambda i: uniform(F.lit(str(seed)), i.cast("string"), doc)
     # the number of k with P(X <= k) <= u; the table is sorted
-    below = lambda u: F.size(F.filter("_cdf", lambda c: c <= u))
-    count = F.aggregate(F.sequence(F.lit(0), F.col("_parts") - 1), F.lit(0), lambda n, i: n + below(part(i)))
-    drawn = docs.select(*taken).join(table, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_n", count).where("_n > 0")
-    copies = drawn.select(*taken, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
-    key = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), doc, F.col("copy").cast("string")).cast("binary"))
-    return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    below = lambda u: F.size(F.filter(cdf, lambda c: c <= u))
+    drawn = F.aggregate(F.sequence(F.lit(0), F.col(number) - 1), F.lit(0), lambda n, i: n + below(part(i)))
+    taken = docs.join(table, F.col("source").eqNullSafe(F.col(source))).withColumn(count, drawn).where(F.col(count) > 0)
+    copies = taken.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col(count) - 1)).alias(copy))
+    order = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), doc, F.col(copy).cast("string")).cast("binary"))
+    return copies.withColumn(key, order).repartition(key).sortWithinPartitions(key)
 
 
 MIX_SQL = """

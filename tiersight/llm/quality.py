@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiersight.llm.flat import mixed, parts, utf8, words_of
+from tiersight.llm.flat import free_name, mixed, parts, utf8, words_of
 
 WORDS, SHAPES, LENGTHS = 1024, 1024, 24
 TERMS = WORDS + SHAPES + LENGTHS + 1
@@ -147,23 +147,27 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 4096, thr
     Columns of `docs` named like a new one are replaced.
     """
     taken = [c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")]
+    out = _scored(docs.select(*taken), labels, fit_rows, "score")
+    apart = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return out.select(*taken, apart.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def _scored(docs: DataFrame, labels: DataFrame, fit_rows: int, name: str) -> DataFrame:
+    """`docs` and the score in a column of a name that they don't have."""
     counts, quality = sample_counts(docs, labels, fit_rows)
     shared = docs.sparkSession.sparkContext.broadcast(fit(counts, quality) if len(counts) else None)
-    kept = docs.select(*taken)
-    schema = pa.schema([("score", pa.float64())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in (part for whole in batches for part in parts(whole, "text")):
             scores = np.full(batch.num_rows, 0.5) if model is None else score(model, term_counts(utf8(batch.column("text"))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], schema=pa.schema([*batch.schema, *schema]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, name])
 
-    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    out = kept.mapInArrow(each, f"{typed}, score double")
-    apart = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return out.select(*taken, apart.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(each, f"{typed}, `{name}` double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = 4096, threshold: float = 0.3) -> DataFrame:
     """The rows of `docs` that the classifier accepts."""
-    return quality_scores(docs, labels, fit_rows, threshold).where("predicted = 1").select(*docs.columns)
+    score = free_name("_score", docs)
+    return _scored(docs, labels, fit_rows, score).where(F.col(score) >= threshold).select(*docs.columns)
