@@ -155,6 +155,9 @@ def features(page: Page) -> list[list[tuple]]:
         if e.parent >= 0:
             elements[e.parent].all_size += e.all_size
             elements[e.parent].all_linked += e.all_linked
+    for e in elements[1:]:
+        # a form that doesn't wrap most of the page is no text, whatever is in it
+        e.unseen |= elements[e.parent].unseen or (e.tag == "form" and 2 * e.all_size < elements[0].all_size)
     out = []
     for e in elements:
         above = elements[e.parent].tag if e.parent >= 0 else ""
@@ -263,7 +266,7 @@ def content_marginals(model: Model, pages: list[Page]) -> list[np.ndarray]:
 
 def text_of(page: Page, marginals: np.ndarray, least: float = 0.5) -> str:
     """Blocks of main text, white space turned into one space, joined by one space."""
-    parts = [" " if value is None else html_module.unescape(value) for i, value, _ in page.flow if value is None or marginals[i] >= least]
+    parts = [" " if value is None else html_module.unescape(value) for i, value, _ in page.flow if value is None or (marginals[i] >= least and not page.elements[i].unseen)]
     return " ".join("".join(parts).split())
 
 

@@ -57,7 +57,7 @@ class Layout:
         return (" | " if kind == 1 else " ").join(items)
 
     def menu(self) -> str:
-        return self.r.choice([f"<nav{self.named(MENU, 0.4)}>{self.links()}</nav>", f"<div{self.named(MENU)}>{self.links()}</div>", f"<ul{self.named(MENU)}>" + "".join(f'<li><a href="#">{self.words(1, 2)}</a></li>' for _ in range(4)) + "</ul>"])
+        return self.r.choice([f"<nav{self.named(MENU, 0.4)}>{self.links()}</nav>", f'<div role="navigation">{self.links()}</div>', f"<div{self.named(MENU)}>{self.links()}</div>", f"<ul{self.named(MENU)}>" + "".join(f'<li><a href="#">{self.words(1, 2)}</a></li>' for _ in range(4)) + "</ul>"])
 
     def ad(self) -> str:
         inner = self.r.choice([self.prose(1, 3), f"<p>{self.prose(1, 2)}</p>", f'<a href="/x">{self.sentence()}</a>', f"<h3>{self.words(1, 4)}</h3><p>{self.sentence()}</p>"])
@@ -71,18 +71,18 @@ class Layout:
 
     def form(self) -> str:
         inner = f"<label>{self.words(1, 4)}</label><input name=q><select><option>{self.word()}<option>{self.word()}</select><button>{self.word()}</button>"
-        inner = self.r.choice(["", f"<p>{self.prose(1, 2)}</p>", f"<h3>{self.words(1, 5)}</h3>"]) + inner
+        inner = self.r.choice(["", f"<p>{self.prose(1, 2)}</p>", self.prose(1, 4) + " ", f"<h3>{self.words(1, 5)}</h3>"]) + inner
         return self.r.choice([f"<form{self.named(FORM, 0.5)}>{inner}</form>", f"<div{self.named(FORM)}>{inner}</div>", f"<div{self.named(FORM)}><form>{inner}</form></div>"])
 
     def side(self) -> str:
         items = []
         for _ in range(self.r.randint(1, 4)):
             items.append(self.r.choice([f"<h3>{self.words(1, 4)}</h3>{self.links(2, 5)}", f"<p>{self.prose(1, 3)}</p>", f'<div class="{self.r.choice(SIDE)}"><h4><a href="/y">{self.sentence()}</a></h4><p>{self.prose(1, 3)}</p></div>']))
-        return self.r.choice([f"<aside{self.named(SIDE, 0.5)}>{''.join(items)}</aside>", f"<div{self.named(SIDE)}>{''.join(items)}</div>", f"<section{self.named(SIDE)}>{''.join(items)}</section>"])
+        return self.r.choice([f"<aside{self.named(SIDE, 0.5)}>{''.join(items)}</aside>", f'<div role="complementary">{"".join(items)}</div>', f"<div{self.named(SIDE)}>{''.join(items)}</div>", f"<section{self.named(SIDE)}>{''.join(items)}</section>"])
 
     def foot(self) -> str:
         inner = self.r.choice([f"&copy; {self.word()}.example &middot; {self.prose(1, 2)}", f"<p>&copy; 2020 {self.words(2, 8)}.</p>" + self.links(), self.links(), f"<div>{self.prose(1, 4)}</div>", f"<p>{self.prose(1, 4)}</p><p>{self.words(2, 6)}</p>"])
-        return self.r.choice([f"<footer{self.named(FOOT, 0.3)}>{inner}</footer>", f"<div{self.named(FOOT)}>{inner}</div>"])
+        return self.r.choice([f"<footer{self.named(FOOT, 0.3)}>{inner}</footer>", f'<div role="contentinfo">{inner}</div>', f"<div{self.named(FOOT)}>{inner}</div>"])
 
     def header(self) -> str:
         inner = self.r.choice([f"<h1>{self.words(1, 3)}</h1>", f'<a href="/">{self.words(1, 3)}</a>', f"<p>{self.words(2, 7)}</p>"]) + self.r.choice(["", self.menu(), self.form(), f"<p>{self.words(2, 9)}</p>"])
@@ -139,10 +139,14 @@ class Layout:
             return f"<article{self.named(CONTENT, 0.3)}>{inner}</article>"
         if wrap < 0.42:
             return f"<main{self.named(CONTENT, 0.3)}>{self.r.choice([inner, '<article>' + inner + '</article>'])}</main>"
-        if wrap < 0.84:
+        if wrap < 0.76:
             return f"<div{self.named(CONTENT)}>{self.r.choice([inner, '<div>' + inner + '</div>', '<section>' + inner + '</section>'])}</div>"
-        if wrap < 0.93:
+        if wrap < 0.82:
             return f"<section{self.named(CONTENT, 0.5)}>{inner}</section>"
+        if wrap < 0.88:
+            return f'<div role="main">{inner}</div>'
+        if wrap < 0.96:
+            return f'<div{self.r.choice(["", " class=col-8", " class=left", " id=center"])}>{inner}</div>'
         return inner
 
     def page(self) -> str:
