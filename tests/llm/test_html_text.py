@@ -1,6 +1,7 @@
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -85,3 +86,33 @@ def test_messages_give_exact_marginals():
                 pairs[y[p], y[i]] += weight
     got, got_pairs = html_text.sum_product(html_text.forest([page]), scores, pair)
     assert np.allclose(got, ones / total) and np.allclose(got_pairs, pairs / total)
+
+
+@pytest.mark.parametrize("piece", ["<a", "<a ", "<!--", "<!", '"', "<a \"", "<a '\">", "<a \"'>", "<div>", "<div></p>", "<p><li><x><ul>", "<b>", "</p>", "<script>", "<title></titl", "<p class='", "&amp", "<form>x", '<i ">"\''])
+def test_odd_markup_is_read_in_time(model, piece):
+    """Time in proportion to the page: a megabyte in seconds."""
+    page = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    parsed = html_text.parse(page)
+    assert time.process_time() - began < 20
+    assert max(e.depth for e in parsed.elements) <= html_text.DEEPEST
+    html_text.main_texts(model, [page])
+    assert time.process_time() - began < 90
+
+
+def test_tags_end_as_quotes_say():
+    names = lambda page: [(e.tag, e.marks) for e in html_text.parse(page).elements[1:]]
+    assert names('<div title="a>b" class=menu><p data-x=\'>\'>') == [("div", ("menu",)), ("p", ())]
+    assert names('<div title="a><p>') == [("div", ()), ("p", ())]
+    assert html_text.parse("1 < 2 <3 <p>x</p").flow[-1][1] == "x"
+
+
+@pytest.mark.parametrize("words", [4, 40, 400])
+def test_forms_of_any_size_are_left_out(model, words):
+    """A contact page: the form may hold more of the text than the article."""
+    text = "The office is open on all days but one, and letters are answered within a week."
+    fields = " ".join(f"<p>Please tell us about matter {i} in your own words.</p><input name=f{i}>" for i in range(words))
+    page = f"<html><body><nav><a href=/>Home</a></nav><main><article><h1>Contact</h1><p>{text}</p></article><form>{fields}</form></main></body></html>"
+    assert html_text.main_texts(model, [page]) == [f"Contact {text}"]
+    wrapped = f"<html><body><form id=aspnet><nav><a href=/>Home</a></nav><article><h1>Contact</h1><p>{text}</p></article></form></body></html>"
+    assert html_text.main_texts(model, [wrapped]) == [f"Contact {text}"]

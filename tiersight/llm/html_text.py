@@ -30,7 +30,12 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: A start tag ends open elements of these names, down to the nearest of the second set.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "body": ({"head"}, {"html"})}
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)""", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+SPECIAL = re.compile("[>\"']")
+#: Elements nested deeper become siblings at this depth, as in browsers.
+DEEPEST = 512
+#: A form around one of these holds the page, not only fields.
+LANDMARKS = frozenset("article main header footer nav".split())
 NAMED = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
 #: Parts of class names and ids that mark what an element is for.
@@ -69,68 +74,137 @@ def _named(attributes: str) -> tuple[tuple, str, str | None]:
     return tuple(dict.fromkeys(marks)), role, label
 
 
+class Token(NamedTuple):
+    start: int
+    end: int
+    name: str  # empty for comments and the like
+    closing: bool
+    attributes: str
+
+
+class Tokens:
+    """Finds tags and comments; reads a page about once, whatever is in it.
+
+    A tag ends at the first `>` outside of quotes, or, where a quote is never closed, at the first `>`.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        #: places outside of quotes from which no end of a tag is reached
+        self.dead: set[int] = set()
+
+    def _tag_end(self, at: int) -> int:
+        passed, here = [], at
+        while here not in self.dead:
+            m = SPECIAL.search(self.page, here)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.start()
+            passed.append(here)
+            here = self.page.find(m[0], m.end()) + 1
+            if not here:
+                break
+        self.dead.update(passed)
+        return self.page.find(">", at)
+
+    def after(self, at: int) -> Token | None:
+        page = self.page
+        while (i := page.find("<", at)) >= 0:
+            at = i + 1
+            if page.startswith("!--", at):
+                end = page.find("-->", i + 4)
+                return Token(i, end + 3 if end >= 0 else len(page), "", False, "")
+            closing = page.startswith("/", at)
+            m = NAME.match(page, at + closing) if i < self.last else None
+            if m:
+                end = self._tag_end(m.end())
+                return Token(i, end + 1, m[0].lower(), closing, page[m.end() : end])
+            if page[at : at + 1] in ("!", "?", "/"):
+                end = page.find(">", at) if i < self.last else -1
+                return Token(i, end + 1 if end >= 0 else len(page), "", False, "")
+        return None
+
+
+class Open:
+    """The open elements: name, number of the node that their text goes to, whether in a link."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, name: str, node: int, link: bool) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, node, link))
+
+    def nearest(self, names: set | frozenset) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def cut(self, place: int) -> int:
+        """Close the element at a place and all in it; its node."""
+        node = self.stack[place][1]
+        for name, _, _ in self.stack[place:]:
+            self.places[name].pop()
+        del self.stack[place:]
+        return node
+
+
 def parse(page: str) -> Page:
     """The page's elements, parents before children, and its text in order."""
-    root = Element("", -1, 0, (), "", None, False)
-    elements, flow = [root], []
-    #: open elements: name, number of the node that their text goes to, whether in a link
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]
+    elements, flow = [Element("", -1, 0, (), "", None, False)], []
+    tokens, opened = Tokens(page), Open()
+    raw_ends: dict[str, int] = {}
 
     def text(value: str) -> None:
-        if value and not elements[stack[-1][1]].unseen:
-            flow.append((stack[-1][1], value, stack[-1][2]))
+        _, node, link = opened.stack[-1]
+        if value and not elements[node].unseen:
+            flow.append((node, value, link))
 
     def close(names: set | frozenset, until: set | frozenset) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                flow.append((stack[k][1], None, False))
-                del stack[k:]
-                return
-            if stack[k][0] in until:
-                return
+        place = opened.nearest(names)
+        if place > opened.nearest(until):
+            flow.append((opened.cut(place), None, False))
 
     at, end = 0, len(page)
     while at < end:
-        m = TOKEN.search(page, at)
-        if m is None:
+        token = tokens.after(at)
+        if token is None:
             text(page[at:])
             break
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if name is None:
+        text(page[at : token.start])
+        at, name = token.end, token.name
+        if not name:
             continue
-        name, closing = name.lower(), m[1] or m[4]
-        if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    if name not in INLINE:
-                        flow.append((stack[k][1], None, False))
-                    del stack[k:]
-                    break
+        if token.closing:
+            if place := opened.nearest({name}):
+                node = opened.cut(place)
+                if name not in INLINE:
+                    flow.append((node, None, False))
             continue
         if name in CLOSES_P:
             close({"head"}, {"body"})
             close({"p"}, {"article", "section", "div", "td", "li", "blockquote", "body", "main", "aside", "footer", "header", "form"})
         if name in ENDS:
             close(*ENDS[name])
-        _, top, link = stack[-1]
-        marks, role, label = _named(m[3] if m[2] else m[6])
+        _, top, link = opened.stack[-1]
+        marks, role, label = _named(token.attributes)
         if name in ("br", "hr"):
             flow.append((top, None, False))
         elif name in INLINE and not marks and not role:
-            stack.append((name, top, link or name == "a"))
+            opened.push(name, top, link or name == "a")
         elif name not in VOID:
             if name not in INLINE:
                 flow.append((top, None, False))
-            parent = elements[top]
+            above = top if elements[top].depth < DEEPEST else elements[top].parent
+            parent = elements[above]
             parent.children += 1
-            elements.append(Element(name, top, parent.depth + 1, marks, role, label, parent.unseen or name in UNSEEN))
-            stack.append((name, len(elements) - 1, link or name == "a"))
+            elements.append(Element(name, above, parent.depth + 1, marks, role, label, elements[top].unseen or name in UNSEEN))
+            opened.push(name, len(elements) - 1, link or name == "a")
             if name in RAW:
-                done = re.compile(f"</{name}\\b", re.I).search(page, at)
-                at = done.start() if done else end
+                if raw_ends.get(name, -1) < at:
+                    done = re.compile(f"</{name}\\b", re.I).search(page, at)
+                    raw_ends[name] = done.start() if done else end
+                at = raw_ends[name]
     return Page(elements, flow)
 
 
@@ -155,9 +229,12 @@ def features(page: Page) -> list[list[tuple]]:
         if e.parent >= 0:
             elements[e.parent].all_size += e.all_size
             elements[e.parent].all_linked += e.all_linked
-    for e in elements[1:]:
-        # a form that doesn't wrap most of the page is no text, whatever is in it
-        e.unseen |= elements[e.parent].unseen or (e.tag == "form" and 2 * e.all_size < elements[0].all_size)
+    wraps = [False] * len(elements)
+    for i in range(len(elements) - 1, 0, -1):
+        wraps[elements[i].parent] |= wraps[i] or elements[i].tag in LANDMARKS
+    for e, holds in zip(elements[1:], wraps[1:]):
+        # a form is no text, whatever is in it, unless the page itself is in it
+        e.unseen |= elements[e.parent].unseen or (e.tag == "form" and not holds and e.all_size < elements[0].all_size)
     out = []
     for e in elements:
         above = elements[e.parent].tag if e.parent >= 0 else ""
