@@ -29,7 +29,7 @@ def checked(pieces, docs, length, end_id):
     """Pieces are lossless and sequences gapless; returns the number of sequences."""
     bins = defaultdict(list)
     got = defaultdict(list)
-    for doc_id, piece, start, size, crc, sequence_id, offset in pieces:
+    for doc_id, piece, start, size, crc, sequence_id, offset, *_ in pieces:
         bins[sequence_id].append((offset, size))
         got[doc_id].append((piece, start, size, crc))
     want = defaultdict(list)
@@ -149,3 +149,38 @@ def test_matrices_of_odd_rows(spark):
     assert sorted(found[2]) == [(0, 0, [50256]), (0, 0, [50256])]
     assert [x for _, _, ids in sorted(found[5]) for x in ids] == [*exact_ids(ROWS[4][1]), 50256]
     assert packing.packed_matrices(docs.where("false")).count() == 0
+
+
+def test_fast_ids_of_all_latin_pairs_and_entries():
+    """Texts that go through tiktoken have the ids of tokenizers: every pair of Latin-1 characters, and every entry of the vocabulary."""
+    from tokenizers import Tokenizer
+
+    path = tokens.default_path()
+    plain, encode = Tokenizer.from_file(path), tokens.encoder(path)
+    byte_of = tokens._byte_of()
+    entries = [bytes(byte_of[c] for c in k).decode("latin-1") for k in plain.get_vocab() if all(c in byte_of for c in k)]
+    pairs = [f"{chr(a)}{chr(b)}a{chr(b)} {chr(a)}" for a in range(256) for b in range(256)]
+    for texts in (pairs, entries, [" ".join(entries[i::97]) for i in range(97)]):
+        for text, found in zip(texts, plain.encode_batch(texts, add_special_tokens=False)):
+            assert encode(text).tolist() == found.ids
+
+
+def test_search_beats_best_fit_decreasing(spark):
+    """Triplets that fill sequences: best fit decreasing pairs the wrong ones, recombination finds better."""
+    rng = np.random.default_rng(4)
+    lengths = []
+    for _ in range(80):
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers(max(250, 500 - a // 2 - 100), (1000 - a) // 2))
+        lengths += [a, b, 1000 - a - b]
+    plain = packing.plan({n: lengths.count(n) for n in set(lengths)}, 1000)[1]
+    rows = spark.createDataFrame(list(enumerate(lengths)), "row long, length long")
+    got = genetic.genetic_places(rows, 1000, genetic.Search(epochs=3, generations=60, population=12)).collect()
+    assert len({r.sequence_id for r in got}) < plain and max(r.generations for r in got) > 0
+
+
+def test_levels_end_where_nothing_is_saved(spark):
+    """Pieces of which no two fit together leave room everywhere, and are dealt out twice at most."""
+    rows = spark.createDataFrame([(i, 600) for i in range(900)], "row long, length long")
+    got = genetic.genetic_places(rows, 1000, genetic.Search(shard_rows=100, islands=1, epochs=1)).collect()
+    assert len(got) == 900 == len({r.sequence_id for r in got})

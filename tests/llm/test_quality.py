@@ -31,3 +31,26 @@ def test_term_counts_cover_the_whole_text():
     a = quality.term_counts([b"x " * 10, b"", b"Ab ab"])
     assert a[0, : quality.WORDS].sum() == 10 and a[0, -1] == 9
     assert a[1, : quality.WORDS].sum() == 0 and a[2, -1] == 1
+
+
+def test_votes_are_those_of_the_nearest(spark, sf):
+    """Every score against the cosines of one document with each labelled vector, one by one."""
+    docs, labels = queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels")
+    counts, marked = quality.sample_counts(docs, labels, 4096)
+    model = quality.fit(counts, marked)
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
+    marks = np.asarray(model.quality, np.float64)
+    place = lambda c: (v := (quality._balanced(c) * model.idf) @ model.axes) / max(np.linalg.norm(v), 1e-12)
+    vectors = [place(c[None])[0].astype(np.float64) for c in counts]
+    clear = 0
+    for r in docs.collect():
+        one = place(quality.term_counts([(r.text or "").encode()]))[0].astype(np.float64)
+        votes = sorted(((float(v @ one), float(q)) for v, q in zip(vectors, marks)), reverse=True)
+        k = min(model.neighbours, len(marks))
+        if k < len(votes) and votes[k - 1][0] - votes[k][0] < 1e-4:
+            continue  # copies tie for the last vote
+        votes = votes[:k]
+        weight = [max(c, 1e-3) ** model.power for c, _ in votes]
+        assert abs(got[r.doc_id] - sum(w * q for w, (_, q) in zip(weight, votes)) / sum(weight)) < 0.01
+        clear += 1
+    assert clear > 100

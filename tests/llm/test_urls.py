@@ -1,3 +1,9 @@
+import html
+import random
+import re
+from collections import defaultdict
+from urllib.parse import urljoin
+
 from tiersight.llm import queries, urls
 
 RULES = queries.RULES
@@ -49,3 +55,65 @@ def test_blocks_follow_links_and_allows_win(spark):
     assert got[1][4] == "alias" and got[3][4] == "rule" and got[9][4] == "none"
     log = spark.createDataFrame([("http://f.test/", "http://bad.com/en/9"), (None, None)], "url string, target string")
     assert verdicts(spark, rows, redirects=log)[10][3] == "block"
+
+
+def plain_verdicts(rows):
+    """Verdicts of (page_id, url, html) by following all links one by one."""
+
+    def split(url):
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)", url or "")
+        return (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2], m[3]) if m else ("", "", "")
+
+    def name(url):
+        host, path, query = split(url)
+        return host + path + query
+
+    def rule(host, path):
+        fits = [r for r in RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fits, key=lambda r: len(r.text), default=None)
+
+    links = defaultdict(set)
+    for _, url, page in rows:
+        if url and "://" in url:
+            for tag in re.findall(r"(?is)<(?:link|meta)\b[^>]*>", page or ""):
+                value = re.search(r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)" if tag[1:5].lower() == "link" else r"(?is)\burl\s*=\s*[\"']?([^\"'>]+)", tag)
+                if value and re.search("(?i)canonical|refresh", tag):
+                    try:
+                        to = urljoin(url, html.unescape(value[1].strip()))
+                    except ValueError:
+                        continue
+                    links[name(url)].add(name(to)), links[name(to)].add(name(url))
+    out = {}
+    for i, url, _ in rows:
+        host, path, _ = split(url)
+        own = rule(host, path)
+        seen, todo = set(), [name(url)] if url and "://" in url else []
+        while todo:
+            n = todo.pop()
+            if n not in seen:
+                seen.add(n)
+                todo += links[n]
+        found = {r.verdict for n in seen if (r := rule(*split("x://" + n)[:2]))}
+        out[i] = own.verdict if own else "allow" if "allow" in found else "block" if "block" in found else "allow"
+    return out
+
+
+def test_against_following_links(spark):
+    """All tags of a page count, references are decoded, dot segments taken out."""
+    rng = random.Random(3)
+    hosts = ["a.test", "b.test", "bad.com", "ok.net", "c.org"]
+    spot = lambda: rng.choice(["", "/", "/en/1", "/de/1", "/es/2", "/x/y/z", "/x/y", "/q?a=1&b=2"])
+    tags = ['<link rel="canonical" href="{}">', "<LINK HREF='{}' REL=canonical>", '<meta http-equiv=refresh content="0; url={}">', '<link rel=stylesheet href="{}">']
+    rows = []
+    for i in range(120):
+        url = f"http://{rng.choice(hosts)}{spot()}"
+        to = lambda: rng.choice([f"//{rng.choice(hosts)}{spot()}", "../y", "./", "z", "?a=1&amp;b=2", f"https://{rng.choice(hosts)}/q?a=1&#38;b=2", "/x/../en/1", "#top"])
+        page = "".join(rng.choice(tags).format(to()) for _ in range(rng.choice([0, 0, 0, 1, 2]))) or None
+        rows.append((i, url, page))
+    rows += [(500, None, tags[0].format("http://bad.com/en/1")), (501, "no scheme", None), (502, "http://[bad/", tags[0].format("http://[")), (503, "http://d.test/", tags[0].format("http://[x"))]
+    names = ["_node", "_own", "_alias", "node", "component", "own", "target", "host"]
+    df = spark.createDataFrame([(*r, *["x"] * len(names)) for r in rows], "page_id long, url string, html string, " + ", ".join(f"{n} string" for n in names))
+    got = {r.page_id: r.verdict for r in urls.url_verdicts(df, RULES).collect()}
+    want = plain_verdicts(rows)
+    assert got == want and len({v for i, v in want.items() if i < 120}) == 2
+    assert sum(r.via == "alias" for r in urls.url_verdicts(df, RULES).collect()) > 10

@@ -3,9 +3,11 @@
 Pieces are dealt at random into shards. On each shard several islands breed packings: crossover
 copies whole well-filled bins of one parent into the other, removes the copied pieces from its old
 bins, empties those bins and puts their other pieces back by best fit. Each island's best packing
-migrates to the next island between epochs. A shard stops when a packing has as few bins as the sum
-of lengths allows. Bins with room to spare are opened again and their pieces packed together with
-those of other shards, level by level, until one shard holds what is left.
+migrates to the next island between epochs. Populations start from best fit in blurred orders of
+length, so that recombination and migration decide. A shard stops when a packing has as few bins as
+the sum of lengths allows. Bins with room to spare are opened again and their pieces packed together
+with those of other shards, level by level, until one shard holds what is left or a level saves
+nothing any more.
 """
 
 from __future__ import annotations
@@ -32,6 +34,10 @@ class Search(NamedTuple):
     generations: int = 6
     #: Bins with more than this share of room are packed again with other shards'.
     spare: float = 0.01
+    #: Levels go on while they save more than this share of the bins that they open.
+    worth: float = 0.001
+    #: How much the orders of a population's first packings are blurred, least and most.
+    blur: tuple[float, float] = (0.02, 0.3)
 
 
 class Bins:
@@ -115,13 +121,12 @@ def crossover(lengths: np.ndarray, host: np.ndarray, donor: np.ndarray, capacity
     return compact(child)
 
 
-def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, generations: int, size: int, rng: np.random.Generator) -> list[np.ndarray]:
-    """Best first; stops early at the fewest bins possible."""
+def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, generations: int, size: int, rng: np.random.Generator) -> tuple[list[np.ndarray], int]:
+    """Best first, and the generations run; stops early at the fewest bins possible."""
     least = -(-int(lengths.sum()) // capacity)
     ranked = sorted(((fitness(lengths, p, capacity), n, p) for n, p in enumerate(population)), key=lambda x: x[:2], reverse=True)
-    for g in range(generations):
-        if -ranked[0][0][0] <= least:
-            break
+    g = 0
+    while g < generations and -ranked[0][0][0] > least:
         born = []
         for n in range(max(1, size // 2)):
             a, b = rng.integers(0, len(ranked), 2)
@@ -130,11 +135,12 @@ def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, gen
             child = crossover(lengths, ranked[min(a, b)][2], ranked[max(a, b)][2], capacity, rng)
             born.append((fitness(lengths, child, capacity), len(population) + g * size + n, child))
         ranked = sorted(ranked + born, key=lambda x: x[:2], reverse=True)[:size]
-    return [p for _, _, p in ranked]
+        g += 1
+    return [p for _, _, p in ranked], g
 
 
 def _level(rows: DataFrame, capacity: int, shards: int, level: int, search: Search) -> DataFrame:
-    """(row, length, sequence_id, offset, room): each shard's best packing."""
+    """(row, length, sequence_id, offset, room, generations): each shard's best packing, and how many generations led to it."""
 
     def gathered(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "row"], ascending=[False, True])
@@ -142,7 +148,7 @@ def _level(rows: DataFrame, capacity: int, shards: int, level: int, search: Sear
 
     shard = F.pmod(F.xxhash64("row", F.lit(level)), F.lit(shards)).cast("int")
     content = stage(rows.withColumn("shard", shard).groupBy("shard").applyInPandas(gathered, "shard int, rows binary, lengths binary"))
-    state_type = "shard int, island int, population array<binary>, bins int, full double, done boolean"
+    state_type = "shard int, island int, population array<binary>, bins int, full double, done boolean, generations int"
 
     def bred(epoch: int):
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,18 +158,16 @@ def _level(rows: DataFrame, capacity: int, shards: int, level: int, search: Sear
                     lengths = np.frombuffer(r.lengths, np.int64)
                     rng = np.random.default_rng([level, r.shard, r.island, epoch])
                     if epoch == 0:
-                        people = [seeded(lengths, capacity, 0.0, rng)]
-                        least = -(-int(lengths.sum()) // capacity)
-                        if -fitness(lengths, people[0], capacity)[0] > least:
-                            people += [seeded(lengths, capacity, 0.05 * (k + r.island), rng) for k in range(1, search.population)]
+                        ran, blurs = 0, np.linspace(*search.blur, search.population * search.islands)
+                        people = [seeded(lengths, capacity, b, rng) for b in blurs[r.island :: search.islands]]
                     else:
-                        people = [np.frombuffer(p, np.int32) for p in r.population]
+                        ran, people = r.generations, [np.frombuffer(p, np.int32) for p in r.population]
                         people += [np.frombuffer(r.migrant, np.int32)] if r.migrant is not None else []
-                    people = evolve(lengths, people, capacity, search.generations, search.population, rng) if len(people) > 1 else people
+                    people, more = evolve(lengths, people, capacity, search.generations, search.population, rng)
                     bins, full = fitness(lengths, people[0], capacity)
                     done = -bins <= -(-int(lengths.sum()) // capacity)
-                    out.append((r.shard, r.island, [p.tobytes() for p in people[: 1 if done else None]], -bins, full, done))
-                yield pd.DataFrame(out, columns=["shard", "island", "population", "bins", "full", "done"])
+                    out.append((r.shard, r.island, [p.tobytes() for p in people[: 1 if done else None]], -bins, full, done, ran + more))
+                yield pd.DataFrame(out, columns=["shard", "island", "population", "bins", "full", "done", "generations"])
 
         return each
 
@@ -179,7 +183,7 @@ def _level(rows: DataFrame, capacity: int, shards: int, level: int, search: Sear
         next_ = open_.join(elite, ["shard", "island"]).join(content.drop("rows"), "shard").mapInPandas(bred(epoch), state_type)
         closed = state.join(solved, "shard").where("solved").drop("solved")
         state = stage(next_.unionAll(closed))
-    best = state.groupBy("shard").agg(F.max_by(F.element_at("population", 1), F.struct(-F.col("bins"), "full", -F.col("island"))).alias("best"))
+    best = state.groupBy("shard").agg(F.max_by(F.element_at("population", 1), F.struct(-F.col("bins"), "full", -F.col("island"))).alias("best"), F.max("generations").alias("generations"))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -191,43 +195,44 @@ def _level(rows: DataFrame, capacity: int, shards: int, level: int, search: Sear
                 base = np.concatenate(([0], np.cumsum(fill)[:-1]))
                 of = bin_of[order].astype(np.int64)
                 ids = (level << 56) + (r.shard << 24) + of
-                yield pd.DataFrame({"row": np.frombuffer(r.rows, np.int64)[order], "length": lengths[order], "sequence_id": ids, "offset": ends - lengths[order] - base[of], "room": capacity - fill[of]})
+                yield pd.DataFrame({"row": np.frombuffer(r.rows, np.int64)[order], "length": lengths[order], "sequence_id": ids, "offset": ends - lengths[order] - base[of], "room": capacity - fill[of], "generations": r.generations})
 
-    return stage(content.join(best, "shard").mapInPandas(placed, "row long, length long, sequence_id long, offset long, room long"))
+    return stage(content.join(best, "shard").mapInPandas(placed, "row long, length long, sequence_id long, offset long, room long, generations int"))
 
 
 def genetic_places(rows: DataFrame, capacity: int, search: Search = Search()) -> DataFrame:
-    """(row, sequence_id, offset) of rows (row, length), lengths from 1 to `capacity`."""
-    out, level = None, 0
+    """(row, sequence_id, offset, generations) of rows (row, length), lengths from 1 to `capacity`."""
+    out, level, opened = None, 0, None
     rows = rows.select("row", "length")
     n = rows.count()
     while True:
         shards = max(1, round(n / search.shard_rows))
         found = _level(rows, capacity, shards, level, search)
-        again = (F.col("room") > search.spare * capacity) if shards > 1 else F.lit(False)
-        left = found.where(again).select("row", "length")
-        m = left.count() if shards > 1 else 0
-        if m > n / 2:  # nothing is gained by moving most pieces again
-            again, m = F.lit(False), 0
-        done = found.where(~again).select("row", "sequence_id", "offset")
+        loose = F.col("room") > search.spare * capacity
+        first = F.col("offset") == 0
+        bins, left, moved = found.agg(F.count_if(first), F.count_if(first & loose), F.count_if(loose)).first()
+        # one shard has nobody to share with; a level that saves next to nothing is the last
+        last = shards == 1 or not moved or (opened is not None and opened - bins <= search.worth * opened)
+        done = (found if last else found.where(~loose)).select("row", "sequence_id", "offset", "generations")
         out = done if out is None else out.unionAll(done)
-        if not m:
+        if last:
             return out
-        rows, n, level = left, m, level + 1
+        rows, n, opened, level = found.where(loose).select("row", "length"), moved, left, level + 1
 
 
 def genetic_packing(docs: DataFrame, length: int = 2048, end_id: int = 0, path: str | None = None, search: Search = Search()) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece.
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, generations), one row per piece.
 
     Documents are the ids of their whole text and `end_id`. Those over `length` are cut into pieces of
     it, of which the first can be shorter; pieces that fill a sequence are one. Null texts count as
     empty; rows with a null or repeated doc_id are documents of their own; columns other than doc_id
-    and text are not looked at. No rows give no rows.
+    and text are not looked at. generations: how many the search of the piece's shard ran; 0 if its
+    first packings had as few sequences as can be. No rows give no rows.
     """
     cut = tokens.pieces(docs, length, end_id, path or tokens.default_path(), with_ids=False)
     short = cut.where(F.col("length") < length)
     placed = genetic_places(short, length, search)
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "generations"]
     # whole pieces have numbers below zero, packed ones from zero on
-    whole = cut.where(F.col("length") >= length).withColumns({"sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("long")})
+    whole = cut.where(F.col("length") >= length).withColumns({"sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("long"), "generations": F.lit(0)})
     return short.join(placed, "row").select(*columns).unionAll(whole.select(*columns))

@@ -21,7 +21,7 @@ from tiersight.operators.graph import components
 from tiersight.operators.staging import stage
 
 #: Cells and components with more vectors than this are compared in blocks of BLOCK by BLOCK.
-PAIRED, BLOCK = 48, 256
+PAIRED, BLOCK = 48, 1024
 
 
 def _minimal() -> np.ndarray:

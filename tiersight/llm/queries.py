@@ -71,13 +71,17 @@ WITH RECURSIVE parts AS (
     coalesce(regexp_extract(url, '^.*?://[^/?#]*[^?#]*(\??[^#]*)', 1, 's'), '') AS query
   FROM pages
 ), tags AS (
-  SELECT *, list_filter(regexp_extract_all(html, '<link\b[^>]*>', 0, 'is'), lambda x: regexp_matches(x, '\brel\s*=\s*["'']?[^"''>]*\bcanonical\b', 'is'))[1] AS canonical,
-    list_filter(regexp_extract_all(html, '<meta\b[^>]*>', 0, 'is'), lambda x: regexp_matches(x, '\bhttp-equiv\s*=\s*["'']?refresh\b', 'is'))[1] AS refresh
+  SELECT *, unnest(list_filter(regexp_extract_all(html, '<link\b[^>]*>', 0, 'is'), lambda x: regexp_matches(x, '\brel\s*=\s*["'']?[^"''>]*\bcanonical\b', 'is'))) AS tag,
+    '\bhref\s*=\s*["'']?([^"''\s>]+)' AS value
   FROM parts WHERE full_url
-), targets AS (
-  SELECT *, regexp_extract(canonical, '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is') AS target FROM tags
   UNION ALL
-  SELECT *, trim(regexp_extract(refresh, '\burl\s*=\s*["'']?([^"''>]+)', 1, 'is')) AS target FROM tags
+  SELECT *, unnest(list_filter(regexp_extract_all(html, '<meta\b[^>]*>', 0, 'is'), lambda x: regexp_matches(x, '\bhttp-equiv\s*=\s*["'']?refresh\b', 'is'))) AS tag,
+    '\burl\s*=\s*["'']?([^"''>]+)' AS value
+  FROM parts WHERE full_url
+), targets AS (
+  SELECT *, CASE WHEN value LIKE '%href%' THEN trim(regexp_extract(tag, '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is'))
+    ELSE trim(regexp_extract(tag, '\burl\s*=\s*["'']?([^"''>]+)', 1, 'is')) END AS target
+  FROM tags
 ), resolved AS (
   SELECT host || path || query AS a,
     CASE WHEN target LIKE '%://%' THEN target WHEN target LIKE '//%' THEN 'x:' || target

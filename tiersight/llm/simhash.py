@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiersight.llm.flat import parts, utf8
+from tiersight.llm.flat import free_name, parts, utf8
 from tiersight.operators.graph import components
 from tiersight.operators.staging import stage
 
@@ -161,6 +161,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
     Rows of one doc_id are one document, of which one row stays. Rows without a doc_id all stay.
     """
-    keep = near_duplicates(docs, words).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    known = docs.join(keep, F.col("doc_id").cast("long") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+    own = free_name("_keep", docs)
+    keep = near_duplicates(docs, words).where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    known = docs.join(keep, F.col("doc_id").cast("long") == F.col(own), "left_semi").dropDuplicates(["doc_id"])
     return known.unionAll(docs.where(F.col("doc_id").isNull()))

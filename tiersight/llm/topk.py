@@ -1,14 +1,16 @@
 """Exact top-k by inner product: a ball tree per shard, searched by branch and bound.
 
-Vectors are dealt into shards of bounded size. Each shard's ball tree is searched best bound first;
-a first round over one shard per query gives every query a k-th score, which all other shards start
-from, so most of their nodes are cut off unseen.
+Vectors are dealt into shards of bounded size, and a ball tree is built once for each. A tree is
+searched best bound first. Queries visit the shards in waves: one shard, then some, then the rest.
+After each wave the k-th score of all shards so far is what every further shard starts from, so most
+nodes are cut off unseen.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -51,25 +53,40 @@ def ball_tree(points: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, list[tu
     return order, nodes
 
 
-def search(query: np.ndarray, own: int, k: int, floor: float, points: np.ndarray, ids: np.ndarray, nodes: list[tuple]) -> list[tuple[int, int]]:
+class Tree(NamedTuple):
+    """A shard's rows in the order of its tree, and the tree's nodes."""
+
+    ids: np.ndarray
+    points: np.ndarray
+    centres: np.ndarray
+    radii: np.ndarray
+    #: what rounding of bounds is measured by: the largest norm that a row can have
+    reach: np.ndarray
+    spans: np.ndarray  # start, end, left, right
+
+
+def search(query: np.ndarray, own: int, k: int, floor: float, tree: Tree) -> list[tuple[int, int]]:
     """Up to k best (score, id) of the rows that score `floor` or more; ties to the smaller id."""
-    norm = float(np.sqrt(query @ query))
-    bound = lambda n: float(query @ nodes[n][0]) + norm * nodes[n][1]
+    if not len(tree.ids):
+        return []
+    near = query.astype(np.float64)
+    norm = float(np.sqrt(near @ near))
+    bounds = (tree.centres @ near + norm * tree.radii + 1e-9 * norm * tree.reach + 1e-3).tolist()
     best: list[tuple[int, int]] = []  # a heap of (score, -id)
-    todo = [(-bound(0), 0)] if nodes else []
+    todo = [(-bounds[0], 0)]
     while todo:
         top, n = heapq.heappop(todo)
         least = max(floor, best[0][0]) if len(best) == k else floor
-        if -top * (1 + 1e-9) + 1e-3 + norm * 1e-6 < least:
+        if -top < least:
             break
-        _, _, lo, hi, left, right = nodes[n]
+        lo, hi, left, right = tree.spans[n].tolist()
         if left >= 0:
             for child in (left, right):
-                heapq.heappush(todo, (-bound(child), child))
+                heapq.heappush(todo, (-bounds[child], child))
             continue
-        scores = points[lo:hi] @ query
+        scores = tree.points[lo:hi] @ query
         for i in np.flatnonzero(scores >= least):
-            if (i_id := int(ids[lo + i])) != own:
+            if (i_id := int(tree.ids[lo + i])) != own:
                 entry = (int(scores[i]), -i_id)
                 if len(best) < k:
                     heapq.heappush(best, entry)
@@ -90,7 +107,7 @@ def _wide(vectors: list[np.ndarray], dim: int) -> np.ndarray:
     return out
 
 
-def top_k(vectors: DataFrame, query_every: int = 100, k: int = 10, scale: float = 1024.0, shard_rows: int = 1024, block: int = 256) -> DataFrame:
+def top_k(vectors: DataFrame, query_every: int = 100, k: int = 10, scale: float = 1024.0, shard_rows: int = 1024, block: int = 256, waves: int = 3) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows by integer inner product.
 
     vectors: vec_id, embedding. A component x counts as floor(scale * x), which must fit 2**62 in
@@ -108,54 +125,70 @@ def top_k(vectors: DataFrame, query_every: int = 100, k: int = 10, scale: float
     rows = stage(rows)
     n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     shards, dim = max(1, -(-n // shard_rows)), max(1, dim or 1)
-    # each shard is a row of its own: ids and vectors, at most a few times shard_rows of them
     shard = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(shards)).cast("int")
 
-    def packed(key: str):
-        def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-            points = _wide(list(pdf["v"]), dim)
-            return pd.DataFrame({key: [pdf[key].iloc[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "points": [points.tobytes()]})
+    def planted(pdf: pd.DataFrame) -> pd.DataFrame:
+        points, ids = _wide(list(pdf["v"]), dim), pdf["vec_id"].to_numpy(np.int64)
+        order, nodes = ball_tree(points)
+        centres, radii = np.array([n[0] for n in nodes]), np.array([n[1] for n in nodes])
+        spans = np.array([n[2:] for n in nodes], np.int64)
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "ids": [ids[order].tobytes()], "points": [points[order].tobytes()], "centres": [centres.tobytes()], "radii": [radii.tobytes()], "spans": [spans.tobytes()]})
 
-        return pack
+    def gathered(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "points": [_wide(list(pdf["v"]), dim).tobytes()]})
 
-    trees = rows.withColumn("shard", shard).groupBy("shard").applyInPandas(packed("shard"), "shard int, ids binary, points binary")
-    trees = stage(trees)
+    # each shard is a row of its own, with at most a few times shard_rows vectors
+    trees = stage(rows.withColumn("shard", shard).groupBy("shard").applyInPandas(planted, "shard int, ids binary, points binary, centres binary, radii binary, spans binary"))
     asked = rows.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-(-(-n // query_every)) // block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(blocks)).cast("int"))
-    asked = stage(asked.groupBy("block").applyInPandas(packed("block"), "block int, ids binary, points binary"))
+    block_of = lambda x: F.pmod(F.xxhash64(x, F.lit(11)), F.lit(blocks)).cast("int")
+    asked = stage(asked.withColumn("block", block_of("vec_id")).groupBy("block").applyInPandas(gathered, "block int, ids binary, points binary"))
 
     def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, at = None, None
         for pdf in batches:
             for row in pdf.itertuples():
-                ids = np.frombuffer(row.ids, np.int64)
-                points = np.frombuffer(row.points).reshape(-1, dim)
-                q_ids, qs = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.q_points).reshape(-1, dim)
+                ids, points = np.frombuffer(row.ids, np.int64), np.frombuffer(row.points).reshape(-1, dim)
+                if row.block < 0:  # the tree comes before its queries
+                    centres, radii = np.frombuffer(row.centres).reshape(-1, dim), np.frombuffer(row.radii)
+                    reach = np.sqrt(np.square(centres).sum(1)) + radii
+                    tree, at = Tree(ids, points, centres, radii, reach, np.frombuffer(row.spans, np.int64).reshape(-1, 4)), row.shard
+                    continue
+                if at != row.shard:  # no vectors in this shard
+                    continue
                 floors = dict(zip(row.asked_ids, row.floors)) if row.asked_ids is not None else {}
-                order, nodes = ball_tree(points)
-                points, ids = points[order], ids[order]
-                if not _exact(points, qs):
-                    points, qs = (np.array([[int(c) for c in r] for r in m], dtype=object).reshape(-1, dim) for m in (points, qs))
-                    nodes = [(np.zeros(dim), float("inf"), 0, len(ids), -1, -1)] if len(ids) else []
-                out = [(int(q), i, s) for q, v in zip(q_ids, qs) for s, i in search(v, int(q), k, floors.get(int(q), -np.inf), points, ids, nodes)]
+                here = tree
+                if not _exact(tree.points, points):
+                    whole = lambda m: np.array([[int(c) for c in r] for r in m], dtype=object).reshape(-1, dim)
+                    here, points = tree._replace(points=whole(tree.points)), whole(points)
+                out = [(int(q), i, s) for q, v in zip(ids, points) for s, i in search(v, int(q), k, floors.get(int(q), -np.inf), here)]
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    found_type = "query_id long, vec_id long, score long"
-    none = F.lit(None).cast("array<long>").alias("asked_ids"), F.lit(None).cast("array<long>").alias("floors")
-    q = asked.select("block", F.col("ids").alias("q_ids"), F.col("points").alias("q_points"))
-    home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
-    # Random ids only: a whole shard can be empty, so its block then starts without a bound.
-    first = stage(q.select("*", home.alias("shard"), *none).join(trees, "shard").mapInPandas(searched, found_type))
-    floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
-    floors = floors.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(11)), F.lit(blocks)).cast("int"))
-    floors = floors.groupBy("block").agg(F.collect_list(F.struct("query_id", "floor")).alias("f"))
-    rest = q.join(floors, "block", "left").select("block", "q_ids", "q_points", F.col("f.query_id").alias("asked_ids"), F.col("f.floor").alias("floors"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    rest = rest.select("*", each).where(F.col("shard") != home)
-    second = rest.join(trees, "shard").mapInPandas(searched, found_type)
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("asked_ids", "array<long>"), ("floors", "array<long>"))]
+    no_tree = [F.lit(None).cast("binary").alias(c) for c in ("centres", "radii", "spans")]
+    planted_rows = trees.select("shard", F.lit(-1).alias("block"), "ids", "points", "centres", "radii", "spans", *nothing)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = first.unionAll(second).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return out.select("query_id", "rank", "vec_id", "score")
+    # how far a shard is from the one that a block starts with decides the wave
+    away = F.pmod(F.col("shard") - F.col("block"), F.lit(shards))
+    edges = [0, 1, *(max(1, shards // 8 ** (waves - 1 - w)) for w in range(1, waves - 1)), shards]
+    found = top = None
+    for lo, hi in zip(edges, edges[1:]):
+        if lo >= hi:
+            continue
+        held = asked.select("block", "ids", "points")
+        if top is None:
+            held = held.select("*", *nothing)
+        else:
+            floors = top.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
+            floors = floors.withColumn("block", block_of("query_id")).groupBy("block").agg(F.collect_list(F.struct("query_id", "floor")).alias("f"))
+            held = held.join(floors, "block", "left").select("block", "ids", "points", F.col("f.query_id").alias("asked_ids"), F.col("f.floor").alias("floors"))
+        visits = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).where((away >= lo) & (away < hi))
+        visits = visits.select("shard", "block", "ids", "points", *no_tree, "asked_ids", "floors")
+        dealt = planted_rows.unionAll(visits).repartition("shard").sortWithinPartitions("shard", "block")
+        wave = stage(dealt.mapInPandas(searched, "query_id long, vec_id long, score long"))
+        found = wave if found is None else found.unionAll(wave)
+        top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return top.select("query_id", "rank", "vec_id", "score")
 
 
 TOP_K_SQL = """

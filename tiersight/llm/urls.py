@@ -7,11 +7,16 @@ of them is explicitly allowed.
 
 from __future__ import annotations
 
+import html as html_module
 from typing import NamedTuple
+from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from tiersight.llm.flat import free_name
 from tiersight.operators.graph import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,34 +58,41 @@ def rule_columns(rules: list[Rule], host: Column, path: Column) -> tuple[Column,
     return text, verdict
 
 
-def _tag(html: Column, tag: str, marked: str, value: str) -> Column:
-    """Group 1 of `value` in the first <tag> that matches `marked`; else null."""
+def _tags(html: Column, tag: str, marked: str, value: str) -> Column:
+    """Group 1 of `value` in every <tag> that matches `marked`; empty ones left out."""
     tags = F.filter(F.regexp_extract_all(html, F.lit(f"(?is)<{tag}\\b[^>]*>"), F.lit(0)), lambda x: x.rlike(marked))
-    found = F.regexp_extract(F.try_element_at(tags, F.lit(1)), value, 1)
-    return F.when(F.length(found) > 0, F.trim(found))
+    return F.filter(F.transform(tags, lambda x: F.trim(F.regexp_extract(x, value, 1))), lambda x: F.length(x) > 0)
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(url, target) of canonical links and meta refreshes in the pages' html, target as written."""
+    """(url, target) of all canonical links and meta refreshes in the pages' html, target as written but for character references."""
     html = F.col("html")
     own = pages.where(F.col("url").contains("://") & html.rlike("(?i)canonical|http-equiv"))
-    targets = F.array(
-        _tag(html, "link", r"(?is)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"),
-        _tag(html, "meta", r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b", r"(?is)\burl\s*=\s*[\"']?([^\"'>]+)"),
-    )
-    return own.select("url", F.explode(targets).alias("target")).where("target is not null")
-
-
-def resolved(url: Column, target: Column) -> Column:
-    """A link's target as an absolute address."""
-    base = F.concat(F.lit("x://"), part(url, 1))
-    folder = F.coalesce(F.nullif(F.regexp_extract(part(url, 2), r"^(.*/)", 1), F.lit("")), F.lit("/"))
-    return (
-        F.when(target.contains("://"), target)
-        .when(target.startswith("//"), F.concat(F.lit("x:"), target))
-        .when(target.startswith("/"), F.concat(base, target))
-        .otherwise(F.concat(base, folder, target))
+    targets = F.concat(
+        _tags(html, "link", r"(?is)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"),
+        _tags(html, "meta", r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b", r"(?is)\burl\s*=\s*[\"']?([^\"'>]+)"),
     )
+    return own.select("url", F.explode(targets).alias("target")).withColumn("target", decoded("target"))
+
+
+@F.pandas_udf(StringType())
+def decoded(target: pd.Series) -> pd.Series:
+    return target.map(html_module.unescape)
+
+
+@F.pandas_udf(StringType())
+def resolved(url: pd.Series, target: pd.Series) -> pd.Series:
+    """A link's target as an absolute address, dot segments taken out; null where there is none."""
+
+    def one(url: str | None, target: str | None) -> str | None:
+        if not url or not target or "://" not in url:
+            return None
+        try:  # the scheme tells nothing here, and joining knows only some
+            return urljoin("http" + url[url.index("://") :], target)
+        except ValueError:
+            return None
+
+    return pd.Series([one(u, t) for u, t in zip(url, target)], dtype=object)
 
 
 def node(url: Column) -> Column:
@@ -107,11 +119,12 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], redirects: DataFrame | Non
     groups = judged.groupBy("component").agg(
         F.when(F.bool_or(F.col("own") == "allow"), "allow").when(F.bool_or(F.col("own") == "block"), "block").alias("alias_verdict")
     )
-    alias = judged.join(groups, "component").where("alias_verdict is not null").select(F.col("node").alias("_node"), F.col("alias_verdict").alias("_alias"))
-    taken = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "via")]
+    name, own, other = (free_name(x, pages) for x in ("_node", "_own", "_alias"))
+    alias = judged.join(groups, "component").where("alias_verdict is not null").select(F.col("node").alias(name), F.col("alias_verdict").alias(other))
+    taken = [f"`{c}`" for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "via")]
     host, path = part(F.col("url"), 1), part(F.col("url"), 2)
     text, verdict = rule_columns(rules, F.col("host"), F.col("path"))
-    rows = pages.select(*taken, host.alias("host"), path.alias("path"), node(F.col("url")).alias("_node"))
-    out = rows.select("*", text.alias("rule"), verdict.alias("_own")).join(alias, "_node", "left")
-    via = F.when(F.col("_own").isNotNull(), "rule").when(F.col("_alias").isNotNull(), "alias").otherwise("none")
-    return out.select(*taken, "host", "path", "rule", F.coalesce("_own", "_alias", F.lit("allow")).alias("verdict"), via.alias("via"))
+    rows = pages.select(*taken, host.alias("host"), path.alias("path"), node(F.col("url")).alias(name))
+    out = rows.select("*", text.alias("rule"), verdict.alias(own)).join(alias, name, "left")
+    via = F.when(F.col(own).isNotNull(), "rule").when(F.col(other).isNotNull(), "alias").otherwise("none")
+    return out.select(*taken, "host", "path", "rule", F.coalesce(own, other, F.lit("allow")).alias("verdict"), via.alias("via"))
