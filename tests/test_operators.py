@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tiersight.functions import numbers
 from tiersight.functions import text as names
-from tiersight.operators import graph, hypotheses, listing, matching, ranks, rollups, validators
+from tiersight.operators import graph, hypotheses, listing, matching, ranks, records, rollups, textsearch, validators
 from tiersight.plans import views
 
 
@@ -133,3 +133,33 @@ def test_zip_refuses_other_rows(spark):
 def test_greedy_cover(spark):
     rows = spark.createDataFrame([(i, d, 10) for i, d in enumerate([5, 5, 4, 3, 2, 1])], "code long, density int, amount long")
     assert sorted(r.code for r in rollups.greedy_cover(rows, "code", "density", "amount").collect()) == [0, 1, 2]
+
+
+def test_groups_postcodes_and_addresses(spark):
+    rows = spark.createDataFrame([("1", "a", "g", 2)], "code string, name string, grp string, n int")
+    groups = spark.createDataFrame([("g",), ("h",)], "grp string")
+    assert records.group_of(rows, groups, "grp", "g", []).columns == ["code", "name", "grp"] and records.group_of(rows, groups, "grp", "h").count() == 0
+    with pytest.raises(ValueError, match="no grp x"):
+        records.group_of(rows, groups, "grp", "x")
+    assert one(spark, names.village_in(F.lit("دوار النخلة جماعة الواد"), arabic=True)) == "النخلة"
+    assert one(spark, names.village_in(F.lit("rue des Douarnenez"))) is None
+    assert one(spark, records.bare_arabic(F.lit("ال واد"))) == "واد" and one(spark, records.bare_arabic(F.lit("الو"))) == "الو"
+
+
+def test_villages_in_arabic(spark):
+    entries = spark.createDataFrame([("1", "وادي", "wadi", ["wd"], 5), ("2", "ايت وادي", "ait wadi", ["twd"], 9), ("3", "بوادي", "bouadi", ["bd"], 7)], "code string, arabic string, latin string, keys array<string>, people int")
+    asked = spark.createDataFrame([("وا", []), ("wadi", ["wd"]), ("", [])], "query string, keys array<string>")
+    got = {(r.query, r.place): (r.code, r["rank"], r.total) for r in textsearch.villages(entries, asked).collect()}
+    assert got[("وا", 1)] == ("1", 0, 3) and got[("وا", 2)] == ("2", 1, 3) and got[("وا", 3)] == ("3", 2, 3)
+    assert got[("wadi", 1)] == ("1", -1, 2) and got[("wadi", 2)][0] == "2"
+
+
+def test_axis_ticks_and_running_sums(spark):
+    assert one(spark, numbers.decade_ticks(F.lit(0.1), F.lit(1000.0))) == [0.1, 1.0, 10.0, 100.0, 1000.0]
+    rows = spark.range(1000).select("id", (F.col("id") * 7 % 13).alias("v"))
+    got = {r.id: r.b for r in ranks.summed_before(rows, [F.desc("v"), F.asc("id")], "v", "b").collect()}
+    total, want = 0, {}
+    for i in sorted(range(1000), key=lambda i: (-(i * 7 % 13), i)):
+        want[i] = total
+        total += i * 7 % 13
+    assert got == want

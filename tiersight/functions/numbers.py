@@ -74,3 +74,20 @@ def banded(x: Column, breaks: list[float], unknown: str = "n") -> Column:
     for k in range(len(breaks) - 1, -1, -1):
         out = F.when(x < breaks[k], str(k)).otherwise(out)
     return F.when(x.isNull(), unknown).otherwise(out)
+
+
+#: Tops of axes that split into round steps, as multiples of a power of ten; fixed values.
+NICE = [1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0]
+
+
+def nice_top(x: Column) -> Column:
+    """The smallest round number at or above a value, 1 for none above zero."""
+    power = F.pow(F.lit(10.0), F.floor(F.log10(x)))
+    fits = F.filter(F.array(*map(F.lit, NICE)), lambda n: n * power >= x - 1e-9)
+    return F.when(x <= 0, F.lit(1.0)).otherwise(F.floor(F.element_at(fits, 1) * power * 1e6 + 0.5) / 1e6)
+
+
+def decade_ticks(lo: Column, hi: Column) -> Column:
+    """Every power of ten from one to another, as a logarithmic axis shows."""
+    powers = F.sequence(F.round(F.log10(lo)).cast("int"), F.round(F.log10(hi)).cast("int"))
+    return F.transform(powers, lambda p: F.floor(F.pow(F.lit(10.0), p) * 1e6 + 0.5) / 1e6)

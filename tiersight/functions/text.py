@@ -15,9 +15,11 @@ LETTERS = {"ة": "ه", "ى": "ي", "ء": "", "ـ": "", "ݣ": "ك", "ڭ": "ك", "
 SEPARATORS = "’'`‘-–—_/.,()"
 #: Articles written as words of their own; fixed values.
 ARTICLES = "el al l ed er es ez et en ech ad ar as az at an".split()
-#: Digits that stand for letters in Latin chat spelling, and digraphs for one sound, in order; fixed values.
-CHAT = [("[23]", ""), ("7", "h"), ("9", "q"), ("5", "kh")]
-SOUNDS = [("ou", "w"), ("kh", "x"), ("[cs]h", "S"), ("gh", "G"), ("th", "t"), ("dh", "d"), ("ph", "f"), ("[qc]", "k"), ("[aeiou0-9]", "")]
+#: Digits that stand for letters in Latin chat spelling; 2 and 3 stand for sounds that Latin spellings drop. Fixed values.
+CHAT = {"5": "kh", "7": "h", "9": "q", "2": "", "3": ""}
+#: Groups of letters that are one sound, and letters that sound as another or not at all; fixed values.
+GROUPS = {"ou": "w", "kh": "x", "sh": "S", "ch": "S", "gh": "G", "th": "t", "dh": "d", "ph": "f"}
+SINGLE = {"q": "k", "c": "k"} | dict.fromkeys("aeiou0123456789", "")
 LABELS = "Commune|Arrondissement|Cercle|Province|Préfecture|Région"
 
 
@@ -44,16 +46,29 @@ def normalise(name: Column, decompose: bool = True) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
+def spelled_out(s: Column) -> Column:
+    """Chat spelling with letters in place of its digits."""
+    single = {k: v for k, v in CHAT.items() if len(v) < 2}
+    for digit in CHAT.keys() - single.keys():
+        s = F.replace(s, F.lit(digit), F.lit(CHAT[digit]))
+    kept = [k for k, v in single.items() if v]
+    return F.translate(s, "".join([*kept, *(single.keys() - set(kept))]), "".join(single[k] for k in kept))
+
+
+def sounds(s: Column, groups: dict[str, str], single: dict[str, str]) -> Column:
+    """A text read sound by sound from the left: groups of letters before single ones, what is in neither as it is.
+
+    Sounds said twice in a row count once.
+    """
+    read = F.regexp_extract_all(s, F.lit("|".join([*groups, "."])), F.lit(0))
+    said = F.create_map(*[F.lit(x) for pair in (single | groups).items() for x in pair])
+    return F.regexp_replace(F.concat_ws("", F.transform(read, lambda x: F.coalesce(said[x], x))), r"(.)\1+", "$1")
+
+
 def skeleton(normalised: Column) -> Column:
     """A Latin name's consonants, which survive transliteration; empty for other scripts."""
-    s = normalised
-    for pattern, to in CHAT:
-        s = F.regexp_replace(s, pattern, to)
-    s = F.concat_ws("", F.filter(F.split(s, " "), lambda w: ~w.isin(ARTICLES)))
-    for pattern, to in SOUNDS:
-        s = F.regexp_replace(s, pattern, to)
-    s = F.regexp_replace(s, r"(.)\1+", "$1")
-    return F.when(normalised.rlike("[^a-z0-9 ]"), "").otherwise(s)
+    words = F.filter(F.split(spelled_out(normalised), " "), lambda w: ~w.isin(ARTICLES))
+    return F.when(normalised.rlike("[^a-z0-9 ]"), "").otherwise(sounds(F.concat_ws("", words), GROUPS, SINGLE))
 
 
 def trigrams(s: Column) -> Column:
@@ -176,3 +191,16 @@ def crawler(agent: Column) -> Column:
 def locale_of(path: Column) -> Column:
     found = F.regexp_extract(path, r"^/(ar|en)(?:/|$)", 1)
     return F.when(found == "", "fr").otherwise(found)
+
+
+#: Words that end a village's name in an address; fixed values.
+AFTER_VILLAGE = ["commune", "cr", r"c\.r", "c/r", "ccr", "caidat", "caïdat", "cercle"]
+AFTER_VILLAGE_AR = ["جماعة", "ج/", r"ج\.", "الجماعة", "قيادة", "دائرة"]
+
+
+def village_in(address: Column, arabic: bool = False) -> Column:
+    """The village that an address names, up to the commune or district; null where it names none."""
+    first, ends = (r"دوار\s*", AFTER_VILLAGE_AR) if arabic else (r"(?i)\bdouar\s+", AFTER_VILLAGE)
+    stop = "|".join(ends)
+    found = F.regexp_extract(address, rf"{first}(.+?)(?:\s+(?:{stop}){'' if arabic else chr(92) + 'b'}.*)?$", 1)
+    return F.nullif(F.trim(found), F.lit(""))

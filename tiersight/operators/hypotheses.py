@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiersight.functions.numbers import kappa, normal_cdf
-from tiersight.operators.ranks import average_rank
+from tiersight.operators.ranks import average_rank, summed_before
 
 
 def stream(seed: int) -> Callable[[], float]:
@@ -96,12 +96,13 @@ def mann_whitney(rows: DataFrame, by: list[str], first: str, value: str) -> Data
 
 def discoveries(rows: DataFrame, p: str, q: float, tie: str, by: list[str] | None = None) -> DataFrame:
     """Rows with `found`: discoveries by Benjamini and Hochberg at level q."""
-    w = Window.partitionBy(*(by or []))
-    k = F.row_number().over(w.orderBy(p, tie))
-    n = F.count("*").over(w)
-    marked = rows.withColumns({"_k": k, "_n": n})
-    cut = F.max(F.when(F.col(p) <= F.col("_k") / F.col("_n") * F.lit(q), F.col("_k"))).over(w)
-    return marked.withColumn("found", F.coalesce(F.col("_k") <= cut, F.lit(False))).drop("_k", "_n")
+    by = by or []
+    placed = summed_before(rows.withColumn("_one", F.lit(1)), [F.asc(c) for c in (*by, p, tie)], "_one", "_before")
+    groups = placed.groupBy(*by).agg(F.min("_before").alias("_start"), F.count("*").alias("_n"))
+    meet = lambda a, b: a.join(b, by) if by else a.join(F.broadcast(b))
+    marked = meet(placed, groups).withColumn("_k", F.col("_before") - F.col("_start") + 1)
+    cuts = marked.groupBy(*by).agg(F.max(F.when(F.col(p) <= F.col("_k") / F.col("_n") * F.lit(q), F.col("_k"))).alias("_cut"))
+    return meet(marked, cuts).withColumn("found", F.coalesce(F.col("_k") <= F.col("_cut"), F.lit(False))).select(*rows.columns, "found")
 
 
 def judged_links(outcomes: DataFrame, q: float = 0.05, least: float = 0.2) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiersight.functions.text import short_id
-from tiersight.operators.ranks import best_of, moments
+from tiersight.operators.ranks import best_of, with_moments
 
 FINDING = ["id", "code", "level", "measure", "kind", "value", "reference", "score", "direction"]
 
@@ -22,10 +22,13 @@ def extremes(facts: DataFrame, floor: float, share: float = 0.01) -> DataFrame:
     A tail has a share of the units, one at least. Ties are cut by code.
     """
     rows = facts.where(F.col("size") >= floor).where("value is not null")
-    mean, spread = moments("value", "measure")
+    # every row of a tail is beyond these, whose ranks are off by a ten-thousandth of the rows at most
+    beyond = min(1.0, 1.5 * share + 0.001)
+    cuts = rows.groupBy("measure").agg(F.percentile_approx("value", [beyond, 1 - beyond], 10_000).alias("cut"))
+    rows = with_moments(rows, "value", "measure").join(cuts, "measure").where((F.col("value") <= F.col("cut")[0]) | (F.col("value") >= F.col("cut")[1]))
     up, down = Window.partitionBy("measure").orderBy("value", "code"), Window.partitionBy("measure").orderBy(F.desc("value"), F.desc("code"))
-    tail = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy("measure")) * F.lit(share) + F.lit(0.5)))
-    rows = rows.withColumns({"mean": mean, "spread": spread, "tail": tail, "low": F.row_number().over(up), "top": F.row_number().over(down)})
+    tail = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(share) + F.lit(0.5)))
+    rows = rows.withColumns({"tail": tail, "low": F.row_number().over(up), "top": F.row_number().over(down)})
     rows = rows.where("spread is not null and (low <= tail or top <= tail)").withColumn("value", F.col("value").cast("double"))
     scored = rows.withColumns({"reference": F.col("mean"), "score": F.abs(F.col("value") - F.col("mean")) / F.col("spread")})
     return _finding(scored, "extreme", F.col("value") >= F.col("reference"))
@@ -38,9 +41,7 @@ def changes(facts: DataFrame, edges: DataFrame, least_units: int = 10, threshold
     A swing is borne out by a neighbour that moved the same way at least half as much.
     """
     moved = facts.where("before is not null and after is not null").withColumn("change", F.col("after") - F.col("before"))
-    mean, spread = moments("change", "level", "measure")
-    n = F.count("*").over(Window.partitionBy("level", "measure"))
-    scored = moved.withColumns({"mean": mean, "spread": spread, "n": n})
+    scored = with_moments(moved, "change", "level", "measure")
     scored = scored.withColumn("z", (F.col("change").cast("double") - F.col("mean")) / F.col("spread"))
     far = scored.where((F.col("n") >= least_units) & (F.abs("z") >= threshold))
     near = edges.join(moved.select(F.col("code").alias("b"), "measure", F.col("change").alias("theirs")), "b")
@@ -59,8 +60,7 @@ def gaps(children: DataFrame, parents: DataFrame, least: int = 8, threshold: flo
     children: code, level, parent, measure, value (decimal); parents: parent, measure, parent_value.
     """
     rows = children.where("value is not null").join(parents.where("parent_value is not null"), ["parent", "measure"]).withColumn("diff", F.col("value") - F.col("parent_value"))
-    mean, spread = moments("diff", "parent", "measure")
-    rows = rows.withColumns({"n": F.count("*").over(Window.partitionBy("parent", "measure")), "mean": mean, "spread": spread})
+    rows = with_moments(rows, "diff", "parent", "measure")
     rows = rows.withColumn("z", (F.col("diff").cast("double") - F.col("mean")) / F.col("spread")).where((F.col("n") >= least) & (F.abs("z") >= threshold))
     high = F.col("diff") > 0
     return _finding(rows.withColumns({"value": F.col("value").cast("double"), "reference": F.col("parent_value").cast("double"), "score": F.abs("z")}), "gap", high)

@@ -5,18 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiersight.operators.staging import stage
 
-def moments(value: str, *by: str) -> tuple[Column, Column]:
-    """Mean and population spread over a group; the spread is null where there is none.
 
-    value: a decimal or whole number, so that sums are exact however they are dealt out.
+def with_moments(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """Rows with n, mean and population spread of their group; the spread is null where there is none.
+
+    value: a decimal or whole number, so that sums are exact however they are dealt out. Groups are
+    summed up before their rows are joined, so that a hot group is nowhere together.
+    """
+    x = F.col(value)
+    sums = rows.groupBy(*by).agg(F.count(x).alias("n"), F.sum(x).cast("double").alias("mean"), F.sum(x * x).cast("double").alias("spread"))
+    n, mean = F.col("n").cast("double"), F.col("mean") / F.col("n").cast("double")
+    spread = F.sqrt(F.greatest(F.col("spread") / n - mean * mean, F.lit(0.0)))
+    return rows.join(sums.select(*by, "n", mean.alias("mean"), F.when(spread > 0, spread).alias("spread")), list(by))
+
+
+def summed_before(rows: DataFrame, order: list[Column], amount: str, name: str) -> DataFrame:
+    """Rows with the sum of an amount over all rows before them in an order, which must be total.
+
+    Rows are dealt out by ranges of the order and written; each range starts from what the earlier ones
+    sum up to, a row for each range, so that no task sees more than a range.
     """
-    w = Window.partitionBy(*by)
-    n = F.count(value).over(w).cast("double")
-    mean = F.sum(value).over(w).cast("double") / n
-    squares = F.sum(F.col(value) * F.col(value)).over(w).cast("double") / n
-    spread = F.sqrt(F.greatest(squares - mean * mean, F.lit(0.0)))
-    return mean, F.when(spread > 0, spread)
+    part, start = f"_{name}_range", f"_{name}_start"
+    ranged = stage(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(part).agg(F.sum(amount).alias("_sum")).select(part, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias(start))
+    within = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(starts), part)
+    return out.withColumn(name, F.col(start) + F.coalesce(F.sum(amount).over(within), F.lit(0))).drop(part, start)
 
 
 def average_rank(value: str, *by: str) -> Column:

@@ -14,17 +14,25 @@ from tiersight.functions.geo import haversine
 from tiersight.operators.graph import components
 from tiersight.operators.matching import mutual_best
 
-LABEL = r"(?i)^(?:(?:Commune|Arrondissement|Cercle|Province|Préfecture|Région|Municipalité)s?(?: d['’]arrondissements?)?\s*:?\s*(?:de\s+la\s+|de\s+l['’]|de\s+|du\s+|des\s+|d['’])?)+"
-LABEL_AR = "^(?:(?:جماعة|مقاطعة|دائرة|إقليم|عمالة|جهة|بلدية)\\s*:?\\s*)+"
+#: Words that say a unit's level in front of its name, and what links them to it; fixed values.
+LEVELS = "Communes?|Arrondissements?|Cercles?|Provinces?|Préfectures?|Régions?"
+LEVELS_AR = "جهة|عمالة|إقليم|دائرة|جماعة|مقاطعات|مقاطعة"
+LINKS = r"de\s+la\s+|de\s+l['’]\s*|de\s+|du\s+|des\s+|d['’]\s*"
+LABEL = rf"(?iu)^(?:(?:{LEVELS})\s+(?:{LINKS})?)+"
+LABEL_AR = rf"^(?:(?:{LEVELS_AR})\s+)+"
+
+
+def _without(name: Column, label: str) -> Column:
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(name, r"\*+$", "")), label, ""))
 
 
 def stripped_label(name: Column) -> Column:
-    """A name without the labels in front of it, however many."""
-    return F.trim(F.regexp_replace(F.regexp_replace(name, LABEL, ""), r"\*+$", ""))
+    """A name without its footnote marks and the labels in front of it, however many; a label ends in a blank."""
+    return _without(name, LABEL)
 
 
 def stripped_label_ar(name: Column) -> Column:
-    return F.trim(F.regexp_replace(name, LABEL_AR, ""))
+    return _without(name, LABEL_AR)
 
 
 def by_path(people: Column, homes: Column, path: str) -> Column:
@@ -146,3 +154,47 @@ def coverage_holes(edges: DataFrame) -> DataFrame:
     own = parts.where("outline").select("grp", *[F.col(c).alias(f"_{c}") for c in ("west", "south", "east", "north")])
     inside = (F.col("west") >= F.col("_west")) & (F.col("south") >= F.col("_south")) & (F.col("east") <= F.col("_east")) & (F.col("north") <= F.col("_north"))
     return parts.where("not outline").join(own, "grp").where(inside).select("grp", "ring", "sides", "west", "south", "east", "north")
+
+
+def group_of(rows: DataFrame, groups: DataFrame, key: str, value: object, figures: list[str] | None = None) -> DataFrame:
+    """The rows of one group, with some figures or all; a group that isn't there is an error, one without rows isn't."""
+    if groups.where(F.col(key) == F.lit(value)).isEmpty():
+        raise ValueError(f"no {key} {value}")
+    found = rows.where(F.col(key) == F.lit(value))
+    return found if figures is None else found.select(*[c for c in rows.columns if c in ("code", "name", key)], *figures)
+
+
+def inherited_names(unnamed: DataFrame, named: DataFrame, place: str, key: str, value: str, order: str) -> DataFrame:
+    """`unnamed` with the value of the first of `named` (by order) in the same place under the same key."""
+    first = named.where(F.col(value).isNotNull()).groupBy(place, key).agg(F.min_by(value, order).alias(value))
+    return unnamed.join(first, [place, key], "left")
+
+
+def bare_arabic(normalised: Column) -> Column:
+    """A folded Arabic name without spaces and article, if two letters or more are left."""
+    return F.regexp_replace(F.replace(normalised, F.lit(" "), F.lit("")), "^ال(?=..)", "")
+
+
+def postcodes(named: DataFrame, localities: DataFrame, provinces: DataFrame, units: DataFrame) -> DataFrame:
+    """(postcode, code, names): which units a postcode is of, with the names it is written for.
+
+    named: postcode, code, name; localities: postcode, province, locality, which is looked up by name
+    among the provinces (code, name) and then among the province's units (code, province, name).
+    Postcodes have five digits; names that are none or several of their place give nothing.
+    """
+    once = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("n"), F.first("code").alias("code")).where("n = 1").drop("n")
+    inside = localities.join(once(provinces, "name").select(F.col("name").alias("province"), F.col("code").alias("p")), "province")
+    own = once(units, "province", "name").select(F.col("province").alias("p"), F.col("name").alias("locality"), "code")
+    placed = inside.join(own, ["p", "locality"]).select("postcode", "code", F.lit(None).cast("string").alias("name"))
+    both = named.select("postcode", "code", "name").unionAll(placed).where(F.col("postcode").rlike(r"^\d{5}$"))
+    return both.groupBy("postcode", "code").agg(F.sort_array(F.collect_set("name")).alias("names"))
+
+
+def mean_changes(facts: DataFrame) -> DataFrame:
+    """(level, measure, change): the mean change of units that have both figures, those matched by a crosswalk left out.
+
+    facts: level, basis, measure, before, after (decimals or whole numbers).
+    """
+    fine = facts.where("before is not null and after is not null and (basis is null or basis <> 'crosswalk')")
+    sums = fine.groupBy("level", "measure").agg(F.sum(F.col("after") - F.col("before")).cast("double").alias("s"), F.count("*").alias("n"))
+    return sums.select("level", "measure", (F.col("s") / F.col("n").cast("double")).alias("change"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiersight.operators.ranks import summed_before
+
 
 def child_counts(children: DataFrame, parent: str, parents: DataFrame, key: str, name: str = "children") -> DataFrame:
     """Every parent with its number of children, 0 where it has none."""
@@ -48,12 +50,18 @@ def histogram(rows: DataFrame, value: str, edges: list[float]) -> DataFrame:
     return spark.createDataFrame(bounds, "bin int, lo double, hi double").join(counts, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def equal_width(rows: DataFrame, value: str, bins: int) -> DataFrame:
-    """(bin, n) of equal bins from the least to the most value, which is in the last."""
-    ends = rows.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    at = F.floor((F.col(value) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins)
-    placed = rows.where(F.col(value).isNotNull()).join(F.broadcast(ends)).select(F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin"))
-    return placed.groupBy("bin").agg(F.count("*").alias("n"))
+def equal_width(rows: DataFrame, value: str, bins: int, log: bool = False) -> DataFrame:
+    """(bin, n) of equal bins from the least to the most value, which is in the last; empty bins too.
+
+    log: bins of equal width on a logarithmic axis, of values above zero.
+    """
+    x = F.when(F.col(value) > 0, F.log(value)) if log else F.col(value)
+    rows = rows.select(x.alias("x")).where("x is not null")
+    ends = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    at = F.floor((F.col("x") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins)
+    placed = rows.join(F.broadcast(ends)).select(F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin"))
+    every = rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(placed.groupBy("bin").agg(F.count("*").alias("n")), "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def nearest_rank(value: str, shares: list[float]) -> Column:
@@ -64,19 +72,10 @@ def nearest_rank(value: str, shares: list[float]) -> Column:
 
 
 def greedy_cover(rows: DataFrame, code: str, density: str, amount: str, share: float = 0.5) -> DataFrame:
-    """The densest units that together hold a share of the amount.
-
-    The running sum is over totals of distinct densities, added up by ranges, so that no task sees
-    more than a range of the rows.
-    """
-    total = F.sum(amount).over(Window.partitionBy())
-    ranks = rows.groupBy(density).agg(F.sum(amount).alias("here"), F.count("*").alias("n"))
-    before = F.sum("here").over(Window.orderBy(F.col(density).desc()).rowsBetween(Window.unboundedPreceding, -1))
-    cut = ranks.select(density, F.coalesce(before, F.lit(0)).alias("before"), F.sum("here").over(Window.partitionBy()).alias("total"))
-    within = rows.join(cut, density)
-    tied = F.sum(amount).over(Window.partitionBy(density).orderBy(code).rowsBetween(Window.unboundedPreceding, -1))
-    reached = F.col("before") + F.coalesce(tied, F.lit(0))
-    return within.withColumn("reached", reached).where(F.col("reached") < F.col("total") * F.lit(share).cast("decimal(3,2)")).select(*rows.columns, "reached")
+    """The densest units that together hold a share of the amount, and what the denser ones hold (reached)."""
+    total = rows.agg(F.sum(amount).alias("_total"))
+    summed = summed_before(rows, [F.desc(density), F.asc(code)], amount, "reached").join(F.broadcast(total))
+    return summed.where(F.col("reached") < F.col("_total") * F.lit(share).cast("decimal(3,2)")).select(*rows.columns, "reached")
 
 
 def residual(total: Column, parts: Column, held: Column) -> Column:
@@ -95,9 +94,10 @@ def nested_topics(facts: DataFrame) -> DataFrame:
 def run_compared(a: DataFrame, b: DataFrame, top: int = 5) -> DataFrame:
     """Two runs on their common ids: passes, sums, flips and the biggest moves (id, passed, score)."""
     both = a.select("id", F.col("passed").alias("p1"), F.col("score").alias("s1")).join(b.select("id", F.col("passed").alias("p2"), F.col("score").alias("s2")), "id")
-    moved = F.struct((-F.abs(F.col("s2") - F.col("s1"))).alias("by"), F.col("id"))
-    return both.agg(
+    moves = both.where("s1 <> s2").select((-F.abs(F.col("s2") - F.col("s1"))).alias("by"), "id").orderBy("by", "id").limit(top)
+    moves = moves.agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("by", "id"))), lambda m: m["id"].cast("string"))).alias("moves"))
+    sums = both.agg(
         F.count("*").alias("common"), F.count_if("p1").alias("passes_1"), F.count_if("p2").alias("passes_2"),
         F.sum("s1").alias("sum_1"), F.sum("s2").alias("sum_2"), F.count_if(F.col("p1") != F.col("p2")).alias("flips"),
-        F.concat_ws(",", F.transform(F.slice(F.sort_array(F.collect_list(F.when((F.col("s1") != F.col("s2")), moved))), 1, top), lambda m: m["id"].cast("string"))).alias("moves"),
     )
+    return sums.join(F.broadcast(moves))

@@ -92,3 +92,70 @@ def village_rank(q: Column, name: Column, q_key: Column, key: Column) -> Column:
     """0 for an equal key, 1 for a key's beginning (two letters), 2 for letters inside (three); less 10 where spellings are close."""
     base = F.when(key == q_key, 0).when((F.length(q_key) >= 2) & key.startswith(q_key), 1).when((F.length(q) >= 3) & name.contains(q), 2)
     return F.when(names.letters_apart_share(q, name) <= 0.34, F.coalesce(base, F.lit(2)) - 10).otherwise(base)
+
+
+def _starts(s: Column) -> Column:
+    """All runs of one to three characters of a text, by which any text inside it is found."""
+    n = F.length(s)
+
+    def of(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substr(s, i, F.lit(k)))
+
+    runs = [of(k) for k in (1, 2, 3)]
+    return F.array_distinct(F.concat(*runs))
+
+
+def _sounded(s: Column) -> Column:
+    """ou as w, spaces left out."""
+    return F.replace(F.replace(s, F.lit(" "), F.lit("")), F.lit("ou"), F.lit("w"))
+
+
+def villages(entries: DataFrame, queries: DataFrame, limit: int = 10, close: float = 0.34) -> DataFrame:
+    """(query, code, rank, near, total, place): villages that queries find, best first.
+
+    entries: code, arabic, latin (folded names), keys (array), people; queries: query (folded), keys.
+    Arabic: 0 at the name's beginning, 1 at a word's, 2 inside. Latin: 0 for an equal key, 1 for a
+    key's beginning (two letters), 2 for letters inside the name (three); where spellings are close,
+    before all others. Then the nearer spelling, the more people, the code.
+    """
+    asked = queries.where(F.col("query") != "").withColumn("script", F.when(F.col("query").rlike(r"\p{IsArabic}"), "arabic").otherwise("latin"))
+    head = asked.select("query", "script", F.substring("query", 1, 3).alias("run"))
+    inside = lambda name: entries.select("code", F.col(name).alias("name"), F.explode(_starts(F.col(name))).alias("run"))
+    at = F.instr("name", F.col("query"))
+    arabic = inside("arabic").join(F.broadcast(head.where("script = 'arabic'")), "run").where(at > 0)
+    arabic = arabic.select("query", "code", F.when(at == 1, 0).when(F.substr("name", at - 1, F.lit(1)) == " ", 1).otherwise(2).alias("base"))
+    latin = inside("latin").join(F.broadcast(head.where("script = 'latin' and length(query) >= 3")), "run").where(at > 0).select("query", "code", F.lit(2).alias("base"))
+    begins = F.array_append(F.transform(F.sequence(F.lit(2), F.greatest(F.length("key"), F.lit(2))), lambda i: F.substr("key", F.lit(1), i)), F.col("key"))
+    keyed = entries.select("code", F.explode("keys").alias("key")).where("key <> ''").select("code", "key", F.explode(F.array_distinct(begins)).alias("begin"))
+    wanted = asked.where("script = 'latin'").select("query", F.explode("keys").alias("begin")).where("begin <> ''")
+    keyed = keyed.join(F.broadcast(wanted), "begin").select("query", "code", F.when(F.col("key") == F.col("begin"), 0).otherwise(1).alias("base"))
+    hits = arabic.unionAll(latin).unionAll(keyed).groupBy("query", "code").agg(F.min("base").alias("base"))
+    hits = hits.join(entries.select("code", "latin", "people"), "code").join(F.broadcast(asked.select("query", "script")), "query")
+    near = F.when(F.col("script") == "latin", names.letters_apart_share(_sounded(F.col("query")), _sounded(F.col("latin"))))
+    rank = F.when(near <= close, F.least("base", F.lit(0)) - 1).otherwise(F.col("base"))
+    ranked = hits.withColumns({"near": near, "rank": rank})
+    total = ranked.groupBy("query").agg(F.count("*").alias("total"))
+    w = Window.partitionBy("query").orderBy("rank", F.coalesce("near", F.lit(0.0)), F.desc("people"), "code")
+    best = ranked.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+    return best.join(F.broadcast(total), "query").select("query", "code", "rank", "near", "total", "place")
+
+
+def picked(units: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
+    """(query, code, tier, place): units for a picker, the larger first within a tier.
+
+    units: code, name, arabic (folded), bones, people; queries: query (folded), bones. Tiers: the whole
+    name, its beginning, a word's beginning, equal first consonants (two or more), inside (three letters).
+    """
+    asked = F.broadcast(queries.where(F.col("query") != "").withColumn("run", F.substring("query", 1, 3)))
+    q = F.col("query")
+    word = lambda c: F.exists(F.split(c, " "), lambda w: w.startswith(q))
+    either = lambda test: F.coalesce(test(F.col("name")), F.lit(False)) | F.coalesce(test(F.col("arabic")), F.lit(False))
+    tier = F.when(either(lambda c: c == q), 0).when(either(lambda c: c.startswith(q)), 1).when(either(word), 2).when((F.length(q) >= 3) & either(lambda c: c.contains(q)), 4)
+    runs = F.array_distinct(F.concat(_starts(F.coalesce("name", F.lit(""))), _starts(F.coalesce("arabic", F.lit("")))))
+    spelt = units.select("code", "name", "arabic", F.explode(runs).alias("run")).join(asked.select("query", "run"), "run").select("query", "code", tier.alias("tier"))
+    begins = F.transform(F.sequence(F.lit(2), F.greatest(F.length("bones"), F.lit(2))), lambda i: F.substr("bones", F.lit(1), i))
+    heard = units.where(F.length("bones") >= 2).select("code", F.explode(begins).alias("bones")).join(asked.where(F.length("bones") >= 2).select("query", "bones"), "bones")
+    heard = heard.select("query", "code", F.lit(3).alias("tier"))
+    hits = spelt.where("tier is not null").unionAll(heard).groupBy("query", "code").agg(F.min("tier").alias("tier")).join(units.select("code", "people"), "code")
+    w = Window.partitionBy("query").orderBy("tier", F.desc("people"), "code")
+    return hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("query", "code", "tier", "place")

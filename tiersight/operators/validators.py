@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiersight.operators.graph import components
+
 PROBLEM = "check string, code string, detail string"
 
 
@@ -77,6 +79,29 @@ def undone(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return order.unionAll(_problem(twice, "repeated pair", F.col("a"), F.col("b"))).unionAll(_problem(lone, "no border", F.col("code"), F.lit(None)))
 
 
+def in_parts(edges: DataFrame) -> DataFrame:
+    """A problem for every part of a border graph but the one with the smallest unit."""
+    parts = components(edges).where("node = component").select("component")
+    first = parts.agg(F.min("component").alias("first"))
+    return _problem(parts.join(F.broadcast(first), F.col("component") > F.col("first")), "not connected", F.col("component"), F.lit(None))
+
+
+def uncovered_area(parents: DataFrame, children: DataFrame, limit: float = 0.01) -> DataFrame:
+    """Parents (code, area) whose children's areas (parent, area) differ from theirs by over a share of it; decimals."""
+    sums = children.groupBy(F.col("parent").alias("code")).agg(F.sum("area").alias("covered"))
+    off = parents.join(sums, "code").where(F.abs(F.col("covered") - F.col("area")) > F.col("area") * F.lit(limit).cast("decimal(4,3)"))
+    return _problem(off, "area not covered", F.col("code"), F.col("covered"))
+
+
+def unsourced(records: DataFrame, figures: dict[str, str], sources: DataFrame) -> DataFrame:
+    """Figures that are there without a source (figures: column to the column of its source), and sources that aren't registered (sources: id)."""
+    said = F.explode(F.array(*[F.struct(F.lit(v).alias("figure"), F.col(v).isNotNull().alias("there"), F.col(c).alias("source")) for v, c in figures.items()])).alias("x")
+    rows = records.select("code", said).select("code", "x.*")
+    missing = _problem(rows.where("there and source is null"), "no source", F.col("code"), F.col("figure"))
+    unknown = rows.where("source is not null").join(F.broadcast(sources), F.col("source") == F.col("id"), "left_anti")
+    return missing.unionAll(_problem(unknown, "unknown source", F.col("code"), F.col("source")))
+
+
 def differing_lists(found: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """What is found but not known, and known but not found."""
     both = found.select(key).distinct().withColumn("_found", F.lit(True)).join(known.select(key).distinct().withColumn("_known", F.lit(True)), key, "full_outer")

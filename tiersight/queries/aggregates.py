@@ -83,10 +83,17 @@ def size_histogram(spark, sf_dir):
     return rollups.histogram(Tables(spark, sf_dir).part, "p_retailprice", [900.0, 1000.0, 1500.0, 1e9])
 
 
-@query("""WITH e AS (SELECT min(s_acctbal) AS lo, max(s_acctbal) AS hi FROM supplier)
-SELECT least(floor((s_acctbal - lo) / (hi - lo) * 12), 11)::INTEGER AS bin, count(*) AS n FROM supplier, e GROUP BY 1""")
+@query("""WITH e AS (SELECT min(s_acctbal) AS lo, max(s_acctbal) AS hi FROM supplier), b AS (SELECT unnest(range(60))::INTEGER AS bin),
+n AS (SELECT least(floor((s_acctbal - lo) / (hi - lo) * 60), 59)::INTEGER AS bin, count(*) AS n FROM supplier, e GROUP BY 1)
+SELECT bin, coalesce(n, 0) AS n FROM b LEFT JOIN n USING (bin)""")
 def equal_width_histogram(spark, sf_dir):
-    return rollups.equal_width(Tables(spark, sf_dir).supplier, "s_acctbal", 12)
+    return rollups.equal_width(Tables(spark, sf_dir).supplier, "s_acctbal", 60)
+
+
+@query("""WITH x AS (SELECT ln(o_totalprice) AS x FROM orders WHERE o_totalprice > 0), e AS (SELECT min(x) AS lo, max(x) AS hi FROM x), b AS (SELECT unnest(range(40))::INTEGER AS bin),
+n AS (SELECT least(floor((x - lo) / (hi - lo) * 40), 39)::INTEGER AS bin, count(*) AS n FROM x, e GROUP BY 1) SELECT bin, coalesce(n, 0) AS n FROM b LEFT JOIN n USING (bin)""")
+def logarithmic_histogram(spark, sf_dir):
+    return rollups.equal_width(Tables(spark, sf_dir).orders, "o_totalprice", 40, log=True)
 
 
 @query("""WITH g AS (SELECT c_mktsegment AS segment, list_sort(list(c_acctbal)) AS v FROM customer GROUP BY 1)
@@ -200,10 +207,10 @@ def area_by_sex_cube(spark, sf_dir):
     return rows.select(F.coalesce("l_returnflag", F.lit("all")).alias("area"), F.coalesce("l_linestatus", F.lit("all")).alias("sex"), "n")
 
 
-@query("""WITH f AS (SELECT c_custkey AS code, unnest([c_acctbal, c_nationkey::DOUBLE]) AS value, unnest(['money.balance', 'place.nation']) AS path FROM customer WHERE c_custkey <= 500)
+@query("""WITH f AS (SELECT c_custkey AS code, unnest([c_acctbal, c_nationkey::DOUBLE]) AS value, unnest(['money.balance', 'place.nation']) AS path FROM customer)
 SELECT code, value, split_part(path, '.', 1) AS topic, regexp_extract(path, '^[^.]*\\.(.*)$', 1) AS key FROM f""")
 def unpivoted_metrics(spark, sf_dir):
-    rows = Tables(spark, sf_dir).customer.where("c_custkey <= 500").select(F.col("c_custkey").alias("code"), F.col("c_acctbal").alias("money.balance"), F.col("c_nationkey").cast("double").alias("place.nation"))
+    rows = Tables(spark, sf_dir).customer.select(F.col("c_custkey").alias("code"), F.col("c_acctbal").alias("money.balance"), F.col("c_nationkey").cast("double").alias("place.nation"))
     long = rows.unpivot(["code"], ["`money.balance`", "`place.nation`"], "path", "value")
     return long.select("code", "value", F.substring_index("path", ".", 1).alias("topic"), F.regexp_extract("path", r"^[^.]*\.(.*)$", 1).alias("key"))
 

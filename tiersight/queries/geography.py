@@ -77,12 +77,12 @@ def ring_measures(spark, sf_dir):
     return out.withColumn("area_km2", half_up(F.col("area_km2"), 4))
 
 
-@query("""WITH d AS (SELECT l_orderkey AS arc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS seq, l_partkey % 9 - 4 AS dx, l_suppkey % 7 - 3 AS dy FROM lineitem WHERE l_orderkey < 2000)
+@query("""WITH d AS (SELECT l_orderkey AS arc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS seq, l_partkey % 9 - 4 AS dx, l_suppkey % 7 - 3 AS dy FROM lineitem)
 SELECT arc, seq::BIGINT AS seq, sum(dx) OVER w * 0.5::DOUBLE - 9 AS x, sum(dy) OVER w * 0.25::DOUBLE + 30 AS y FROM d WINDOW w AS (PARTITION BY arc ORDER BY seq)""")
 def decoded_arcs(spark, sf_dir):
     from pyspark.sql import Window
 
-    rows = Tables(spark, sf_dir).lineitem.where("l_orderkey < 2000")
+    rows = Tables(spark, sf_dir).lineitem
     seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")).cast("long")
     deltas = rows.select(F.col("l_orderkey").alias("arc"), seq.alias("seq"), (F.col("l_partkey") % 9 - 4).alias("dx"), (F.col("l_suppkey") % 7 - 3).alias("dy"))
     return geo.decoded_arcs(deltas, (0.5, 0.25), (-9, 30))

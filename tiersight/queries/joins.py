@@ -73,29 +73,29 @@ DICE_SQL = "2.0::DOUBLE * len(list_intersect(x.g, y.g))::DOUBLE / (len(x.g) + le
 
 @query(f"""WITH s AS (SELECT p_partkey AS code, p_brand AS grp, ' ' || replace(p_name, ' ', '') || ' ' AS name, p_size AS size FROM part),
 g AS (SELECT code, grp, size, {grams_sql('name')} AS g FROM s)
-SELECT x.code AS "left", y.code AS "right", {DICE_SQL} AS similarity FROM g x JOIN g y ON x.grp = y.grp AND x.code < y.code AND x.code % 4 = 0 AND y.code % 4 = 1
+SELECT x.code AS "left", y.code AS "right", {DICE_SQL} AS similarity FROM g x JOIN g y ON x.grp = y.grp AND x.code < y.code AND x.code % 2 = 0 AND y.code % 2 = 1
 WHERE {DICE_SQL} >= 0.5 OR x.size = y.size""")
 def fuzzy_gated_join(spark, sf_dir):
     """Pairs in a group whose names are alike or whose sizes are equal."""
     part = Tables(spark, sf_dir).part
     rows = part.select(F.col("p_partkey").alias("code"), F.col("p_brand").alias("grp"), F.col("p_size").alias("size"), names.padded_grams(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("g"))
-    left = rows.where("code % 4 = 0").select(F.col("code").alias("left"), "grp", F.col("size").alias("s1"), F.col("g").alias("g1"))
-    right = rows.where("code % 4 = 1").select(F.col("code").alias("right"), "grp", F.col("size").alias("s2"), F.col("g").alias("g2"))
+    left = rows.where("code % 2 = 0").select(F.col("code").alias("left"), "grp", F.col("size").alias("s1"), F.col("g").alias("g1"))
+    right = rows.where("code % 2 = 1").select(F.col("code").alias("right"), "grp", F.col("size").alias("s2"), F.col("g").alias("g2"))
     similarity = names.dice(F.col("g1"), F.col("g2"))
     pairs = matching.gated(left, right, "grp", (F.col("left") < F.col("right")) & ((similarity >= 0.5) | (F.col("s1") == F.col("s2"))))
     return pairs.select("left", "right", similarity.alias("similarity"))
 
 
-MUTUAL_SQL = f"""s AS (SELECT p_partkey AS code, p_brand AS grp, ' ' || replace(p_name, ' ', '') || ' ' AS name FROM part WHERE p_partkey % 5 < 2),
+MUTUAL_SQL = f"""s AS (SELECT p_partkey AS code, p_brand AS grp, ' ' || replace(p_name, ' ', '') || ' ' AS name FROM part),
 g AS (SELECT code, grp, {grams_sql('name')} AS g FROM s),
-pairs AS (SELECT x.code AS l, y.code AS r, {DICE_SQL} AS score FROM g x JOIN g y ON x.grp = y.grp AND x.code % 5 = 0 AND y.code % 5 = 1),
+pairs AS (SELECT x.code AS l, y.code AS r, {DICE_SQL} AS score FROM g x JOIN g y ON x.grp = y.grp AND x.code % 2 = 0 AND y.code % 2 = 1),
 k AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS a, row_number() OVER (PARTITION BY r ORDER BY score DESC, l) AS b FROM pairs WHERE score > 0.2)"""
 
 
 def name_pairs(t: Tables, shift: int = 0):
-    rows = t.part.where("p_partkey % 5 < 2").select(F.col("p_partkey").alias("code"), F.col("p_brand").alias("grp"), names.padded_grams(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("g"))
-    left = rows.where("code % 5 = 0").select(F.col("code").alias("left"), "grp", F.col("g").alias("g1"))
-    right = rows.where("code % 5 = 1").select(F.col("code").alias("right"), "grp", F.col("g").alias("g2"))
+    rows = t.part.select(F.col("p_partkey").alias("code"), F.col("p_brand").alias("grp"), names.padded_grams(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("g"))
+    left = rows.where("code % 2 = 0").select(F.col("code").alias("left"), "grp", F.col("g").alias("g1"))
+    right = rows.where("code % 2 = 1").select(F.col("code").alias("right"), "grp", F.col("g").alias("g2"))
     if shift:
         groups = t.part.select("p_brand").distinct().withColumn("k", F.dense_rank().over(Window.orderBy("p_brand")) - 1)
         n = groups.select("p_brand", "k")
@@ -112,7 +112,7 @@ def mutual_best_match(spark, sf_dir):
 
 @query(f"""WITH {MUTUAL_SQL}, brands AS (SELECT p_brand, dense_rank() OVER (ORDER BY p_brand) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT p_brand FROM part)),
 moved AS (SELECT x.p_brand AS grp, y.p_brand AS other FROM brands x JOIN brands y ON y.k = (x.k + 7) % x.n),
-d AS (SELECT x.code AS l, y.code AS r, {DICE_SQL} AS score FROM g x JOIN (SELECT g.code, moved.other AS grp, g.g FROM g JOIN moved USING (grp)) y ON x.grp = y.grp AND x.code % 5 = 0 AND y.code % 5 = 1),
+d AS (SELECT x.code AS l, y.code AS r, {DICE_SQL} AS score FROM g x JOIN (SELECT g.code, moved.other AS grp, g.g FROM g JOIN moved USING (grp)) y ON x.grp = y.grp AND x.code % 2 = 0 AND y.code % 2 = 1),
 dk AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS a, row_number() OVER (PARTITION BY r ORDER BY score DESC, l) AS b FROM d WHERE score > 0.2),
 c AS (SELECT (SELECT count(*) FROM k WHERE a = 1 AND b = 1) AS matches, (SELECT count(*) FROM dk WHERE a = 1 AND b = 1) AS decoys)
 SELECT matches, decoys, decoys::DOUBLE / nullif(matches::DOUBLE, 0) AS chance FROM c""")
@@ -123,13 +123,13 @@ def decoy_join(spark, sf_dir):
     return matching.decoy_share(best(0), best(7))
 
 
-@query("""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS row_idx, l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_partkey END ORDER BY l_orderkey * 10 + l_linenumber, l_suppkey, l_quantity) AS k, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_partkey END AS tag FROM lineitem WHERE l_orderkey < 3000),
+@query("""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS row_idx, l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_partkey END ORDER BY l_orderkey * 10 + l_linenumber, l_suppkey, l_quantity) AS k, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_partkey END AS tag FROM lineitem),
 s AS (SELECT tag, CASE WHEN tag IS NULL OR tag % 5 = 0 THEN 'unmatched' WHEN k > 1 THEN 'rejected' ELSE 'matched' END AS status, CASE WHEN tag IS NULL THEN 'no tag' WHEN tag % 5 = 0 THEN 'unknown code' WHEN k > 1 THEN 'taken' END AS reason FROM r)
 SELECT tag, status, reason, count(*) AS n FROM s GROUP BY ALL""")
 def tag_claims(spark, sf_dir):
     """Rows that claim a unit by its tag: the first has it."""
     t = Tables(spark, sf_dir)
-    rows = t.lineitem.where("l_orderkey < 3000").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_idx"), F.when(F.col("l_partkey") % 7 != 0, F.col("l_partkey")).alias("tag"))
+    rows = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_idx"), F.when(F.col("l_partkey") % 7 != 0, F.col("l_partkey")).alias("tag"))
     units = t.part.where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("code"))
     return matching.claimed(rows, units, "tag").groupBy("tag", "status", "reason").agg(F.count("*").alias("n"))
 

@@ -57,13 +57,13 @@ def request_routes(spark, sf_dir):
     return Tables(spark, sf_dir).part.select(F.col("p_partkey").alias("code"), names.route(path).alias("route"), names.locale_of(prefix).alias("locale"))
 
 
-@query("""WITH b AS (SELECT o_orderkey AS id, o_orderkey % 3 AS k, o_orderpriority AS tool FROM orders WHERE o_orderkey < 4000)
+@query("""WITH b AS (SELECT o_orderkey AS id, o_orderkey % 3 AS k, o_orderpriority AS tool FROM orders)
 SELECT id, unnest(CASE WHEN k = 0 THEN ['tools/call'] WHEN k = 1 THEN ['tools/list', 'tools/call'] ELSE []::VARCHAR[] END) AS method, unnest(CASE WHEN k = 0 THEN [tool] WHEN k = 1 THEN [NULL, tool] ELSE []::VARCHAR[] END) AS tool FROM b""")
 def rpc_messages(spark, sf_dir):
     """Methods and tools in JSON-RPC bodies, single and in batches."""
     tool = F.concat(F.lit('{"method":"tools/call","params":{"name":"'), "o_orderpriority", F.lit('"}}'))
     body = F.when(F.col("o_orderkey") % 3 == 0, tool).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit('[{"method":"tools/list"},'), tool, F.lit("]"))).otherwise("{}")
-    return demand.messages(Tables(spark, sf_dir).orders.where("o_orderkey < 4000").select(F.col("o_orderkey").alias("id"), body.alias("body")))
+    return demand.messages(Tables(spark, sf_dir).orders.select(F.col("o_orderkey").alias("id"), body.alias("body")))
 
 
 @query("""WITH d AS (SELECT event_id, ts::DATE AS day, user_id FROM events) SELECT user_id, strftime(min(day), '%Y-%m-%d') AS first, strftime(max(day), '%Y-%m-%d') AS last, count(DISTINCT day) AS days, count(*) FILTER (day >= (SELECT max(day) - 7 FROM d)) AS recent FROM d GROUP BY 1""")

@@ -60,17 +60,28 @@ def matched_both_ways(spark, sf_dir):
     return records.matched_both_ways(names, counts, "code")
 
 
-@query("""WITH n AS (SELECT unnest(['Commune: Agadir', 'Province: Commune de Tata*', 'Région de l''Oriental', 'Fès']) AS name) SELECT name, CASE name WHEN 'Commune: Agadir' THEN 'Agadir' WHEN 'Province: Commune de Tata*' THEN 'Tata' WHEN 'Région de l''Oriental' THEN 'Oriental' ELSE name END AS bare FROM n""")
+LABELLED = ["Commune de ", "Préfecture d'arrondissements de la ", "Région  de l'", "PROVINCE Cercle du ", "Régional ", "communes "]
+LABELLED_AR = ["جماعة ", "عمالة مقاطعات ", "إقليم جهة", "دائرة  ", "", "مقاطعة "]
+LABELS_SQL = "".join(f" WHEN {i} THEN '{front.replace(chr(39), chr(39) * 2)}'" for i, front in enumerate(LABELLED))
+LABELS_AR_SQL = "".join(f" WHEN {i} THEN '{front}'" for i, front in enumerate(LABELLED_AR))
+
+
+@query(rf"""WITH n AS (SELECT c_custkey AS code, CASE c_custkey % 6{LABELS_SQL} END || c_name || CASE WHEN c_custkey % 4 = 0 THEN '**' ELSE '' END AS fr, CASE c_custkey % 6{LABELS_AR_SQL} END || c_name || '*' AS ar FROM customer)
+SELECT code, trim(regexp_replace(trim(regexp_replace(fr, '\*+$', '')), '^((communes?|arrondissements?|cercles?|provinces?|préfectures?|régions?)\s+(de\s+la\s+|de\s+l''\s*|de\s+|du\s+|des\s+|d''\s*)?)+', '', 'i')) AS fr,
+  trim(regexp_replace(trim(regexp_replace(ar, '\*+$', '')), '^((جهة|عمالة|إقليم|دائرة|جماعة|مقاطعات|مقاطعة)\s+)+', '')) AS ar FROM n""")
 def stripped_labels(spark, sf_dir):
-    rows = spark.createDataFrame([(n,) for n in ("Commune: Agadir", "Province: Commune de Tata*", "Région de l'Oriental", "Fès")], "name string")
-    return rows.select("name", records.stripped_label(F.col("name")).alias("bare"))
+    """Names without the labels of their levels, in two scripts."""
+    front = lambda texts: F.element_at(F.array(*map(F.lit, texts)), (F.col("c_custkey") % len(texts)).cast("int") + 1)
+    marks = F.when(F.col("c_custkey") % 4 == 0, "**").otherwise("")
+    rows = Tables(spark, sf_dir).customer.select(F.col("c_custkey").alias("code"), F.concat(front(LABELLED), "c_name", marks).alias("fr"), F.concat(front(LABELLED_AR), "c_name", F.lit("*")).alias("ar"))
+    return rows.select("code", records.stripped_label(F.col("fr")).alias("fr"), records.stripped_label_ar(F.col("ar")).alias("ar"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS l, q.s_suppkey AS r, p_size % 5 AS grp, ((p_partkey * s_suppkey) % 100) / 100.0::DOUBLE AS score FROM part p JOIN supplier q ON p_size % 5 = s_suppkey % 5 WHERE p_partkey < 200),
+@query("""WITH p AS (SELECT p_partkey AS l, q.s_suppkey AS r, p_size % 5 AS grp, ((p_partkey * s_suppkey) % 100) / 100.0::DOUBLE AS score FROM part p JOIN supplier q ON p_size % 5 = s_suppkey % 5),
 b AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS k FROM p) SELECT l AS "left", r AS "right", score FROM b WHERE k = 1""")
 def best_within_parent(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    left = t.part.where("p_partkey < 200").select(F.col("p_partkey").alias("left"), (F.col("p_size") % 5).cast("long").alias("grp"))
+    left = t.part.select(F.col("p_partkey").alias("left"), (F.col("p_size") % 5).cast("long").alias("grp"))
     right = t.supplier.select(F.col("s_suppkey").alias("right"), (F.col("s_suppkey") % 5).alias("grp"))
     pairs = left.join(right, "grp")
     return matching.best_within(pairs, "left", (F.col("left") * F.col("right") % 100) / F.lit(100.0), [F.asc("right")]).select("left", "right", "score")

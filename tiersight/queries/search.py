@@ -16,12 +16,11 @@ ARTICLES_SQL = ", ".join(f"'{a}'" for a in names.ARTICLES)
 
 
 def skeleton_sql(s: str) -> str:
-    out = s
-    for pattern, to in names.CHAT:
-        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    out = f"translate(replace({s}, '5', 'kh'), '7923', 'hq')"
     out = f"array_to_string(list_filter(string_split({out}, ' '), lambda w: w NOT IN ({ARTICLES_SQL})), '')"
-    for pattern, to in names.SOUNDS:
-        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    for letters, sound in names.GROUPS.items():
+        out = f"replace({out}, '{letters}', '{sound}')"
+    out = f"translate({out}, 'qcaeiou0123456789', 'kk')"
     squeezed = f"array_to_string(list_transform(range(1, length({out}) + 1), lambda i: CASE WHEN i > 1 AND substr({out}, i, 1) = substr({out}, i - 1, 1) THEN '' ELSE substr({out}, i, 1) END), '')"
     return f"CASE WHEN regexp_matches({s}, '[^a-z0-9 ]') THEN '' ELSE {squeezed} END"
 
