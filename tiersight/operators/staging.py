@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder (`spark.checkpoint.dir`); a local one only where none is set."""
+    """The session's checkpoint folder (`spark.checkpoint.dir`); a local one only where none is set and all runs in one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tiersight-"))
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if root is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="tiersight-"))
     return sc.getCheckpointDir()
 
 
@@ -24,4 +27,13 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete what `stage` wrote for this table; nothing that is still to be computed may read it."""
+    spark = staged.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged.staged_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
