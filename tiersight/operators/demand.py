@@ -41,6 +41,28 @@ def report(daily: DataFrame, by: str, where: Column, most: int = 25) -> DataFram
     return daily.where(where & (F.col(by).cast("string") != "")).groupBy(F.col(by).cast("string").alias("value")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(most)
 
 
+def reports(daily: DataFrame, events: DataFrame, since: Column, most: int = 25) -> DataFrame:
+    """(report, value, n): the seven reports on what was looked up since a day, `most` rows each but for where people came from.
+
+    daily: KEY and n; events: KEY and results, the number of hits. Programs' rows count for tools and clients only.
+    """
+    kind, person = F.col("kind"), ~F.col("bot")
+    recent, raw = daily.where(F.col("day") >= since), events.where(F.col("day") >= since).withColumn("n", F.lit(1))
+    parts = {
+        "places": (recent, "code", person & (kind == "place")),
+        "searches": (recent, "text", person & (kind == "search")),
+        "nothing found": (raw, "text", person & (kind == "search") & (F.col("results") == 0)),
+        "tools": (recent, "name", kind == "tool"),
+        "clients": (recent, "name", kind == "client"),
+        "downloads": (recent, "code", person & (kind == "download")),
+    }
+    came = recent.where(person & kind.isin("place", "search", "download")).groupBy(F.col("via").alias("value")).agg(F.sum("n").alias("n"))
+    out = came.select(F.lit("came from").alias("report"), "value", "n")
+    for name, (table, by, where) in parts.items():
+        out = out.unionAll(report(table, by, where, most).select(F.lit(name), "value", "n"))
+    return out
+
+
 def refresh(daily: DataFrame, path: str) -> None:
     """Write counts by day; a day that is written again is replaced as a whole, days not in `daily` stay."""
     daily.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)

@@ -37,6 +37,24 @@ def build_index(units: DataFrame, aliases: DataFrame | None = None, decompose: b
     return Index(entries, postings, once)
 
 
+def _known(rows: DataFrame, entries: DataFrame, what: str) -> DataFrame:
+    """Rows whose unit (entry) the index holds; another unit is an error."""
+    held = rows.join(entries.select("entry", F.lit(True).alias("_held")), "entry", "left")
+    strange = F.raise_error(F.concat(F.lit(f"{what} "), F.col(what), F.lit(" is placed in a unit that the index doesn't hold"))).cast("string")
+    return held.withColumn(what, F.when(F.col("_held"), F.col(what)).otherwise(strange)).drop("_held")
+
+
+def attached_places(index: Index, places: DataFrame, decompose: bool = True) -> DataFrame:
+    """(key, place, entry): the folded names, other spellings too, that a place (place, entry, also) is searched by."""
+    named = _known(places, index.entries, "place").select("place", "entry", F.explode(F.concat(F.array("place"), F.coalesce("also", F.array().cast("array<string>")))).alias("name"))
+    return named.select(names.normalise(F.col("name"), decompose).alias("key"), "place", "entry").where("key <> ''").distinct()
+
+
+def attached_postcodes(index: Index, postcodes: DataFrame, most: int = 4) -> DataFrame:
+    """(postcode, entry, names): the units of a postcode with the first few names of each (postcode, entry, names)."""
+    return _known(postcodes, index.entries, "postcode").select("postcode", "entry", F.slice("names", 1, most).alias("names"))
+
+
 def search(index: Index, queries: DataFrame, limit: int = 10, decompose: bool = True) -> DataFrame:
     """(query, entry, score, matched, place): each query's best entries (queries: query).
 

@@ -38,16 +38,21 @@ def most_looked_up(spark, sf_dir):
     return demand.ranking(daily, F.lit(last))
 
 
-@query(f"""WITH {DAILY_SQL}, r AS (SELECT 'code' AS report, code AS value, n FROM daily WHERE NOT bot AND code <> '' UNION ALL SELECT 'text', text, n FROM daily WHERE kind <> 'place' AND text <> '' UNION ALL SELECT 'via', via, n FROM daily WHERE true UNION ALL SELECT 'name', name, n FROM daily WHERE bot),
-s AS (SELECT report, value, sum(n)::BIGINT AS n FROM r GROUP BY ALL) SELECT report, value, n FROM s QUALIFY row_number() OVER (PARTITION BY report ORDER BY n DESC, value) <= 25""")
+SORTED_SQL = """{0} AS (SELECT * REPLACE (CASE kind WHEN 'click' THEN 'search' WHEN 'error' THEN 'tool' WHEN 'purchase' THEN 'download' WHEN 'signup' THEN 'client' ELSE kind END AS kind) FROM {1})"""
+
+
+@query(f"""WITH {DAILY_SQL}, {SORTED_SQL.format("d", "daily")}, {SORTED_SQL.format("e", "(SELECT *, event_id % 4 AS results FROM log)")}, since AS (SELECT max(day) - 20 AS since FROM log),
+r AS (SELECT 'places' AS report, code AS value, n FROM d, since WHERE day >= since AND kind = 'place' AND NOT bot UNION ALL SELECT 'searches', text, n FROM d, since WHERE day >= since AND kind = 'search' AND NOT bot
+UNION ALL SELECT 'nothing found', text, 1 FROM e, since WHERE day >= since AND kind = 'search' AND results = 0 AND NOT bot UNION ALL SELECT 'tools', name, n FROM d, since WHERE day >= since AND kind = 'tool'
+UNION ALL SELECT 'clients', name, n FROM d, since WHERE day >= since AND kind = 'client' UNION ALL SELECT 'came from', via, n FROM d, since WHERE day >= since AND kind IN ('place', 'search', 'download') AND NOT bot
+UNION ALL SELECT 'downloads', code, n FROM d, since WHERE day >= since AND kind = 'download' AND NOT bot), s AS (SELECT report, value, sum(n)::BIGINT AS n FROM r WHERE value <> '' GROUP BY ALL)
+SELECT report, value, n FROM s QUALIFY report = 'came from' OR row_number() OVER (PARTITION BY report ORDER BY n DESC, value) <= 25""")
 def demand_reports(spark, sf_dir):
-    daily = demand.daily_counts(log_of(Tables(spark, sf_dir).events))
-    bot, kind = F.col("bot"), F.col("kind")
-    parts = [demand.report(daily, by, where).select(F.lit(by).alias("report"), "value", "n") for by, where in (("code", ~bot), ("text", kind != "place"), ("via", F.lit(True)), ("name", bot))]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
+    log = log_of(Tables(spark, sf_dir).events).withColumn("results", F.col("event_id") % 4)
+    named = F.create_map(*[F.lit(x) for x in ("click", "search", "error", "tool", "purchase", "download", "signup", "client")])
+    sort = lambda rows: rows.withColumn("kind", F.coalesce(named[F.col("kind")], F.col("kind")))
+    since = F.lit(log.agg(F.date_sub(F.max("day"), 20)).first()[0])
+    return demand.reports(sort(demand.daily_counts(log)), sort(log), since)
 
 
 @query(f"WITH {LOG_SQL} SELECT day, count(*) AS n FROM log WHERE day >= (SELECT max(day) - 20 FROM log) GROUP BY 1")

@@ -72,6 +72,19 @@ def answers(rows: DataFrame, path: str, version: str) -> DataFrame:
     return rows.select(F.col(path).alias("path"), body.alias("body"))
 
 
+def finding_files(findings: DataFrame, folder: str = "units") -> DataFrame:
+    """(path, body): a unit's published findings as JSON, highest score first (code, id, score, and what else they say)."""
+    said = [c for c in findings.columns if c not in ("code", "id", "score")]
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_order"), "id", "score", *said)))
+    units = findings.groupBy("code").agg(F.transform(ordered, lambda f: F.struct(f["id"].alias("id"), f["score"].alias("score"), *[f[c].alias(c) for c in said])).alias("findings"))
+    return units.select(F.concat(F.lit(f"{folder}/"), "code", F.lit(".json")).alias("path"), F.to_json(F.struct("code", "findings"), {"ignoreNullFields": "false"}).alias("body"))
+
+
+def finding_index(findings: DataFrame) -> DataFrame:
+    """(code, findings, best): the units with findings, how many and the best score; written with `write_level`."""
+    return findings.groupBy("code").agg(F.count("*").alias("findings"), F.max("score").alias("best"))
+
+
 def write_answers(made: DataFrame, out: str) -> None:
     """Write answers; two for one path are an error."""
     twice = made.groupBy("path").count().where("count > 1").limit(5).collect()
