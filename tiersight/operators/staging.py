@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written while `settled` is making one; None outside it.
+_written: ContextVar[list[DataFrame] | None] = ContextVar("written", default=None)
+
 
 def shared_root(spark: SparkSession) -> str:
     """The session's checkpoint folder (`spark.checkpoint.dir`); a local one only where none is set and all runs in one process."""
@@ -29,6 +34,25 @@ def stage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    if (written := _written.get()) is not None:
+        written.append(out)
+    return out
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """Stage what `make` returns, then delete the tables that were staged in making it.
+
+    Only for a `make` whose tables nothing else reads.
+    """
+    inner: list[DataFrame] = []
+    token = _written.set(inner)
+    try:
+        made = make()
+    finally:
+        _written.reset(token)
+    out = stage(made)
+    for table in inner:
+        discard(table)
     return out
 
 
