@@ -55,12 +55,8 @@ def attached_postcodes(index: Index, postcodes: DataFrame, most: int = 4) -> Dat
     return _known(postcodes, index.entries, "postcode").select("postcode", "entry", F.slice("names", 1, most).alias("names"))
 
 
-def search(index: Index, queries: DataFrame, limit: int = 10, decompose: bool = True) -> DataFrame:
-    """(query, entry, score, matched, place): each query's best entries (queries: query).
-
-    Exact names and aliases first, then prefixes less the letters over, then equal consonants, then
-    the share of trigrams. The overlap counts distinct trigrams, its base all of them.
-    """
+def _name_hits(index: Index, queries: DataFrame, decompose: bool) -> DataFrame:
+    """(query, entry, level_rank, score, matched): all that queries find by units' names."""
     q = queries.select("query", names.normalise(F.col("query"), decompose).alias("q")).where("q <> ''").distinct()
     q = q.select("*", F.size(names.trigrams(F.col("q"))).alias("q_grams"), names.skeleton(F.col("q")).alias("q_bones"))
     walked = q.select("query", F.explode(F.array_distinct(names.trigrams(F.col("q")))).alias("gram")).join(index.postings, "gram")
@@ -80,9 +76,65 @@ def search(index: Index, queries: DataFrame, limit: int = 10, decompose: bool =
         .otherwise(dice)
     )
     matched = F.when(same, "exact").when(F.col("aliased").isNotNull(), "alias").when(field.isNotNull(), "prefix").when(F.col("spelt").isNotNull(), "spelling").otherwise("trigram")
-    scored = hits.select("query", "entry", "level_rank", score.alias("score"), matched.alias("matched")).where("score > 0")
+    return hits.select("query", "entry", "level_rank", score.alias("score"), matched.alias("matched")).where("score > 0")
+
+
+def search(index: Index, queries: DataFrame, limit: int = 10, decompose: bool = True) -> DataFrame:
+    """(query, entry, score, matched, place): each query's best entries (queries: query).
+
+    Exact names and aliases first, then prefixes less the letters over, then equal consonants, then
+    the share of trigrams. The overlap counts distinct trigrams, its base all of them.
+    """
     w = Window.partitionBy("query").orderBy(F.desc("score"), "level_rank", "entry")
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("query", "entry", "score", "matched", "place")
+    ranked = _name_hits(index, queries, decompose).withColumn("place", F.row_number().over(w))
+    return ranked.where(F.col("place") <= limit).select("query", "entry", "score", "matched", "place")
+
+
+def _place_hits(index: Index, queries: DataFrame, places: DataFrame, placed_level: int | None, decompose: bool) -> DataFrame:
+    """(query, entry, level_rank, score, place_name): units that queries find by a place in them (places: key, place, entry)."""
+    q = names.normalise(F.col("query"), decompose)
+    asked = queries.select("query", q.alias("q"), F.substr(q, F.lit(1), F.lit(3)).alias("head")).where("length(q) >= 3").distinct()
+    heads = F.transform(F.array_append(F.split("key", " "), F.col("key")), lambda w: F.substr(w, F.lit(1), F.lit(3)))
+    met = places.select("key", "place", "entry", F.explode(F.array_distinct(heads)).alias("head")).join(asked, "head")
+    bonus = F.when(F.col("level_rank") == placed_level, 1.0).otherwise(0.0) if placed_level is not None else F.lit(0.0)
+    scored = met.join(index.entries.select("entry", "level_rank"), "entry").withColumn("score", place_score(F.col("q"), F.col("key")) + bonus)
+    return scored.where("score is not null").select("query", "entry", "level_rank", "score", F.col("place").alias("place_name"))
+
+
+def search_all(
+    index: Index, queries: DataFrame, codes: DataFrame, places: DataFrame | None = None, postcodes: DataFrame | None = None, levels: list[int] | None = None, limit: int = 10,
+    placed_level: int | None = None, decompose: bool = True,
+) -> DataFrame:
+    """(query, entry, score, matched, place_name, names, place): names, places in units, codes and postcodes at once.
+
+    codes: code, digits, entry; places and postcodes as attached to the index. A query of digits and dots is
+    a code: it finds the units of that code, by level and entry, then those of a postcode of five digits with
+    the names it covers, and nothing by name. Others find a unit once, by its own name or the place nearest
+    to the query, place_name; places of units of `placed_level` go before those matched as well. `levels`:
+    the level_ranks to find. A null query finds nothing.
+    """
+    digits = F.trim("query").rlike(r"^[0-9][0-9.]*$")
+    spelt, numbers = queries.where(~digits), queries.where(digits).select("query").distinct()
+    none, few = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    hits = _name_hits(index, spelt, decompose).withColumn("place_name", none)
+    if places is not None:
+        by_place = _place_hits(index, spelt, places, placed_level, decompose).withColumn("matched", F.lit("place"))
+        hits = hits.unionByName(by_place)
+    best = F.min(F.struct(-F.col("score"), F.coalesce("place_name", F.lit("")), "place_name", "matched", "score", "level_rank")).alias("b")
+    hits = hits.groupBy("query", "entry").agg(best).select("query", "entry", "b.score", "b.matched", "b.place_name", few.alias("names"), "b.level_rank")
+    level = index.entries.select("entry", "level_rank")
+    found = by_code(codes, numbers).join(codes.select("code", "entry"), "code").select("query", "entry").distinct().join(level, "entry")
+    hits = hits.unionByName(found.select("query", "entry", F.lit(EXACT).alias("score"), F.lit("code").alias("matched"), none.alias("place_name"), few.alias("names"), "level_rank"))
+    if postcodes is not None:
+        five = numbers.select("query", F.trim("query").alias("postcode")).where(F.length("postcode") == 5)
+        found = five.join(postcodes, "postcode").join(level, "entry")
+        hits = hits.unionByName(found.select("query", "entry", F.lit(EXACT).alias("score"), F.lit("postcode").alias("matched"), none.alias("place_name"), "names", "level_rank"))
+    if levels is not None:
+        hits = hits.where(F.col("level_rank").isin(levels))
+    late = F.col("matched") == "postcode"
+    w = Window.partitionBy("query").orderBy(F.desc("score"), late, F.when(~late, F.col("level_rank")), "entry")
+    ranked = hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+    return ranked.select("query", "entry", "score", "matched", "place_name", "names", "place")
 
 
 def by_code(codes: DataFrame, queries: DataFrame) -> DataFrame:

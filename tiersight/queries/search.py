@@ -45,8 +45,10 @@ def skeleton_index(spark, sf_dir):
     return index.entries.where(F.length("bones") >= 2).groupBy("bones").agg(F.count("*").alias("n"), F.min("entry").alias("first"))
 
 
-SEARCH_SQL = f"""WITH {UNITS_SQL}, e AS (SELECT *, len({GRAMS.format(s='name')}) AS grams, {skeleton_sql('name')} AS bones FROM u),
-asked(query) AS (VALUES {', '.join(f"('{a}')" for a in ASKED)}), q0 AS (SELECT query, {NORMAL.format(s='query')} AS q FROM asked),
+def search_sql(asked: list[str]) -> str:
+    """The SQL of a search for `asked`; it lacks the aliases, a (alias, entry)."""
+    return f"""WITH {UNITS_SQL}, e AS (SELECT *, len({GRAMS.format(s='name')}) AS grams, {skeleton_sql('name')} AS bones FROM u),
+asked(query) AS (VALUES {', '.join(f"('{a}')" for a in asked)}), q0 AS (SELECT query, {NORMAL.format(s='query')} AS q FROM asked),
 q AS (SELECT *, len({GRAMS.format(s='q')}) AS q_grams, {skeleton_sql('q')} AS q_bones FROM q0 WHERE q <> ''),
 o AS (SELECT q.query, e.entry, len(list_intersect({GRAMS.format(s='q.q')}, {GRAMS.format(s='e.name')})) AS overlap, length(q_bones) >= 2 AND q_bones = bones AS spelt, EXISTS (SELECT 1 FROM a WHERE a.alias = q.q AND a.entry = e.entry) AS aliased FROM q, e),
 s AS (
@@ -59,7 +61,7 @@ s AS (
 SELECT query, entry, score, matched, row_number() OVER (PARTITION BY query ORDER BY score DESC, level_rank, entry)::INTEGER AS place FROM h WHERE score > 0 QUALIFY place <= 10"""
 
 
-@query(SEARCH_SQL.replace("asked(query)", "x AS (SELECT 'smoke' AS alias, min(entry) AS entry FROM u UNION ALL SELECT 'blue steel', max(entry) FROM u), a AS (SELECT alias, entry FROM x WHERE alias NOT IN (SELECT name FROM u)), asked(query)", 1))
+@query(search_sql(ASKED).replace("asked(query)", "x AS (SELECT 'smoke' AS alias, min(entry) AS entry FROM u UNION ALL SELECT 'blue steel', max(entry) FROM u), a AS (SELECT alias, entry FROM x WHERE alias NOT IN (SELECT name FROM u)), asked(query)", 1))
 def name_search(spark, sf_dir):
     units = name_units(Tables(spark, sf_dir))
     aliases = units.agg(F.min("entry").alias("lo"), F.max("entry").alias("hi")).select(F.explode(F.array(F.struct(F.lit("smoke").alias("alias"), F.col("lo").alias("entry")), F.struct(F.lit("blue steel").alias("alias"), F.col("hi").alias("entry")))).alias("x")).select("x.*")
@@ -67,6 +69,47 @@ def name_search(spark, sf_dir):
     return textsearch.search(index, spark.createDataFrame([(a,) for a in ASKED], "query string"), decompose=False)
 
 
+ASKED_ALL = ["lavender", "tin", "promo", "standard anodized", "anod", "steel", "lavender b", "7", "10007", "000000012", "00000.0015", "zz", "po", " 10011 "]
+PLACES_SQL = f""", n AS (SELECT DISTINCT query, trim(query) AS raw FROM asked WHERE regexp_full_match(trim(query), '[0-9][0-9.]*')),
+p AS (SELECT DISTINCT {NORMAL.format(s='p_type')} AS key, p_type AS place_name, min(p_partkey) OVER (PARTITION BY p_name) AS entry FROM part),
+ps AS (
+  SELECT query, entry, level_rank, place_name, CASE WHEN key = q THEN 950.0 WHEN starts_with(key, q) THEN 450.0 - least(199.0, length(key) - length(q))
+    WHEN NOT contains(q, ' ') AND len(list_filter(string_split(key, ' '), lambda w: starts_with(w, q))) > 0 THEN 250.0 - least(149.0, length(key) - length(q)) END + (level_rank = 2)::INTEGER AS score
+  FROM p JOIN e USING (entry), q WHERE length(q) >= 3 AND query NOT IN (SELECT query FROM n)
+), x AS (
+  SELECT query, entry, level_rank, score, matched, NULL::VARCHAR AS place_name FROM h WHERE score > 0 AND query NOT IN (SELECT query FROM n)
+  UNION ALL SELECT query, entry, level_rank, score::DOUBLE, 'place', place_name FROM ps WHERE score IS NOT NULL
+), y AS (
+  SELECT *, NULL::VARCHAR AS names FROM x QUALIFY row_number() OVER (PARTITION BY query, entry ORDER BY score DESC, coalesce(place_name, '')) = 1
+  UNION ALL SELECT query, entry, level_rank, 1000.0::DOUBLE, 'code', NULL, NULL FROM n JOIN e ON raw = substr(lpad(entry::VARCHAR, 9, '0'), 1, 5) || '.' || substr(lpad(entry::VARCHAR, 9, '0'), 6)
+    OR (NOT contains(raw, '.') AND ltrim(raw, '0') = ltrim(entry::VARCHAR, '0'))
+  UNION ALL SELECT query, entry, level_rank, 1000.0::DOUBLE, 'postcode', NULL, names FROM n JOIN
+    (SELECT (10000 + p_size)::VARCHAR AS raw, entry, array_to_string(list_slice(list_sort(list_distinct(list(p_type))), 1, 4), ', ') AS names
+     FROM (SELECT p_size, p_type, min(p_partkey) OVER (PARTITION BY p_name) AS entry FROM part) GROUP BY p_size, entry) USING (raw) JOIN e USING (entry)
+)
+SELECT query, entry, score, matched, place_name, names,
+  row_number() OVER (PARTITION BY query ORDER BY score DESC, matched = 'postcode', CASE WHEN matched <> 'postcode' THEN level_rank END, entry)::INTEGER AS place
+FROM y WHERE level_rank IN (1, 2) QUALIFY place <= 10"""
+
+
+@query(search_sql(ASKED_ALL).replace("asked(query)", "a AS (SELECT name AS alias, entry FROM u WHERE false), asked(query)", 1).rsplit("\nSELECT query, entry, score", 1)[0] + PLACES_SQL)
+def unit_search(spark, sf_dir):
+    """Names, places in units, codes and postcodes in one search."""
+    part = Tables(spark, sf_dir).part
+    units = name_units(Tables(spark, sf_dir))
+    index = textsearch.build_index(units, decompose=False)
+    inside = part.join(units.select("entry", F.col("name").alias("p_name")), "p_name").select("entry", "p_type", "p_size")
+    places = inside.select(F.col("p_type").alias("place"), "entry", F.lit(None).cast("array<string>").alias("also")).distinct()
+    postcodes = inside.groupBy((F.col("p_size") + 10000).cast("string").alias("postcode"), "entry").agg(F.array_sort(F.collect_set("p_type")).alias("names"))
+    digits = names.padded_code(F.col("entry").cast("string"))
+    codes = units.select(F.concat(F.substring(digits, 1, 5), F.lit("."), F.substring(digits, 6, 4)).alias("code"), digits.alias("digits"), "entry")
+    found = textsearch.search_all(
+        index, spark.createDataFrame([(a,) for a in ASKED_ALL], "query string"), codes, textsearch.attached_places(index, places, decompose=False),
+        textsearch.attached_postcodes(index, postcodes), levels=[1, 2], placed_level=2, decompose=False,
+    )
+    return found.withColumn("names", F.array_join("names", ", "))
+
+
 @query("""WITH c AS (SELECT lpad(p_partkey::VARCHAR, 9, '0') AS digits, substr(lpad(p_partkey::VARCHAR, 9, '0'), 1, 5) || '.' || substr(lpad(p_partkey::VARCHAR, 9, '0'), 6) AS code FROM part),
 q(query) AS (VALUES ('7'), ('000000012'), ('00000.0015'), (' 19 '), ('abc'), ('1.2'))
 SELECT DISTINCT query, code FROM q JOIN c ON regexp_full_match(trim(query), '[0-9][0-9.]*') AND (trim(query) = code OR (NOT contains(query, '.') AND ltrim(trim(query), '0') = ltrim(digits, '0')))""")
