@@ -34,9 +34,11 @@ def _byte_of() -> dict[str, int]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Callable[[str], np.ndarray]:
+def encoder(path: str, specials: bool = True) -> Callable[[str], np.ndarray]:
     """Ids of a text as the tokenizers library gives them for the file, without special tokens added.
 
+    specials: whether special tokens' strings in a text are those tokens; else they are plain text.
+
     Where the file is plain byte-level BPE whose ids follow its merges, texts of Latin-1 characters
     without special tokens go through the tiktoken library over the same vocabulary, which gives the
     same ids several times faster. All others go through tokenizers itself.
@@ -47,7 +49,9 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     def exact():  # loaded where a text needs it
         from tokenizers import Tokenizer
 
-        return Tokenizer.from_file(path)
+        found = Tokenizer.from_file(path)
+        found.encode_special_tokens = not specials
+        return found
 
     def slow(text: str) -> np.ndarray:
         return np.array(exact().encode(text, add_special_tokens=False).ids, np.uint32)
@@ -76,7 +80,7 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return slow(text)
-        if any(s in text for s in special):
+        if specials and any(s in text for s in special):
             return slow(text)
         return fast.encode_to_numpy(text, disallowed_special=())
 
