@@ -133,4 +133,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.MIX_SQL, "op7_embedding_near_dedup": lattice.NEAR_VECTORS_SQL, "op8_url_filter": URL_SQL, "op10_exact_top_k": topk.TOP_K_SQL}
+    return {"op3_source_mixing": mixing.MIX_SQL, "op7_embedding_near_dedup": lattice.NEAR_VECTORS_SQL, "op8_url_filter": URL_SQL, "op10_exact_top_k": topk.TOP_K_SQL, "op12_conversation_repair": turns.REPAIR_SQL}

@@ -278,3 +278,53 @@ def repair_digest(original: DataFrame, turns: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return out.select("conv_id", *map(zero, ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+#: The same rows by DuckDB: the checksum bit by bit, then a recursion over rows that keeps the best way to each state.
+REPAIR_SQL = r"""
+WITH RECURSIVE shown AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS id FROM conversations
+), sums AS (
+  SELECT *, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(id, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda sum, v: CASE WHEN v >= 0 THEN xor(sum, v) ELSE xor(sum >> 1, 3988292384 * (sum & 1)) END), 4294967295) % 20 AS kind
+  FROM shown
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM sums WHERE kind <> 0
+), sorted AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 200), sha256(length(role)::VARCHAR || ':' || role || text), copy) AS i FROM damaged
+), faults AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ \x09-\x0D]') THEN 'b'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+      WHEN NOT regexp_matches(text, '[.!?][ \x09-\x0D]*$') THEN 't' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+  FROM sorted
+), counts AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+), puts(a, b, price, put, made) AS (
+  VALUES (0, 0, 0, '', []::VARCHAR[]), (0, 2, 2, 'I', ['user:']), (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 1, 0, '', []), (1, 2, 2, 'I', ['user:']), (1, 3, 4, 'II', ['user:', 'assistant:']),
+    (2, 2, 0, '', []), (2, 3, 2, 'I', ['assistant:']), (2, 2, 4, 'II', ['assistant:', 'user:']), (3, 3, 0, '', []), (3, 2, 2, 'I', ['user:']), (3, 3, 4, 'II', ['user:', 'assistant:'])
+), edits(a, initial, edit, b, price, role) AS (
+  VALUES (0, 's', 'K', 1, 0, NULL), (0, 'u', 'K', 2, 0, NULL), (1, 'u', 'K', 2, 0, NULL), (3, 'u', 'K', 2, 0, NULL), (2, 'a', 'K', 3, 0, NULL),
+    (0, NULL, 'R', 2, 2, 'user'), (1, NULL, 'R', 2, 2, 'user'), (3, NULL, 'R', 2, 2, 'user'), (2, NULL, 'R', 3, 2, 'assistant'),
+    (0, NULL, 'D', 0, 3, NULL), (1, NULL, 'D', 1, 3, NULL), (2, NULL, 'D', 2, 3, NULL), (3, NULL, 'D', 3, 3, NULL)
+), ways AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS state, {'cost': 0::BIGINT, 'audit': '', 'made': []::VARCHAR[]} AS best FROM counts
+  UNION ALL
+  SELECT w.conv_id, f.i, e.b, min({'cost': w.best.cost + p.price + e.price + CASE WHEN f.fault = 't' AND e.edit <> 'D' THEN 1 ELSE 0 END, 'audit': w.best.audit || p.put || e.edit,
+    'made': w.best.made || p.made || CASE WHEN e.edit = 'D' THEN []::VARCHAR[] ELSE [coalesce(e.role, f.role) || ':' || f.text] END})
+  FROM ways w JOIN puts p ON p.a = w.state JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1
+  JOIN edits e ON e.a = p.b AND (e.initial IS NULL OR e.initial = left(f.role, 1)) AND (e.edit = 'D' OR f.fault NOT IN ('b', 'd'))
+  GROUP BY w.conv_id, f.i, e.b
+), done AS (
+  SELECT c.conv_id, min({'cost': w.best.cost + p.price, 'audit': w.best.audit || p.put, 'made': w.best.made || p.made}) AS best
+  FROM counts c JOIN ways w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.n JOIN puts p ON p.a = w.state AND p.b IN (0, 3) GROUP BY c.conv_id
+)
+SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal,
+  coalesce(d.best.cost, 0) AS cost, coalesce(d.best.audit, '') AS audit, sha256(coalesce(array_to_string(d.best.made, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
