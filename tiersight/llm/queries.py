@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiersight.llm import alignment, genetic, html_text, lattice, mixing, packing, passages, quality, simhash, topk, turns, urls
+from tiersight.llm import alignment, genetic, html_text, lattice, mixing, packing, passages, private, quality, simhash, topk, turns, urls
 
 RULES = [
     urls.rule_of("block", "com/en/"),
@@ -72,6 +72,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair_digest(original, turns.damage(original))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.span_digests(table(spark, sf_dir, "documents"))
+
+
 URL_SQL = r"""
 WITH RECURSIVE parts AS (
   SELECT page_id, url, html, url LIKE '%://%' AS full_url,
@@ -128,7 +132,7 @@ LEFT JOIN alias l ON p.full_url AND l.name = p.host || p.path || p.query
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_token_matrices, op2_substring_dedup, op3_source_mixing, op4_simhash_near_dedup, op5_best_fit_packing, op6_html_main_text, op7_embedding_near_dedup, op8_url_filter, op9_quality_classifier, op10_exact_top_k, op11_tokenizer_alignment, op12_conversation_repair,
+        op1_token_matrices, op2_substring_dedup, op3_source_mixing, op4_simhash_near_dedup, op5_best_fit_packing, op6_html_main_text, op7_embedding_near_dedup, op8_url_filter, op9_quality_classifier, op10_exact_top_k, op11_tokenizer_alignment, op12_conversation_repair, op13_personal_data,
     )}
 
 
