@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiersight.functions.geo import DEGREE_KM, haversine
@@ -39,23 +39,102 @@ def nearest(points: DataFrame, units: DataFrame, reach_km: float) -> DataFrame:
     return best_of(within(points, units, reach_km), ["point"], [F.asc("km"), F.asc("code")])
 
 
-def _crosses(x: Column, y: Column) -> Column:
-    """Whether a ray from a point to the right crosses an edge (x1, y1, x2, y2)."""
-    at = F.col("x1") + (y - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
-    return ((F.col("y1") > y) != (F.col("y2") > y)) & (x < at)
+#: Where the lines between tiles are, as a share of a tile, so that coordinates with few decimals are not on them.
+SHIFT = 0.3819660112501051
+
+
+def _tile(c: Column, tile: float) -> Column:
+    return F.floor(c / tile - SHIFT)
+
+
+def _line(k: Column, tile: float) -> Column:
+    """The lower bound of tiles k."""
+    return (k + SHIFT) * tile
+
+
+def _x_at(y: Column) -> Column:
+    """Where an edge (x1, y1, x2, y2) is at a height."""
+    return F.col("x1") + F.try_divide(y - F.col("y1"), F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
+
+
+def _y_at(x: Column) -> Column:
+    return F.col("y1") + F.try_divide(x - F.col("x1"), F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+
+
+def _spans(a: str, b: str, at: Column) -> Column:
+    return (F.col(a) > at) != (F.col(b) > at)
+
+
+def tiled(edges: DataFrame, tile: float) -> tuple[DataFrame, DataFrame]:
+    """Rings' edges (unit, x1, y1, x2, y2) on a grid: edges by the tiles that they pass, and the tiles wholly inside.
+
+    The first has (unit, tx, ty, odd, x1, y1, x2, y2): odd tells whether the tile's lower right corner is
+    inside by the even-odd rule. That follows from where edges cross the line below a row of tiles,
+    summed up from the right, so that no edge is needed beyond its own tiles. The second has (unit, tx, ty).
+    """
+    a, b = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = edges.select("unit", "x1", "y1", "x2", "y2").withColumn("ty", F.explode(F.sequence(_tile(a, tile), _tile(b, tile))))
+    low, high = F.greatest(a, _line(F.col("ty"), tile)), F.least(b, _line(F.col("ty") + 1, tile))
+    flat = F.col("y1") == F.col("y2")
+    ends = [F.when(flat, F.col(x)).otherwise(F.least(F.greatest(_x_at(y), F.least("x1", "x2")), F.greatest("x1", "x2"))) for x, y in (("x1", low), ("x2", high))]
+    hair = tile * 1e-9
+    rows = rows.withColumns({"west": F.least(*ends) - hair, "east": F.greatest(*ends) + hair})
+    laid = rows.withColumn("tx", F.explode(F.sequence(_tile(F.col("west"), tile), _tile(F.col("east"), tile)))).drop("west", "east")
+    below = _line(F.col("ty"), tile)
+    crossing = _spans("y1", "y2", below) & (_tile(_x_at(below), tile) == F.col("tx"))
+    counted = laid.groupBy("unit", "ty", "tx").agg(F.sum(F.coalesce(crossing, F.lit(False)).cast("long")).alias("n"))
+    from_right = Window.partitionBy("unit", "ty").orderBy(F.desc("tx"))
+    to_right = F.coalesce(F.sum("n").over(from_right.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marks = counted.select("unit", "ty", "tx", (to_right % 2 == 1).alias("odd"), ((to_right + F.col("n")) % 2 == 1).alias("left_odd"), F.lead("tx").over(from_right).alias("next"))
+    # between two tiles with edges all are inside or all outside
+    inner = marks.where(F.col("left_odd") & (F.col("next") < F.col("tx") - 1)).select("unit", F.explode(F.sequence(F.col("next") + 1, F.col("tx") - 1)).alias("tx"), "ty")
+    return laid.join(marks.select("unit", "tx", "ty", "odd"), ["unit", "tx", "ty"]), inner
 
 
 def located(points: DataFrame, edges: DataFrame, tile: float) -> DataFrame:
     """(point, unit): the units whose rings a point is in by the even-odd rule; points: point, x, y; edges: unit, x1, y1, x2, y2.
 
-    Edges are put in all rows of tiles that they pass, points in theirs; an edge wholly to the left of
-    a point crosses no ray and one to the right is counted once.
+    A point meets the edges of its own tile only: it is as odd as the tile's lower right corner, with a
+    change for each edge between it and the tile's right side, and for each that crosses that side
+    between there and the corner. Tiles wholly inside a unit need no edge. Points with a null or
+    non-finite coordinate are nowhere, nor is anything in edges that have one.
+    """
+    sound = lambda df, *cols: df.where(" and ".join(f"abs({c}) < double('infinity')" for c in cols))
+    passed, inner = tiled(sound(edges, "x1", "y1", "x2", "y2"), tile)
+    at = sound(points, "x", "y").select("point", "x", "y", _tile(F.col("x"), tile).alias("tx"), _tile(F.col("y"), tile).alias("ty"))
+    right, below = _line(F.col("tx") + 1, tile), _line(F.col("ty"), tile)
+    x_at, y_at = _x_at(F.col("y")), _y_at(right)
+    across = _spans("y1", "y2", F.col("y")) & (F.col("x") < x_at) & (x_at <= right)
+    down = _spans("x1", "x2", right) & (y_at > below) & (y_at <= F.col("y"))
+    met = at.join(passed, ["tx", "ty"]).select("point", "unit", "odd", (F.coalesce(across, F.lit(False)).cast("int") + F.coalesce(down, F.lit(False)).cast("int")).alias("n"))
+    near = met.groupBy("point", "unit").agg(F.sum("n").alias("n"), F.first("odd").alias("odd")).where("(n % 2 = 1) <> odd").select("point", "unit")
+    return near.unionAll(at.join(inner, ["tx", "ty"]).select("point", "unit"))
+
+
+def boxes(edges: DataFrame) -> DataFrame:
+    """(unit, west, south, east, north) of rings' edges."""
+    ends = lambda f, g, a, b: f(g(a, b))
+    return edges.groupBy("unit").agg(
+        ends(F.min, F.least, "x1", "x2").alias("west"), ends(F.min, F.least, "y1", "y2").alias("south"), ends(F.max, F.greatest, "x1", "x2").alias("east"), ends(F.max, F.greatest, "y1", "y2").alias("north"),
+    )
+
+
+def in_boxes(points: DataFrame, units: DataFrame, tile: float) -> DataFrame:
+    """(point, unit) of points in units' boxes (unit, west, south, east, north), bounds included; both are put in tiles of two axes."""
+    laid = units.withColumn("tx", F.explode(F.sequence(_tile(F.col("west"), tile), _tile(F.col("east"), tile)))).withColumn("ty", F.explode(F.sequence(_tile(F.col("south"), tile), _tile(F.col("north"), tile))))
+    at = points.select("point", "x", "y", _tile(F.col("x"), tile).alias("tx"), _tile(F.col("y"), tile).alias("ty"))
+    return at.join(laid, ["tx", "ty"]).where("x >= west and x <= east and y >= south and y <= north").select("point", "unit")
+
+
+def placed(places: DataFrame, edges: DataFrame, tile: float) -> DataFrame:
+    """(point, unit, candidates): each place's unit, null outside of all, and how many units' boxes hold it.
+
+    places: point, x, y. Only places that some box holds are held against rings; of several units the smallest counts.
     """
-    row = lambda c: F.floor(c / tile)
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    laid = edges.withColumn("ty", F.explode(F.sequence(row(low), row(high))))
-    met = points.withColumn("ty", row(F.col("y"))).join(laid, "ty").where(_crosses(F.col("x"), F.col("y")))
-    return met.groupBy("point", "unit").agg(F.count("*").alias("n")).where("n % 2 = 1").select("point", "unit")
+    boxed = in_boxes(places, boxes(edges), tile).groupBy("point").agg(F.count("*").alias("candidates"))
+    held = places.join(boxed, "point")
+    found = located(held, edges, tile).groupBy("point").agg(F.min("unit").alias("unit"))
+    return places.select("point").join(boxed, "point", "left").join(found, "point", "left").select("point", "unit", F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))
 
 
 def finest(points: DataFrame, levels: list[DataFrame], tile: float) -> DataFrame:

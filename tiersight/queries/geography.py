@@ -58,6 +58,22 @@ def point_in_polygon(spark, sf_dir):
     return places.located(points, square_sides(t), 3.0)
 
 
+@query("""WITH p AS (SELECT p_partkey AS point, (p_partkey * 17 % 1300) / 100.0::DOUBLE - 1.497 AS x, (p_partkey * 43 % 1100) / 100.0::DOUBLE + 0.003 AS y FROM part),
+e AS (SELECT s_suppkey AS unit, (s_suppkey % 10)::DOUBLE AS x, (s_suppkey // 10)::DOUBLE AS y, 1.0 + s_suppkey % 3 AS w FROM supplier)
+SELECT point, min(unit) FILTER ((p.x - e.x) / w + (p.y - e.y) < 1) AS unit, count(unit) AS candidates
+FROM p LEFT JOIN e ON p.x BETWEEN e.x AND e.x + w AND p.y BETWEEN e.y AND e.y + 1 GROUP BY 1""")
+def placed_in_boxes(spark, sf_dir):
+    """Places in triangles: boxes first, then rings."""
+    t = Tables(spark, sf_dir)
+    k, s = F.col("p_partkey"), F.col("s_suppkey")
+    points = t.part.select(k.alias("point"), ((k * 17 % 1300) / F.lit(100.0) - 1.497).alias("x"), ((k * 43 % 1100) / F.lit(100.0) + 0.003).alias("y"))
+    x, y, w = (s % 10).cast("double"), F.floor(s / 10).cast("double"), (1 + s % 3).cast("double")
+    side = lambda a, b, c, d: F.struct(a.alias("x1"), b.alias("y1"), c.alias("x2"), d.alias("y2"))
+    sides = F.array(side(x, y, x + w, y), side(x + w, y, x, y + 1), side(x, y + 1, x, y))
+    edges = t.supplier.select(s.alias("unit"), F.explode(sides).alias("e")).select("unit", "e.*")
+    return places.placed(points, edges, 2.0)
+
+
 @query(SQUARES_SQL + ", g AS (SELECT unit // 20 AS grp, x1, y1, x2, y2, count(*) AS n FROM seg GROUP BY ALL HAVING count(*) % 2 = 1) SELECT grp, count(*) AS sides FROM g GROUP BY 1")
 def dissolved_outlines(spark, sf_dir):
     """Outlines of groups of units: sides that two of a group share fall away."""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tiersight.functions import text as names
-from tiersight.operators import graph, matching
+from tiersight.operators import alike, graph, matching
 from tiersight.queries.base import Tables, money, query
 
 
@@ -77,13 +77,12 @@ SELECT x.code AS "left", y.code AS "right", {DICE_SQL} AS similarity FROM g x JO
 WHERE {DICE_SQL} >= 0.5 OR x.size = y.size""")
 def fuzzy_gated_join(spark, sf_dir):
     """Pairs in a group whose names are alike or whose sizes are equal."""
-    part = Tables(spark, sf_dir).part
-    rows = part.select(F.col("p_partkey").alias("code"), F.col("p_brand").alias("grp"), F.col("p_size").alias("size"), names.padded_grams(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("g"))
-    left = rows.where("code % 2 = 0").select(F.col("code").alias("left"), "grp", F.col("size").alias("s1"), F.col("g").alias("g1"))
-    right = rows.where("code % 2 = 1").select(F.col("code").alias("right"), "grp", F.col("size").alias("s2"), F.col("g").alias("g2"))
-    similarity = names.dice(F.col("g1"), F.col("g2"))
-    pairs = matching.gated(left, right, "grp", (F.col("left") < F.col("right")) & ((similarity >= 0.5) | (F.col("s1") == F.col("s2"))))
-    return pairs.select("left", "right", similarity.alias("similarity"))
+    left, right = name_sides(Tables(spark, sf_dir), "size")
+    close = alike.alike(left, right, 0.5).select("left", "right", F.col("score").alias("similarity"))
+    a = left.select(F.col("code").alias("left"), "grp", "size", F.col("grams").alias("g1"))
+    b = right.select(F.col("code").alias("right"), "grp", "size", F.col("grams").alias("g2"))
+    equal = a.join(b, ["grp", "size"]).select("left", "right", names.dice(F.col("g1"), F.col("g2")).alias("similarity")).where("similarity < 0.5")
+    return close.unionAll(equal).where("left < right")
 
 
 MUTUAL_SQL = f"""s AS (SELECT p_partkey AS code, p_brand AS grp, ' ' || replace(p_name, ' ', '') || ' ' AS name FROM part),
@@ -92,22 +91,23 @@ pairs AS (SELECT x.code AS l, y.code AS r, {DICE_SQL} AS score FROM g x JOIN g y
 k AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS a, row_number() OVER (PARTITION BY r ORDER BY score DESC, l) AS b FROM pairs WHERE score > 0.2)"""
 
 
-def name_pairs(t: Tables, shift: int = 0):
-    rows = t.part.select(F.col("p_partkey").alias("code"), F.col("p_brand").alias("grp"), names.padded_grams(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("g"))
-    left = rows.where("code % 2 = 0").select(F.col("code").alias("left"), "grp", F.col("g").alias("g1"))
-    right = rows.where("code % 2 = 1").select(F.col("code").alias("right"), "grp", F.col("g").alias("g2"))
+def name_sides(t: Tables, *more: str, shift: int = 0):
+    """Parts of even and of odd numbers by brand, the odd ones' brands moved along by `shift`."""
+    rows = t.part.select(F.col("p_partkey").alias("code"), F.col("p_brand").alias("grp"), F.col("p_size").alias("size"), names.padded_grams(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("grams"))
+    left, right = rows.where("code % 2 = 0"), rows.where("code % 2 = 1")
     if shift:
         groups = t.part.select("p_brand").distinct().withColumn("k", F.dense_rank().over(Window.orderBy("p_brand")) - 1)
         n = groups.select("p_brand", "k")
         swapped = n.withColumnRenamed("p_brand", "grp").join(n.agg(F.count("*").alias("n"))).withColumn("to", (F.col("k") + shift) % F.col("n"))
         moved = swapped.join(n.select(F.col("p_brand").alias("other"), F.col("k").alias("to")), "to").select("grp", "other")
-        right = right.join(F.broadcast(moved), "grp").select("right", F.col("other").alias("grp"), "g2")
-    return left.join(right, "grp").select("left", "right", names.dice(F.col("g1"), F.col("g2")).alias("score")).where("score > 0.2")
+        right = right.join(moved, "grp").withColumn("grp", F.col("other")).drop("other")
+    columns = ["code", "grp", "grams", *more]
+    return left.select(columns), right.select(columns)
 
 
 @query(f'WITH {MUTUAL_SQL} SELECT l AS "left", r AS "right", score FROM k WHERE a = 1 AND b = 1')
 def mutual_best_match(spark, sf_dir):
-    return matching.mutual_best(name_pairs(Tables(spark, sf_dir)), "left", "right", "score")
+    return alike.mutual_alike(*name_sides(Tables(spark, sf_dir)), 0.2)
 
 
 @query(f"""WITH {MUTUAL_SQL}, brands AS (SELECT p_brand, dense_rank() OVER (ORDER BY p_brand) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT p_brand FROM part)),
@@ -119,7 +119,7 @@ SELECT matches, decoys, decoys::DOUBLE / nullif(matches::DOUBLE, 0) AS chance FR
 def decoy_join(spark, sf_dir):
     """How many matches the join makes against groups swapped seven along."""
     t = Tables(spark, sf_dir)
-    best = lambda shift: matching.mutual_best(name_pairs(t, shift), "left", "right", "score")
+    best = lambda shift: alike.mutual_alike(*name_sides(t, shift=shift), 0.2)
     return matching.decoy_share(best(0), best(7))
 
 

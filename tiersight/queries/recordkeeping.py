@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tiersight.operators import matching, places, records
+from tiersight.functions.text import padded_grams
+from tiersight.operators import alike, matching, places, records
 from tiersight.queries.base import Tables, query
 from tiersight.queries.geography import square_sides
+from tiersight.queries.joins import DICE_SQL, grams_sql
 
 
 @query("""SELECT c_custkey AS code, CASE WHEN c_custkey % 3 <> 0 THEN CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END ELSE c_nationkey::DOUBLE END AS value FROM customer""")
@@ -77,14 +79,13 @@ def stripped_labels(spark, sf_dir):
     return rows.select("code", records.stripped_label(F.col("fr")).alias("fr"), records.stripped_label_ar(F.col("ar")).alias("ar"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS l, q.s_suppkey AS r, p_size % 5 AS grp, ((p_partkey * s_suppkey) % 100) / 100.0::DOUBLE AS score FROM part p JOIN supplier q ON p_size % 5 = s_suppkey % 5),
-b AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS k FROM p) SELECT l AS "left", r AS "right", score FROM b WHERE k = 1""")
+@query(f"""WITH s AS (SELECT p_partkey AS code, p_size % 5 AS grp, ' ' || replace(p_name, ' ', '') || ' ' AS name FROM part), g AS (SELECT code, grp, {grams_sql('name')} AS g FROM s),
+b AS (SELECT x.code AS l, y.code AS r, {DICE_SQL} AS score, row_number() OVER (PARTITION BY x.code ORDER BY {DICE_SQL} DESC, y.code) AS k FROM g x JOIN g y ON x.grp = y.grp AND x.code % 3 = 0 AND y.code % 3 = 1 WHERE {DICE_SQL} >= 0.6)
+SELECT l AS "left", r AS "right", score FROM b WHERE k = 1""")
 def best_within_parent(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    left = t.part.select(F.col("p_partkey").alias("left"), (F.col("p_size") % 5).cast("long").alias("grp"))
-    right = t.supplier.select(F.col("s_suppkey").alias("right"), (F.col("s_suppkey") % 5).alias("grp"))
-    pairs = left.join(right, "grp")
-    return matching.best_within(pairs, "left", (F.col("left") * F.col("right") % 100) / F.lit(100.0), [F.asc("right")]).select("left", "right", "score")
+    """Each part's most alike one of the others in its group."""
+    rows = Tables(spark, sf_dir).part.select(F.col("p_partkey").alias("code"), (F.col("p_size") % 5).alias("grp"), padded_grams(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("grams"))
+    return alike.best_alike(rows.where("code % 3 = 0"), rows.where("code % 3 = 1"), 0.6)
 
 
 @query()
