@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiersight.functions import text as names
+from tiersight.functions.numbers import half_up
+from tiersight.operators.stored import Stored
 
 #: Scores of the tiers, fixed values.
 EXACT, PREFIX, SPELLING, PLACE_EXACT, PLACE_PREFIX, PLACE_WORD = 1000.0, 500.0, 300.0, 950.0, 450.0, 250.0
@@ -15,26 +18,48 @@ EXACT, PREFIX, SPELLING, PLACE_EXACT, PLACE_PREFIX, PLACE_WORD = 1000.0, 500.0,
 
 @dataclass(frozen=True)
 class Index:
-    """entries: entry, level_rank, name, slug, grams (number, repeats included), bones; postings: gram, entry; aliases: alias, entry."""
+    """entries: entry, level_rank, name, arabic, slug, grams (number of distinct ones); postings: gram, entry; skeletons: bones, entry; aliases: alias, entry."""
 
     entries: DataFrame
     postings: DataFrame
+    skeletons: DataFrame
     aliases: DataFrame
+    stored: Stored | None = None
+
+    def part(self, table: str, keys: DataFrame) -> DataFrame:
+        """A table's rows for keys; of a stored index only their buckets are read."""
+        return self.stored.matching(table, keys) if self.stored else getattr(self, table)
 
 
 def build_index(units: DataFrame, aliases: DataFrame | None = None, decompose: bool = True) -> Index:
-    """Index of units (entry, level_rank, name, slug). An alias that is a unit's name, names none, or is claimed twice is refused."""
-    name = names.normalise(F.col("name"), decompose)
-    entries = units.select("entry", "level_rank", name.alias("name"), F.replace("slug", F.lit("-"), F.lit(" ")).alias("slug"))
-    grams = names.trigrams(F.col("name"))
-    entries = entries.select("*", F.size(grams).alias("grams"), names.skeleton(F.col("name")).alias("bones"))
-    postings = entries.select("entry", F.explode(F.array_distinct(grams)).alias("gram"))
+    """Index of units (entry, level_rank, name, slug, and arabic, if they have names in a second script).
+
+    Trigrams are those of all of an entry's names and its slug. An alias that is a unit's name, names
+    none, or is claimed twice is refused; others are found by their consonants too.
+    """
+    second = F.coalesce("arabic", F.lit("")) if "arabic" in units.columns else F.lit("")
+    entries = units.select("entry", "level_rank", names.normalise(F.col("name"), decompose).alias("name"), names.normalise(second, decompose).alias("arabic"), F.replace("slug", F.lit("-"), F.lit(" ")).alias("slug"))
+    grams = F.array_distinct(F.concat(*[names.trigrams(F.col(c)) for c in ("name", "arabic", "slug")]))
+    entries = entries.select("*", grams.alias("all"))
+    postings = entries.select("entry", F.explode("all").alias("gram"))
+    entries = entries.select("*", F.size("all").alias("grams")).drop("all")
+    bones = lambda df, c: df.select(names.skeleton(F.col(c)).alias("bones"), "entry").where(F.length("bones") >= 2)
     if aliases is None:
-        return Index(entries, postings, entries.select(F.col("name").alias("alias"), "entry").where("false"))
+        return Index(entries, postings, bones(entries, "name").distinct(), entries.select(F.col("name").alias("alias"), "entry").where("false"))
     folded = aliases.select(names.normalise(F.col("alias"), decompose).alias("alias"), "entry")
     known = folded.join(entries.select("entry"), "entry", "left_semi").join(entries.select(F.col("name").alias("alias")), "alias", "left_anti")
     once = known.groupBy("alias").agg(F.count_distinct("entry").alias("n"), F.min("entry").alias("entry")).where("n = 1").select("alias", "entry")
-    return Index(entries, postings, once)
+    return Index(entries, postings, bones(entries, "name").unionAll(bones(once, "alias")).distinct(), once)
+
+
+def index_tables(index: Index) -> dict[str, tuple[DataFrame, str]]:
+    """What `stored.write_version` takes of an index."""
+    return {"entries": (index.entries, "entry"), "postings": (index.postings, "gram"), "skeletons": (index.skeletons, "bones"), "aliases": (index.aliases, "alias")}
+
+
+def stored_index(found: Stored) -> Index:
+    """The index that a version holds."""
+    return Index(*(found.whole(t) for t in ("entries", "postings", "skeletons", "aliases")), found)
 
 
 def _known(rows: DataFrame, entries: DataFrame, what: str) -> DataFrame:
@@ -58,22 +83,25 @@ def attached_postcodes(index: Index, postcodes: DataFrame, most: int = 4) -> Dat
 def _name_hits(index: Index, queries: DataFrame, decompose: bool) -> DataFrame:
     """(query, entry, level_rank, score, matched): all that queries find by units' names."""
     q = queries.select("query", names.normalise(F.col("query"), decompose).alias("q")).where("q <> ''").distinct()
-    q = q.select("*", F.size(names.trigrams(F.col("q"))).alias("q_grams"), names.skeleton(F.col("q")).alias("q_bones"))
-    walked = q.select("query", F.explode(F.array_distinct(names.trigrams(F.col("q")))).alias("gram")).join(index.postings, "gram")
-    overlap = walked.groupBy("query", "entry").agg(F.count("*").alias("overlap"))
-    alias = q.join(index.aliases, F.col("q") == F.col("alias")).select("query", "entry", F.lit(True).alias("aliased"))
-    spelt = q.where(F.length("q_bones") >= 2).join(index.entries.select("entry", F.col("bones").alias("q_bones")), "q_bones").select("query", "entry", F.lit(True).alias("spelt"))
+    q = q.select("*", F.size(names.trigrams(F.col("q"))).alias("q_grams"), names.skeleton(F.col("q")).alias("bones"))
+    asked = q.select("query", F.explode(F.array_distinct(names.trigrams(F.col("q")))).alias("gram"))
+    overlap = asked.join(index.part("postings", asked), "gram").groupBy("query", "entry").agg(F.count("*").alias("overlap"))
+    also = q.select("query", F.col("q").alias("alias"))
+    alias = also.join(index.part("aliases", also), "alias").select("query", "entry", F.lit(True).alias("aliased"))
+    heard = q.where(F.length("bones") >= 2).select("query", "bones")
+    spelt = heard.join(index.part("skeletons", heard), "bones").select("query", "entry", F.lit(True).alias("spelt"))
     found = overlap.join(alias, ["query", "entry"], "full_outer").join(spelt, ["query", "entry"], "full_outer")
     hits = found.join(q, "query").join(index.entries, "entry")
     dice = F.lit(200.0) * F.coalesce("overlap", F.lit(0)) / (F.col("grams") + F.col("q_grams"))
-    field = F.when(F.col("name").startswith(F.col("q")), F.col("name")).when(F.col("slug").startswith(F.col("q")), F.col("slug"))
+    fields = [F.col(c) for c in ("name", "arabic", "slug")]
+    field = F.coalesce(*[F.when(f.startswith(F.col("q")), f) for f in fields])
     over = F.length(field) - F.length("q")
-    same = (F.col("name") == F.col("q")) | (F.col("slug") == F.col("q"))
+    same = reduce(lambda x, y: x | y, [f == F.col("q") for f in fields])
     score = (
         F.when(same | F.col("aliased").isNotNull(), F.lit(EXACT))
         .when(field.isNotNull(), F.lit(PREFIX) - F.least(F.lit(PREFIX - 1), over.cast("double")))
-        .when(F.col("spelt").isNotNull(), F.lit(SPELLING) + dice)
-        .otherwise(dice)
+        .when(F.col("spelt").isNotNull(), half_up(F.lit(SPELLING) + dice, 4))
+        .otherwise(half_up(dice, 4))
     )
     matched = F.when(same, "exact").when(F.col("aliased").isNotNull(), "alias").when(field.isNotNull(), "prefix").when(F.col("spelt").isNotNull(), "spelling").otherwise("trigram")
     return hits.select("query", "entry", "level_rank", score.alias("score"), matched.alias("matched")).where("score > 0")
@@ -158,12 +186,6 @@ def place_score(q: Column, place: Column) -> Column:
     return F.when(F.length(q) >= 3, score)
 
 
-def village_rank(q: Column, name: Column, q_key: Column, key: Column) -> Column:
-    """0 for an equal key, 1 for a key's beginning (two letters), 2 for letters inside (three); less 10 where spellings are close."""
-    base = F.when(key == q_key, 0).when((F.length(q_key) >= 2) & key.startswith(q_key), 1).when((F.length(q) >= 3) & name.contains(q), 2)
-    return F.when(names.letters_apart_share(q, name) <= 0.34, F.coalesce(base, F.lit(2)) - 10).otherwise(base)
-
-
 def _starts(s: Column) -> Column:
     """All runs of one to three characters of a text, by which any text inside it is found."""
     n = F.length(s)
@@ -180,34 +202,60 @@ def _sounded(s: Column) -> Column:
     return F.replace(F.replace(s, F.lit(" "), F.lit("")), F.lit("ou"), F.lit("w"))
 
 
-def villages(entries: DataFrame, queries: DataFrame, limit: int = 10, close: float = 0.34) -> DataFrame:
+@dataclass(frozen=True)
+class VillageIndex:
+    """entries: code, latin, people; runs: run, script, code, name (runs of one to three letters of either name); begins: begin, code, key."""
+
+    entries: DataFrame
+    runs: DataFrame
+    begins: DataFrame
+    stored: Stored | None = None
+
+    def part(self, table: str, keys: DataFrame) -> DataFrame:
+        return self.stored.matching(table, keys) if self.stored else getattr(self, table)
+
+
+def village_index(entries: DataFrame) -> VillageIndex:
+    """Index of villages (code, arabic, latin (folded names), keys (array), people)."""
+    inside = lambda name: entries.select("code", F.lit(name).alias("script"), F.col(name).alias("name"), F.explode(_starts(F.col(name))).alias("run"))
+    begins = F.array_append(F.transform(F.sequence(F.lit(2), F.greatest(F.length("key"), F.lit(2))), lambda i: F.substr("key", F.lit(1), i)), F.col("key"))
+    keyed = entries.select("code", F.explode("keys").alias("key")).where("key <> ''").select("code", "key", F.explode(F.array_distinct(begins)).alias("begin"))
+    return VillageIndex(entries.select("code", "latin", "people"), inside("arabic").unionAll(inside("latin")), keyed)
+
+
+def village_tables(index: VillageIndex) -> dict[str, tuple[DataFrame, str]]:
+    return {"entries": (index.entries, "code"), "runs": (index.runs, "run"), "begins": (index.begins, "begin")}
+
+
+def stored_villages(found: Stored) -> VillageIndex:
+    return VillageIndex(*(found.whole(t) for t in ("entries", "runs", "begins")), found)
+
+
+def villages(index: VillageIndex | DataFrame, queries: DataFrame, limit: int = 10, close: float = 0.34) -> DataFrame:
     """(query, code, rank, near, total, place): villages that queries find, best first.
 
-    entries: code, arabic, latin (folded names), keys (array), people; queries: query (folded), keys.
+    index: of villages, or the table it is made of (`village_index`); queries: query (folded), keys.
     Arabic: 0 at the name's beginning, 1 at a word's, 2 inside. Latin: 0 for an equal key, 1 for a
     key's beginning (two letters), 2 for letters inside the name (three); where spellings are close,
     before all others. Then the nearer spelling, the more people, the code.
     """
+    index = village_index(index) if isinstance(index, DataFrame) else index
     asked = queries.where(F.col("query") != "").withColumn("script", F.when(F.col("query").rlike(r"\p{IsArabic}"), "arabic").otherwise("latin"))
-    head = asked.select("query", "script", F.substring("query", 1, 3).alias("run"))
-    inside = lambda name: entries.select("code", F.col(name).alias("name"), F.explode(_starts(F.col(name))).alias("run"))
+    head = asked.where("script = 'arabic' or length(query) >= 3").select("query", "script", F.substring("query", 1, 3).alias("run"))
     at = F.instr("name", F.col("query"))
-    arabic = inside("arabic").join(F.broadcast(head.where("script = 'arabic'")), "run").where(at > 0)
-    arabic = arabic.select("query", "code", F.when(at == 1, 0).when(F.substr("name", at - 1, F.lit(1)) == " ", 1).otherwise(2).alias("base"))
-    latin = inside("latin").join(F.broadcast(head.where("script = 'latin' and length(query) >= 3")), "run").where(at > 0).select("query", "code", F.lit(2).alias("base"))
-    begins = F.array_append(F.transform(F.sequence(F.lit(2), F.greatest(F.length("key"), F.lit(2))), lambda i: F.substr("key", F.lit(1), i)), F.col("key"))
-    keyed = entries.select("code", F.explode("keys").alias("key")).where("key <> ''").select("code", "key", F.explode(F.array_distinct(begins)).alias("begin"))
+    base = F.when(F.col("script") == "latin", 2).when(at == 1, 0).when(F.substr("name", at - 1, F.lit(1)) == " ", 1).otherwise(2)
+    inside = index.part("runs", head).join(head, ["run", "script"]).where(at > 0).select("query", "code", base.alias("base"))
     wanted = asked.where("script = 'latin'").select("query", F.explode("keys").alias("begin")).where("begin <> ''")
-    keyed = keyed.join(F.broadcast(wanted), "begin").select("query", "code", F.when(F.col("key") == F.col("begin"), 0).otherwise(1).alias("base"))
-    hits = arabic.unionAll(latin).unionAll(keyed).groupBy("query", "code").agg(F.min("base").alias("base"))
-    hits = hits.join(entries.select("code", "latin", "people"), "code").join(F.broadcast(asked.select("query", "script")), "query")
+    keyed = index.part("begins", wanted).join(wanted, "begin").select("query", "code", F.when(F.col("key") == F.col("begin"), 0).otherwise(1).alias("base"))
+    hits = inside.unionAll(keyed).groupBy("query", "code").agg(F.min("base").alias("base"))
+    hits = hits.join(index.entries, "code").join(asked.select("query", "script").distinct(), "query")
     near = F.when(F.col("script") == "latin", names.letters_apart_share(_sounded(F.col("query")), _sounded(F.col("latin"))))
     rank = F.when(near <= close, F.least("base", F.lit(0)) - 1).otherwise(F.col("base"))
     ranked = hits.withColumns({"near": near, "rank": rank})
     total = ranked.groupBy("query").agg(F.count("*").alias("total"))
     w = Window.partitionBy("query").orderBy("rank", F.coalesce("near", F.lit(0.0)), F.desc("people"), "code")
     best = ranked.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
-    return best.join(F.broadcast(total), "query").select("query", "code", "rank", "near", "total", "place")
+    return best.join(total, "query").select("query", "code", "rank", "near", "total", "place")
 
 
 def picked(units: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
@@ -216,7 +264,7 @@ def picked(units: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
     units: code, name, arabic (folded), bones, people; queries: query (folded), bones. Tiers: the whole
     name, its beginning, a word's beginning, equal first consonants (two or more), inside (three letters).
     """
-    asked = F.broadcast(queries.where(F.col("query") != "").withColumn("run", F.substring("query", 1, 3)))
+    asked = queries.where(F.col("query") != "").withColumn("run", F.substring("query", 1, 3))
     q = F.col("query")
     word = lambda c: F.exists(F.split(c, " "), lambda w: w.startswith(q))
     either = lambda test: F.coalesce(test(F.col("name")), F.lit(False)) | F.coalesce(test(F.col("arabic")), F.lit(False))

@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tiersight.functions import text as names
-from tiersight.operators import textsearch
+from tiersight.operators import stored, textsearch
 from tiersight.queries.base import Tables, query
 
-ASKED = ["lavender", "rose red", "lav", "roze", "red pink", "zz", "part 12", "light", "blue steel", "smoke"]
+#: Letters for names in a second script, made up for the test tables.
+SCRIPT = ("abdefhiklmnorstuz", "ابدعفحيكلمنورستثز")
+ASKED = ["lavender", "rose red", "lav", "roze", "red pink", "zz", "part 12", "light", "blue steel", "smoke", "bloo steele", *(a.translate(str.maketrans(*SCRIPT)) for a in ("rose", "old plate", "lavend", "hot bolt"))]
 GRAMS = "list_transform(range(1, greatest(length({s}) - 1, 2)), lambda i: substr({s}, i, 3))"
 NORMAL = r"trim(regexp_replace(regexp_replace(translate(lower({s}), '’''`‘-–—_/.,()', '              '), '[^\p{{L}}\p{{N}} ]+', '', 'g'), '\s+', ' ', 'g'))"
 ARTICLES_SQL = ", ".join(f"'{a}'" for a in names.ARTICLES)
@@ -26,36 +28,49 @@ def skeleton_sql(s: str) -> str:
 
 
 def name_units(t: Tables):
+    """Names of parts as units; two of three have a name in a second script."""
     rows = t.part.groupBy("p_name").agg(F.min("p_partkey").alias("entry"))
-    return rows.select("entry", (F.col("entry") % 3).cast("int").alias("level_rank"), F.col("p_name").alias("name"), F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("slug"))
+    second = F.when(F.col("entry") % 3 > 0, F.translate("p_name", *SCRIPT))
+    return rows.select("entry", (F.col("entry") % 3).cast("int").alias("level_rank"), F.col("p_name").alias("name"), second.alias("arabic"), F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("slug"))
 
 
-UNITS_SQL = f"""u AS (SELECT min(p_partkey) AS entry, (min(p_partkey) % 3)::INTEGER AS level_rank, {NORMAL.format(s='p_name')} AS name, replace(lower(replace(p_name, ' ', '-')), '-', ' ') AS slug FROM part GROUP BY p_name)"""
+UNITS_SQL = f"""u AS (SELECT min(p_partkey) AS entry, (min(p_partkey) % 3)::INTEGER AS level_rank, {NORMAL.format(s='p_name')} AS name, CASE WHEN min(p_partkey) % 3 > 0 THEN {NORMAL.format(s=f"translate(p_name, '{SCRIPT[0]}', '{SCRIPT[1]}')")} ELSE '' END AS arabic,
+  replace(lower(replace(p_name, ' ', '-')), '-', ' ') AS slug FROM part GROUP BY p_name)"""
+ALL_GRAMS = f"list_distinct(list_concat({GRAMS.format(s='name')}, CASE WHEN arabic = '' THEN [] ELSE {GRAMS.format(s='arabic')} END, {GRAMS.format(s='slug')}))"
 
 
-@query(f"WITH {UNITS_SQL}, g AS (SELECT entry, unnest(list_distinct({GRAMS.format(s='name')})) AS gram FROM u) SELECT gram, count(*) AS entries, min(entry) AS first FROM g GROUP BY gram")
+def name_index(spark, sf_dir, name: str = "names", aliases=None) -> textsearch.Index:
+    """The index of names, read from the shared folder; written there the first time."""
+    t = Tables(spark, sf_dir)
+
+    def make():
+        units = name_units(t)
+        return textsearch.index_tables(textsearch.build_index(units, aliases and aliases(units), decompose=False))
+
+    return textsearch.stored_index(stored.kept(spark, name, stored.fingerprint(t.part), make))
+
+
+@query(f"WITH {UNITS_SQL}, g AS (SELECT entry, unnest({ALL_GRAMS}) AS gram FROM u) SELECT gram, count(*) AS entries, min(entry) AS first FROM g GROUP BY gram")
 def trigram_postings(spark, sf_dir):
-    index = textsearch.build_index(name_units(Tables(spark, sf_dir)), decompose=False)
-    return index.postings.groupBy("gram").agg(F.count("*").alias("entries"), F.min("entry").alias("first"))
+    return name_index(spark, sf_dir).postings.groupBy("gram").agg(F.count("*").alias("entries"), F.min("entry").alias("first"))
 
 
 @query(f"WITH {UNITS_SQL}, b AS (SELECT entry, name, {skeleton_sql('name')} AS bones FROM u) SELECT bones, count(*) AS n, min(entry) AS first FROM b WHERE length(bones) >= 2 GROUP BY bones")
 def skeleton_index(spark, sf_dir):
-    index = textsearch.build_index(name_units(Tables(spark, sf_dir)), decompose=False)
-    return index.entries.where(F.length("bones") >= 2).groupBy("bones").agg(F.count("*").alias("n"), F.min("entry").alias("first"))
+    return name_index(spark, sf_dir).skeletons.groupBy("bones").agg(F.count("*").alias("n"), F.min("entry").alias("first"))
 
 
 def search_sql(asked: list[str]) -> str:
     """The SQL of a search for `asked`; it lacks the aliases, a (alias, entry)."""
-    return f"""WITH {UNITS_SQL}, e AS (SELECT *, len({GRAMS.format(s='name')}) AS grams, {skeleton_sql('name')} AS bones FROM u),
+    return f"""WITH {UNITS_SQL}, e AS (SELECT *, {ALL_GRAMS} AS own, len({ALL_GRAMS}) AS grams, {skeleton_sql('name')} AS bones FROM u),
 asked(query) AS (VALUES {', '.join(f"('{a}')" for a in asked)}), q0 AS (SELECT query, {NORMAL.format(s='query')} AS q FROM asked),
-q AS (SELECT *, len({GRAMS.format(s='q')}) AS q_grams, {skeleton_sql('q')} AS q_bones FROM q0 WHERE q <> ''),
-o AS (SELECT q.query, e.entry, len(list_intersect({GRAMS.format(s='q.q')}, {GRAMS.format(s='e.name')})) AS overlap, length(q_bones) >= 2 AND q_bones = bones AS spelt, EXISTS (SELECT 1 FROM a WHERE a.alias = q.q AND a.entry = e.entry) AS aliased FROM q, e),
+ab AS (SELECT {skeleton_sql('alias')} AS bones, entry FROM a), q AS (SELECT *, len({GRAMS.format(s='q')}) AS q_grams, {skeleton_sql('q')} AS q_bones FROM q0 WHERE q <> ''),
+o AS (SELECT q.query, e.entry, len(list_intersect({GRAMS.format(s='q.q')}, e.own)) AS overlap, length(q_bones) >= 2 AND (q_bones = bones OR EXISTS (SELECT 1 FROM ab WHERE ab.bones = q_bones AND ab.entry = e.entry)) AS spelt, EXISTS (SELECT 1 FROM a WHERE a.alias = q.q AND a.entry = e.entry) AS aliased FROM q, e),
 s AS (
-  SELECT query, entry, level_rank, 200.0::DOUBLE * overlap / (grams + q_grams) AS dice, name = q OR slug = q AS same, aliased, spelt,
-    CASE WHEN starts_with(name, q) THEN name WHEN starts_with(slug, q) THEN slug END AS field, q FROM o JOIN q USING (query) JOIN e USING (entry) WHERE overlap > 0 OR spelt OR aliased
+  SELECT query, entry, level_rank, 200.0::DOUBLE * overlap / (grams + q_grams) AS dice, name = q OR arabic = q OR slug = q AS same, aliased, spelt,
+    CASE WHEN starts_with(name, q) THEN name WHEN starts_with(arabic, q) THEN arabic WHEN starts_with(slug, q) THEN slug END AS field, q FROM o JOIN q USING (query) JOIN e USING (entry) WHERE overlap > 0 OR spelt OR aliased
 ), h AS (
-  SELECT query, entry, level_rank, CASE WHEN same OR aliased THEN 1000.0 WHEN field IS NOT NULL THEN 500.0 - least(499.0, length(field) - length(q)) WHEN spelt THEN 300.0::DOUBLE + dice ELSE dice END::DOUBLE AS score,
+  SELECT query, entry, level_rank, CASE WHEN same OR aliased THEN 1000.0 WHEN field IS NOT NULL THEN 500.0 - least(499.0, length(field) - length(q)) WHEN spelt THEN floor((300.0::DOUBLE + dice) * 1e4 + 0.5) / 1e4 ELSE floor(dice * 1e4 + 0.5) / 1e4 END::DOUBLE AS score,
     CASE WHEN same THEN 'exact' WHEN aliased THEN 'alias' WHEN field IS NOT NULL THEN 'prefix' WHEN spelt THEN 'spelling' ELSE 'trigram' END AS matched FROM s
 )
 SELECT query, entry, score, matched, row_number() OVER (PARTITION BY query ORDER BY score DESC, level_rank, entry)::INTEGER AS place FROM h WHERE score > 0 QUALIFY place <= 10"""
@@ -63,9 +78,8 @@ SELECT query, entry, score, matched, row_number() OVER (PARTITION BY query ORDER
 
 @query(search_sql(ASKED).replace("asked(query)", "x AS (SELECT 'smoke' AS alias, min(entry) AS entry FROM u UNION ALL SELECT 'blue steel', max(entry) FROM u), a AS (SELECT alias, entry FROM x WHERE alias NOT IN (SELECT name FROM u)), asked(query)", 1))
 def name_search(spark, sf_dir):
-    units = name_units(Tables(spark, sf_dir))
-    aliases = units.agg(F.min("entry").alias("lo"), F.max("entry").alias("hi")).select(F.explode(F.array(F.struct(F.lit("smoke").alias("alias"), F.col("lo").alias("entry")), F.struct(F.lit("blue steel").alias("alias"), F.col("hi").alias("entry")))).alias("x")).select("x.*")
-    index = textsearch.build_index(units, aliases, decompose=False)
+    aliases = lambda units: units.agg(F.min("entry").alias("lo"), F.max("entry").alias("hi")).select(F.explode(F.array(F.struct(F.lit("smoke").alias("alias"), F.col("lo").alias("entry")), F.struct(F.lit("blue steel").alias("alias"), F.col("hi").alias("entry")))).alias("x")).select("x.*")
+    index = name_index(spark, sf_dir, "aliased-names", aliases)
     return textsearch.search(index, spark.createDataFrame([(a,) for a in ASKED], "query string"), decompose=False)
 
 
@@ -97,7 +111,7 @@ def unit_search(spark, sf_dir):
     """Names, places in units, codes and postcodes in one search."""
     part = Tables(spark, sf_dir).part
     units = name_units(Tables(spark, sf_dir))
-    index = textsearch.build_index(units, decompose=False)
+    index = name_index(spark, sf_dir)
     inside = part.join(units.select("entry", F.col("name").alias("p_name")), "p_name").select("entry", "p_type", "p_size")
     places = inside.select(F.col("p_type").alias("place"), "entry", F.lit(None).cast("array<string>").alias("also")).distinct()
     postcodes = inside.groupBy((F.col("p_size") + 10000).cast("string").alias("postcode"), "entry").agg(F.array_sort(F.collect_set("p_type")).alias("names"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tiersight.functions import numbers
 from tiersight.functions import text as names
-from tiersight.operators import records, textsearch, validators
+from tiersight.operators import records, stored, textsearch, validators
 from tiersight.queries.base import Tables, query
 
 ASKED = ["lav", "almond", "red", "ro", "pnk", "rose pink", "oliv", "zz", "ta"]
@@ -21,12 +21,18 @@ r AS (SELECT query, code, (CASE WHEN near <= 0.34 THEN least(base, 0) - 1 ELSE b
 o AS (SELECT *, count(*) OVER (PARTITION BY query) AS total, row_number() OVER (PARTITION BY query ORDER BY rank, near, people DESC, code)::INTEGER AS place FROM r)
 SELECT query, code, rank, near, total, place FROM o WHERE place <= 10""")
 def village_search(spark, sf_dir):
-    """Village names by key, by a key's beginning and by letters inside."""
+    """Village names by key, by a key's beginning and by letters inside, over a written index."""
+    part = Tables(spark, sf_dir).part
     key = lambda c: F.array(F.translate(c, "aeiou ", ""))
-    entries = Tables(spark, sf_dir).part.groupBy(F.col("p_name").alias("latin")).agg(F.max("p_size").alias("people"))
-    entries = entries.select(F.col("latin").alias("code"), F.lit("").alias("arabic"), "latin", key("latin").alias("keys"), "people")
+
+    def make():
+        entries = part.groupBy(F.col("p_name").alias("latin")).agg(F.max("p_size").alias("people"))
+        entries = entries.select(F.col("latin").alias("code"), F.lit("").alias("arabic"), "latin", key("latin").alias("keys"), "people")
+        return textsearch.village_tables(textsearch.village_index(entries))
+
+    index = textsearch.stored_villages(stored.kept(spark, "villages", stored.fingerprint(part), make))
     asked = spark.createDataFrame([(a,) for a in ASKED], "query string")
-    return textsearch.villages(entries, asked.select("query", key("query").alias("keys")))
+    return textsearch.villages(index, asked.select("query", key("query").alias("keys")))
 
 
 @query(f"""WITH u AS (SELECT c_custkey AS code, lower(c_mktsegment || ' ' || c_name) AS name, translate(lower(c_mktsegment), 'aeiou', '') AS bones, c_acctbal AS people FROM customer), q(query) AS (VALUES ('building'), ('house'), ('customer'), ('bld'), ('fu'), ('9'), ('furniture customer'), ('zz'), ('stomer')),
