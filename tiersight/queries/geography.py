@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tiersight.functions import geo
 from tiersight.functions.numbers import half_up
-from tiersight.operators import checks, matching, places
+from tiersight.operators import checks, matching, places, topology
 from tiersight.queries.base import Tables, query
 from tiersight.queries.joins import SQUARES_SQL
 
@@ -81,6 +81,38 @@ def dissolved_outlines(spark, sf_dir):
     return places.outlines(sides).groupBy("grp").agg(F.count("*").alias("sides"))
 
 
+def square_rings(t: Tables):
+    """Corners of the squares as rings of one part."""
+    cells = t.supplier.where("s_suppkey % 6 <> 0").select(F.col("s_suppkey").alias("unit"), (F.col("s_suppkey") % 10).alias("cx"), F.floor(F.col("s_suppkey") / 10).alias("cy"))
+    corner = [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
+    points = F.posexplode(F.array(*[F.struct((F.col("cx") + a).cast("double").alias("x"), (F.col("cy") + b).cast("double").alias("y")) for a, b in corner])).alias("seq", "p")
+    return cells.select("unit", points).select(F.lit("all").alias("part"), "unit", F.lit(0).alias("ring"), "seq", "p.x", "p.y")
+
+
+@query(SQUARES_SQL + ", u AS (SELECT unit, x1, y1, x2, y2, count(*) OVER (PARTITION BY x1, y1, x2, y2) AS n FROM seg) SELECT unit, 4 AS sides, sum((n > 1)::INTEGER)::BIGINT AS shared, 1.0::DOUBLE AS area FROM u GROUP BY unit")
+def topology_of_squares(spark, sf_dir):
+    """Squares cut into shared arcs, written as steps, and put together again: their sides, how many are shared, and their areas."""
+    found = topology.built(square_rings(Tables(spark, sf_dir)), 100_001)
+    again = found._replace(arcs=topology.summed_steps(topology.steps_of(found.arcs)))
+    times = found.uses.groupBy("arc").agg(F.count("*").alias("n"))
+    lengths = found.arcs.join(found.grid, "part").select("arc", F.expr("aggregate(sequence(1, size(cells) - 1), 0D, (a, i) -> a + abs(cells[i].x - cells[i - 1].x) * kx + abs(cells[i].y - cells[i - 1].y) * ky)").alias("length"))
+    used = found.uses.join(times, "arc").join(lengths, "arc").groupBy("unit").agg(F.round(F.sum(F.when(F.col("n") > 1, F.col("length")).otherwise(0.0))).cast("long").alias("shared"), F.round(F.sum("length")).cast("int").alias("sides"))
+    area = F.expr("abs(aggregate(sequence(0, size(points) - 2), 0D, (a, i) -> a + points[i].x * points[i + 1].y - points[i + 1].x * points[i].y)) / 2")
+    areas = topology.rings_of(again).select("unit", half_up(area, 3).alias("area"))
+    return used.join(areas, "unit").select("unit", "sides", "shared", "area")
+
+
+@query(SQUARES_SQL + ", g AS (SELECT unit // 20 AS grp, x1, y1, x2, y2, count(*) AS n FROM seg GROUP BY ALL HAVING count(*) % 2 = 1), a AS (SELECT unit // 20 AS grp, count(DISTINCT unit)::DOUBLE AS area FROM seg GROUP BY 1) SELECT grp, a.area, count(*)::DOUBLE AS perimeter FROM g JOIN a USING (grp) GROUP BY ALL")
+def dissolved_rings(spark, sf_dir):
+    """Groups of units as closed rings with holes: area and perimeter."""
+    rows = square_rings(Tables(spark, sf_dir))
+    groups = rows.select("unit").distinct().withColumn("grp", F.floor(F.col("unit") / 20))
+    nested = topology.nested(topology.dissolved(topology.built(rows, 100_001), groups), 2.0)
+    around = F.expr("aggregate(sequence(0, size(points) - 2), 0D, (a, i) -> a + abs(points[i + 1].x - points[i].x) + abs(points[i + 1].y - points[i].y))")
+    perimeter = nested.groupBy("grp").agg(F.sum(around).alias("perimeter"))
+    return topology.features(nested).join(perimeter, "grp").select("grp", half_up(F.col("area"), 3).alias("area"), half_up(F.col("perimeter"), 3).alias("perimeter"))
+
+
 @query("""WITH r AS (SELECT s_suppkey AS ring, (s_suppkey % 10)::DOUBLE AS cx, (s_suppkey // 10)::DOUBLE AS cy, 1.0 + s_suppkey % 3 AS w FROM supplier)
 SELECT ring, floor(abs(2 * w * radians(1) * (sin(radians(cy + 1)) - sin(radians(cy)))) * 6371.0088 * 6371.0088 / 2 * 1e4 + 0.5) / 1e4 AS area_km2, w::DOUBLE AS shoelace, cx AS west, cy AS south, cx + w AS east, cy + 1 AS north FROM r""")
 def ring_measures(spark, sf_dir):
