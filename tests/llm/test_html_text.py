@@ -116,3 +116,36 @@ def test_forms_of_any_size_are_left_out(model, words):
     assert html_text.main_texts(model, [page]) == [f"Contact {text}"]
     wrapped = f"<html><body><form id=aspnet><nav><a href=/>Home</a></nav><article><h1>Contact</h1><p>{text}</p></article></form></body></html>"
     assert html_text.main_texts(model, [wrapped]) == [f"Contact {text}"]
+
+
+PROSE = [
+    "The mill by the river was built of grey stone and stood empty for years.",
+    "In spring the owners opened it again, and the wheel turned for the first time in a century.",
+    "Visitors come from the town on foot, and most of them stay until the evening.",
+]
+
+
+def test_articles_wrapped_in_forms(model):
+    """Some servers put one form around a page or its content, with anything after it."""
+    body = "".join(f"<p>{x} {x}</p>" for x in PROSE)
+    want = " ".join(["The mill", *(f"{x} {x}" for x in PROSE)])
+    for after in ("<div class=footer>(c) us</div>", "<footer>(c) us</footer>", "<div class=copyright><p>(c) us</p></div>", ""):
+        page = f"<html><body><form id=aspnetForm><h1>The mill</h1>{body}</form>{after}</body></html>"
+        assert html_text.main_texts(model, [page]) == [want], after
+    inside = f"<html><body><form method=post><input type=hidden name=v value=1><nav><a href=/>Home</a> <a href=/n>News</a></nav><div class=content><h1>The mill</h1>{body}</div><footer>(c) us</footer></form></body></html>"
+    assert html_text.main_texts(model, [inside]) == [want]
+
+
+def test_forms_of_their_own_are_left_out(model):
+    sign_in = "<html><body><form><label>Your name</label><input name=n><label>Your password</label><input name=p><button>Go</button></form></body></html>"
+    assert html_text.main_texts(model, [sign_in]) == [""]
+    body = "".join(f"<p>{x}</p>" for x in PROSE)
+    page = f"<html><body><article><h1>The mill</h1>{body}<form class=newsletter><p>Get our letters by mail.</p><input name=m><button>Yes</button></form></article></body></html>"
+    assert html_text.main_texts(model, [page]) == [" ".join(["The mill", *PROSE])]
+
+
+def test_formulas_and_text_for_readers_without_scripts(model):
+    page = f"<html><body><article><h1>Energy</h1><p>{PROSE[0]} It is <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> as they say.</p><p>{PROSE[1]}</p></article></body></html>"
+    assert html_text.main_texts(model, [page]) == [f"Energy {PROSE[0]} It is E=mc2 as they say. {PROSE[1]}"]
+    seen = html_text.parse("<p>a<noscript>b</noscript></p>")
+    assert [v for _, v, _ in seen.flow if v] == ["a", "b"] and not any(e.unseen for e in seen.elements)

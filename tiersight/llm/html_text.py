@@ -12,6 +12,7 @@ from __future__ import annotations
 import html as html_module
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -24,9 +25,12 @@ from tiersight.llm.sample_pages import labelled_pages
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text of the page.
-UNSEEN = frozenset("script style template noscript iframe object svg math canvas audio video select button textarea option datalist head title".split())
-RAW = frozenset("script style textarea title iframe noscript template svg math".split())
+UNSEEN = frozenset("script style template iframe object svg canvas audio video select button textarea option datalist head title annotation annotation-xml".split())
+RAW = frozenset("script style textarea title iframe template svg".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Formulas are text of the line that they are in.
+INLINE |= frozenset("math semantics mrow mi mn mo ms mtext mstyle mfrac msqrt mroot msub msup msubsup munder mover munderover mpadded mphantom menclose mspace".split())
+FIELDS = frozenset("input select textarea".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: A start tag ends open elements of these names, down to the nearest of the second set.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "body": ({"head"}, {"html"})}
@@ -34,9 +38,10 @@ NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 SPECIAL = re.compile("[>\"']")
 #: Elements nested deeper become siblings at this depth, as in browsers.
 DEEPEST = 512
-#: A form around one of these holds the page, not only fields.
+#: Parts of pages: a form around one may hold the page, not only fields.
 LANDMARKS = frozenset("article main header footer nav".split())
 NAMED = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+HIDDEN = re.compile(r"""\btype\s*=\s*["']?hidden""", re.I)
 PART = re.compile(r"[a-z]+")
 #: Parts of class names and ids that mark what an element is for.
 MARKS = frozenset(
@@ -47,11 +52,11 @@ MARKS = frozenset(
 class Element:
     """A node: its name, parent's number, marks and the text pieces of its own, in page order."""
 
-    __slots__ = ("tag", "parent", "depth", "marks", "role", "label", "size", "linked", "all_size", "all_linked", "children", "unseen")
+    __slots__ = ("tag", "parent", "depth", "marks", "role", "label", "size", "linked", "all_size", "all_linked", "children", "fields", "unseen")
 
     def __init__(self, tag: str, parent: int, depth: int, marks: tuple, role: str, label: str | None, unseen: bool):
         self.tag, self.parent, self.depth, self.marks, self.role, self.label, self.unseen = tag, parent, depth, marks, role, label, unseen
-        self.size = self.linked = self.all_size = self.all_linked = self.children = 0
+        self.size = self.linked = self.all_size = self.all_linked = self.children = self.fields = 0
 
 
 class Page(NamedTuple):
@@ -188,6 +193,8 @@ def parse(page: str) -> Page:
             close(*ENDS[name])
         _, top, link = opened.stack[-1]
         marks, role, label = _named(token.attributes)
+        if name in FIELDS and not HIDDEN.search(token.attributes):
+            elements[top].fields += 1
         if name in ("br", "hr"):
             flow.append((top, None, False))
         elif name in INLINE and not marks and not role:
@@ -232,11 +239,16 @@ def features(page: Page) -> list[list[tuple]]:
     wraps = [False] * len(elements)
     for i in range(len(elements) - 1, 0, -1):
         wraps[elements[i].parent] |= wraps[i] or elements[i].tag in LANDMARKS
-    for e, holds in zip(elements[1:], wraps[1:]):
-        # a form is no text, whatever is in it, unless the page itself is in it
-        e.unseen |= elements[e.parent].unseen or (e.tag == "form" and not holds and e.all_size < elements[0].all_size)
+        elements[elements[i].parent].fields += elements[i].fields
+    # what the nearest form around an element is like: how densely it has fields, its share of the page, and whether parts of pages are in it
+    forms: list[tuple] = [()] * len(elements)
+    for i, e in enumerate(elements):
+        if e.tag == "form":
+            forms[i] = (_bucket(int(1000 * e.fields / max(e.all_size, 1)), (1, 3, 6, 12, 25)), _bucket(int(10 * e.all_size / max(elements[0].all_size, 1)), (3, 6, 9)), wraps[i])
+        elif i:
+            forms[i] = forms[e.parent]
     out = []
-    for e in elements:
+    for e, form in zip(elements, forms):
         above = elements[e.parent].tag if e.parent >= 0 else ""
         short = _bucket(e.all_size, (1, 25, 80, 250, 1000))
         own = _bucket(e.size, (1, 25, 80, 250))
@@ -244,6 +256,9 @@ def features(page: Page) -> list[list[tuple]]:
         found = [("bias",), ("tag", e.tag), ("above", above, e.tag), ("size", short), ("own", own), ("links", links), ("tag size", e.tag, short), ("tag links", e.tag, links)]
         if e.unseen:
             found.append(("unseen",))
+        if form:
+            dense, share, holds = form
+            found += [("form", dense, share, holds), ("form fields", dense), ("form tag", e.tag, dense)]
         if e.role:
             found.append(("role", e.role))
         found += [("mark", x) for x in e.marks]
@@ -334,6 +349,12 @@ def train(labelled: list[str], rounds: int = 400, rate: float = 0.2, prior: floa
     return Model(dict(zip(index, at.tolist())), at[-4:].reshape(2, 2))
 
 
+@lru_cache(maxsize=1)
+def default_model() -> Model:
+    """Trained once a session on the generated pages of this package."""
+    return train(labelled_pages())
+
+
 def content_marginals(model: Model, pages: list[Page]) -> list[np.ndarray]:
     weight = model.weights.get
     scores = np.array([sum(weight(x, 0.0) for x in f) for p in pages for f in features(p)])
@@ -363,7 +384,7 @@ def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     Rows with null or repeated ids or urls are extracted each for itself. Columns of `pages` named
     text or n_chars are replaced.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(model or train(labelled_pages()))
+    shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
     taken = [f for f in pages.schema if f.name.lower() not in ("html", "text", "n_chars")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

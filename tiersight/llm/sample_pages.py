@@ -35,6 +35,8 @@ class Layout:
         for _ in range(self.r.randint(lo, hi)):
             s = self.sentence()
             k = self.r.random()
+            if k > 0.97:
+                s = f"{s} <math><mi>{self.word()}</mi><mo>=</mo><mn>{self.word()}</mn></math>"
             if k < 0.06:
                 s = f'<a href="/{self.word()}">{s}</a>'
             elif k < 0.16:
@@ -74,6 +76,18 @@ class Layout:
         inner = self.r.choice(["", f"<p>{self.prose(1, 2)}</p>", self.prose(1, 4) + " ", f"<h3>{self.words(1, 5)}</h3>"]) + inner
         return self.r.choice([f"<form{self.named(FORM, 0.5)}>{inner}</form>", f"<div{self.named(FORM)}>{inner}</div>", f"<div{self.named(FORM)}><form>{inner}</form></div>"])
 
+    def long_form(self) -> str:
+        """Many questions with a field each."""
+        return f"<form{self.named(FORM, 0.4)}>" + "".join(f"<p>{self.sentence()}</p>{self.r.choice(['<input name=a>', '<textarea></textarea>', '<select><option>x</select>'])}" for _ in range(self.r.choice([4, 8, 15, 40, 80]))) + "<button>ok</button></form>"
+
+    def wrapped(self, inner: str) -> str:
+        """Parts of a page in the one form that some servers put around them."""
+        hidden = '<input type="hidden" name="state" value="x">' * self.r.randint(0, 2)
+        return f'<form{self.r.choice([" id=aspnetForm", " id=form1", "", " method=post action=/"])}>{hidden}{inner}</form>'
+
+    def unscripted(self) -> str:
+        return f"<noscript>{self.r.choice([self.sentence(), '<p>' + self.sentence() + '</p>', '<img src=x>', '<div' + self.named(NOTICE) + '>' + self.prose(1, 2) + '</div>'])}</noscript>"
+
     def side(self) -> str:
         items = []
         for _ in range(self.r.randint(1, 4)):
@@ -125,7 +139,7 @@ class Layout:
         if self.r.random() < 0.15:  # text without paragraphs
             body = [f"<div{y}>{self.prose(3, 12)}<br><br>{self.prose(3, 12)}</div>"]
         for _ in range(self.r.choice([0, 0, 0, 1, 2])):
-            made = self.r.choice([self.ad, self.ad, self.form, self.side, self.menu, self.notice])()
+            made = self.r.choice([self.ad, self.ad, self.form, self.form, self.side, self.menu, self.notice, self.unscripted])()
             body.insert(self.r.randint(0, len(body)), made)
         title = f"<h1{y}>{self.words(1, 9)}</h1>"
         kind = self.r.random()
@@ -151,6 +165,8 @@ class Layout:
 
     def page(self) -> str:
         before = [f() for f in (self.notice, self.header, self.menu, self.ad) if self.r.random() < 0.5]
+        if self.r.random() < 0.1:
+            before.append(self.unscripted())
         self.r.shuffle(before)
         after = [f() for f in (self.side, self.ad, self.comments, self.menu, self.form, self.notice, self.foot) if self.r.random() < 0.45]
         core = self.article()
@@ -161,6 +177,18 @@ class Layout:
         head = f'<head><title>{self.words(1, 8)}</title><meta charset="utf-8"><style>p{{margin:0}}</style><script>var a="<p>";</script></head>'
         if self.r.random() < 0.05:
             return "".join(self.block() for _ in range(3))
+        kind = self.r.random()
+        if kind < 0.12:
+            core = self.r.choice([core + self.long_form(), f"<main>{core}{self.long_form()}</main>", f"<div>{self.long_form()}{core}</div>"])
+            if kind < 0.05:  # little beside the form
+                y = ' data-y="1"'
+                core = f"<main><article><h1{y}>{self.words(1, 3)}</h1><p{y}>{self.prose(1, 2)}</p></article>{self.long_form()}{self.long_form()}</main>"
+        elif kind < 0.18:
+            core = self.wrapped(core)
+        elif kind < 0.22:
+            core = self.wrapped("".join(self.block() for _ in range(self.r.randint(1, 6))))
+        elif kind < 0.27:
+            return f'<html>{head}<body>{self.wrapped("".join(before) + core + "".join(after))}{self.r.choice(["", self.foot()])}</body></html>'
         return f'<!DOCTYPE html><html lang="en">{head}<body>{"".join(before)}{core}{"".join(after)}' + self.r.choice(["</body></html>", "</body></html>", ""])
 
 
