@@ -58,3 +58,10 @@ def test_nearest_lattice_point_is_nearest(spark):
     base = np.square(y - got).sum(1)
     for m in lattice.MINIMAL:
         assert (np.square(y - got - m).sum(1) >= base - 1e-9).all()
+
+
+def test_of_repeated_ids_the_row_that_can_be_linked_counts(spark):
+    v, w = [1.0, 2.0, 3.0], [-3.0, 1.0, 0.5]
+    rows = spark.createDataFrame([(1, 5, v), (1, None, w), (2, 5, v), (3, 5, None), (3, 5, v), (4, None, v)], "vec_id long, label int, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in lattice.near_vectors(rows).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True)}

@@ -42,16 +42,30 @@ def test_votes_are_those_of_the_nearest(spark, sf):
     seen = quality.term_counts([(r.text or "").encode() for r in rows])
     got = quality.score(model, seen, block=len(rows))
     marks = np.asarray(model.quality, np.float64)
-    # projected together, as single precision tells near neighbours apart only within one product
-    placed = quality._unit(quality._weighted(seen, model.idf).astype(np.float32) @ model.axes)
-    clear = 0
-    for score, one in zip(got, placed.astype(np.float64)):
-        votes = sorted(((float(v @ one), float(q)) for v, q in zip(model.vectors.astype(np.float64), marks)), reverse=True)
-        k = min(model.neighbours, len(marks))
-        if k < len(votes) and votes[k - 1][0] - votes[k][0] < 1e-6:
-            continue  # copies tie for the last vote
-        votes = votes[:k]
-        weight = [max(c, 1e-3) ** model.power for c, _ in votes]
-        assert abs(score - sum(w * q for w, (_, q) in zip(weight, votes)) / sum(weight)) < 0.01
-        clear += 1
-    assert clear > 100
+    vectors = model.vectors.astype(np.float64)
+    for score, one in zip(got, quality.placed(model, seen)):
+        cosines = [round(float(v @ one), 6) for v in vectors]
+        last = sorted(cosines, reverse=True)[min(model.neighbours, len(marks)) - 1]
+        votes = [(max(c, 1e-3) ** model.power, q) for c, q in zip(cosines, marks) if c >= last]
+        assert abs(score - sum(w * q for w, q in votes) / sum(w for w, _ in votes)) < 1e-8
+
+
+def test_all_copies_at_the_last_place_vote():
+    rng = np.random.default_rng(2)
+    counts = np.repeat(rng.poisson(0.02, (40, quality.TERMS)).astype(np.float32), 3, axis=0)
+    model = quality.fit(counts, np.arange(len(counts)) % 2, dims=8, neighbours=4)
+    got = quality.score(model, counts[:1])
+    cosines = np.round(model.vectors.astype(np.float64) @ quality.placed(model, counts[:1])[0], 6)
+    last = np.sort(cosines)[-4]
+    votes = cosines >= last
+    assert votes.sum() > 4
+    weight = np.maximum(cosines[votes], 1e-3) ** model.power
+    assert abs(got[0] - weight @ (np.arange(len(counts))[votes] % 2) / weight.sum()) < 1e-8
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    """Ties of copies included: as read, dealt out anew, and in blocks of other sizes."""
+    docs, labels = queries.table(spark, "/root/testdata/sf0.01", "documents"), queries.table(spark, "/root/testdata/sf0.01", "labels")
+    one = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
+    other = {r.doc_id: r.score for r in quality.quality_scores(docs.repartition(7, "text"), labels.repartition(3)).collect()}
+    assert one == other

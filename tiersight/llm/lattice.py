@@ -117,13 +117,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tables: int = 10,
     Vectors are linked if their labels are equal and not null and their cosine, in doubles, reaches
     the threshold. Vectors that are null, empty or zero, or hold null or non-finite components, link
     with nothing, nor do vectors of different length. Of several rows of a vec_id the smallest
-    (label, embedding) counts; rows without a vec_id are left out. A pair at the threshold meets in
+    (label, embedding) counts of those that can be linked; rows without a vec_id are left out. A pair at the threshold meets in
     a table with a chance of about 0.47, so of ten tables it is missed with one of about 0.002.
     Equal vectors are one class throughout, so copies cost nothing and are always found.
     """
     rows = vectors.where("vec_id is not null").groupBy(F.col("vec_id").cast("long").alias("vec_id"))
-    rows = stage(rows.agg(F.min(F.struct("label", F.col("embedding").alias("v"))).alias("x")).select("vec_id", "x.*"))
-    sound = F.col("label").isNotNull() & F.coalesce(_fine(F.col("v")), F.lit(False))
+    sound = F.col("label").isNotNull() & F.coalesce(_fine(F.col("embedding")), F.lit(False))
+    rows = stage(rows.agg(F.min(F.struct((~sound).alias("unsound"), "label", F.col("embedding").alias("v"))).alias("x")).select("vec_id", "x.*"))
+    sound = ~F.col("unsound")
     classes = stage(
         rows.where(sound).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("v"))
     )
@@ -187,7 +188,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tables: int = 10,
     found = classes.join(found, F.col("rep") == F.col("node"), "left").join(links, "rep", "left")
     found = found.select("label", "v", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # equal vectors have equal hashes; -0.0 and 0.0 count as equal in both
-    joined = rows.join(found, ["label", "v"], "left")
+    joined = rows.drop("unsound").join(found, ["label", "v"], "left")
     component = F.coalesce("component_id", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 

@@ -90,16 +90,26 @@ def fit(counts: np.ndarray, quality: np.ndarray, dims: int = 48, neighbours: int
     return Model(idf, axes, _unit(x @ axes), quality.astype(np.float32), neighbours, power)
 
 
+def placed(model: Model, counts: np.ndarray) -> np.ndarray:
+    """Documents' unit vectors on the model's axes, in doubles."""
+    return _unit(_weighted(counts, model.idf).astype(np.float64) @ model.axes.astype(np.float64))
+
+
 def score(model: Model, counts: np.ndarray, block: int = 256) -> np.ndarray:
-    """Share of label 1 among the nearest neighbours, weighted by cosine to a power."""
+    """Share of label 1 among the nearest neighbours, weighted by cosine to a power.
+
+    Cosines count to six decimals, and all neighbours vote whose cosine is that of the last one or
+    more, so that a score doesn't depend on the order of ties or on what else is in a block.
+    """
     out = np.empty(len(counts))
     k = min(model.neighbours, len(model.vectors))
+    vectors = model.vectors.astype(np.float64)
     for at in range(0, len(counts), block):
-        z = _unit(_weighted(counts[at : at + block], model.idf).astype(np.float32) @ model.axes)
-        cosine = z @ model.vectors.T
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-3).astype(np.float64) ** model.power
-        out[at : at + block] = (weight * model.quality[near]).sum(1) / weight.sum(1)
+        z = placed(model, counts[at : at + block])
+        cosine = np.round(z @ vectors.T, 6)
+        last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+        weight = np.where(cosine >= last, np.maximum(cosine, 1e-3) ** model.power, 0.0)
+        out[at : at + block] = np.round(weight @ model.quality.astype(np.float64) / weight.sum(1), 9)
     return out
 
 
