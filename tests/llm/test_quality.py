@@ -33,6 +33,12 @@ def test_term_counts_cover_the_whole_text():
     assert a[1, : quality.WORDS].sum() == 0 and a[2, -1] == 1
 
 
+def test_counts_of_a_text_do_not_depend_on_its_neighbours():
+    texts = [b"one two", b"", b"7", b"x y", "é".encode(), b"three\nlines\nhere"]
+    together = quality.term_counts(texts)
+    assert all((quality.term_counts([t])[0] == row).all() for t, row in zip(texts, together))
+
+
 def test_votes_are_those_of_the_nearest(spark, sf):
     """Every score against the cosines of one document with each labelled vector, one by one."""
     docs, labels = queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels")

@@ -39,7 +39,11 @@ def term_counts(texts: list[bytes]) -> np.ndarray:
     size = np.fromiter(map(len, texts), np.int64, n)
     shape = SHAPE[found.data].astype(np.uint64)
     code = (shape[:-2] << np.uint64(16)) | (shape[1:-1] << np.uint64(8)) | shape[2:] if len(shape) > 2 else shape[:0]
+    # three characters of a text, the line feed after it included, but nothing of the next one
+    ends = np.cumsum(size + 1)
     of = np.repeat(np.arange(n), size + 1)[: len(code)]
+    own = np.arange(len(code)) + 2 < ends[of]
+    of, code = of[own], code[own]
     slot = (mixed(code) >> np.uint64(40)).astype(np.int64) % SHAPES
     out[:, WORDS : WORDS + SHAPES] = np.bincount(of * SHAPES + slot, minlength=n * SHAPES).reshape(n, SHAPES)
     out[np.arange(n), WORDS + SHAPES + np.minimum(np.log2(np.diff(found.first) + 1).astype(int), LENGTHS - 1)] = 1
