@@ -147,11 +147,14 @@ def entropy(rows: DataFrame, by: list[str], signature: str) -> DataFrame:
     return n.withColumn("term", -share * F.log(share)).groupBy(*by).agg(F.sum("term").alias("entropy"))
 
 
-def bootstrap(groups: DataFrame, rounds: int = 2000, seed: int = 1, confidence: float = 0.95) -> DataFrame:
-    """(low, high) of the share hits / n over resampled groups (group, hits, n), drawn with replacement.
-
-    A round is a row: each draws every group a Poisson(1) number of times by a hash of its own, so no
-    round needs all groups in one task. Both ends are null if no round has any n.
+def resampled(groups: DataFrame, sums: list[str], statistic: Column, rounds: int = 2000, seed: int = 1, confidence: float = 0.95) -> DataFrame:
+    """(value, low, high): a statistic of summed columns, and its interval over resampled groups (group and `sums`).
+
+    statistic: of columns named as `sums`, which stand for sums over groups: a ratio of two, a mean, a
+    correlation (`correlation`). Each round draws every group a Poisson(1) number of times, by a hash of
+    seed, round and group. Draws are summed by round where they are made, so that a partition sends a
+    row for each round, however many groups it has. Rounds whose statistic is null don't count; low and
+    high are null if none is left.
     """
     spark = groups.sparkSession
     at = spark.range(rounds).withColumnRenamed("id", "round")
@@ -163,11 +166,28 @@ def bootstrap(groups: DataFrame, rounds: int = 2000, seed: int = 1, confidence:
         term /= k + 1
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "round", F.col("group").cast("string")).cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(16**13)
     times = sum(((F.lit(c) <= u).cast("int") for c in cdf), F.lit(0))
-    each = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).withColumn("times", times).where("times > 0")
-    shares = at.join(each.groupBy("round").agg(F.sum(F.col("hits") * F.col("times")).alias("h"), F.sum(F.col("n") * F.col("times")).alias("m")), "round", "left")
-    shares = shares.where("m > 0").select((F.col("h").cast("double") / F.col("m")).alias("share"))
+    each = groups.select("group", *sums, F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).withColumn("times", times).where("times > 0")
+    drawn = at.join(each.groupBy("round").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in sums]), "round", "left")
     tail = (1 - confidence) / 2
-    return shares.agg(F.percentile("share", tail).alias("low"), F.percentile("share", 1 - tail).alias("high"))
+    interval = drawn.select(statistic.alias("x")).agg(F.percentile("x", tail).alias("low"), F.percentile("x", 1 - tail).alias("high"))
+    return groups.agg(*[F.sum(c).alias(c) for c in sums]).select(statistic.alias("value")).join(interval)
+
+
+def correlation(n: str = "n", x: str = "x", y: str = "y", xx: str = "xx", yy: str = "yy", xy: str = "xy") -> Column:
+    """Pearson's correlation from sums; null where a side is constant."""
+    n_, x_, y_ = (F.col(c).cast("double") for c in (n, x, y))
+    a, b = n_ * F.col(xx).cast("double") - x_ * x_, n_ * F.col(yy).cast("double") - y_ * y_
+    return F.when((a > 0) & (b > 0), (n_ * F.col(xy).cast("double") - x_ * y_) / F.sqrt(a * b))
+
+
+def share(hits: str = "hits", n: str = "n") -> Column:
+    """A sum per another, as of a share or a mean; null where that is not above zero."""
+    return F.when(F.col(n) > 0, F.col(hits).cast("double") / F.col(n))
+
+
+def bootstrap(groups: DataFrame, rounds: int = 2000, seed: int = 1, confidence: float = 0.95) -> DataFrame:
+    """(low, high) of the share hits / n over resampled groups (group, hits, n)."""
+    return resampled(groups, ["hits", "n"], share(), rounds, seed, confidence).select("low", "high")
 
 
 def stratified(rows: DataFrame, by: str, key: str, n: int, seed: int) -> DataFrame:

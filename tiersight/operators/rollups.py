@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiersight.operators.ranks import summed_before
+from tiersight.operators.staging import stage
 
 
 def child_counts(children: DataFrame, parent: str, parents: DataFrame, key: str, name: str = "children") -> DataFrame:
@@ -64,11 +67,26 @@ def equal_width(rows: DataFrame, value: str, bins: int, log: bool = False) -> Da
     return every.join(placed.groupBy("bin").agg(F.count("*").alias("n")), "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def nearest_rank(value: str, shares: list[float]) -> Column:
-    """Array of the elements at floor(n * share) of the sorted values."""
-    ordered = F.sort_array(F.collect_list(value))
-    n = F.size(ordered)
-    return F.array(*[F.element_at(ordered, F.least(n, F.floor(n * F.lit(q)).cast("int") + 1)) for q in shares])
+def nearest_ranks(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(by, n, ranks): per group the values at place floor(n * share), from 0, of its sorted values; nulls don't count.
+
+    Equal values are counted first and dealt out by ranges of (group, value), so that a group of any
+    size is in as many tasks as it has ranges; each range starts from the count of the group's earlier
+    ones, and only values that hold a wanted place are kept.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
+    ranged = stage(counted.repartitionByRange(*by, "_value").withColumn("_range", F.spark_partition_id()))
+    parts = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_of_range"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_of_range").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_range").alias("_at"), before.alias("_start"), F.sum("_of_range").over(group).alias("n"))
+    met = (F.col("_range") == F.col("_at")) & reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.lit(True))
+    within = Window.partitionBy(*by, "_range").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(parts, met).withColumn("_start", F.col("_start") + F.coalesce(F.sum("_n").over(within), F.lit(0)))
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1).alias("rank")) for k, q in enumerate(shares)])
+    held = placed.select(*by, "n", "_value", F.explode(F.filter(wanted, lambda w: (w["rank"] >= F.col("_start")) & (w["rank"] < F.col("_start") + F.col("_n")))).alias("w"))
+    found = held.groupBy(*by, "n").agg(F.array_sort(F.collect_list(F.struct(F.col("w.k").alias("k"), F.col("_value").alias("value")))).alias("w"))
+    return found.select(*by, "n", F.transform("w", lambda w: w["value"]).alias("ranks"))
 
 
 def greedy_cover(rows: DataFrame, code: str, density: str, amount: str, share: float = 0.5) -> DataFrame:

@@ -99,8 +99,8 @@ def logarithmic_histogram(spark, sf_dir):
 @query("""WITH g AS (SELECT c_mktsegment AS segment, list_sort(list(c_acctbal)) AS v FROM customer GROUP BY 1)
 SELECT segment, v[least(len(v), floor(len(v) * 0.1)::INT + 1)] AS p10, v[least(len(v), floor(len(v) * 0.5)::INT + 1)] AS p50, v[least(len(v), floor(len(v) * 0.9)::INT + 1)] AS p90 FROM g""")
 def nearest_rank_quantiles(spark, sf_dir):
-    rows = Tables(spark, sf_dir).customer.groupBy(F.col("c_mktsegment").alias("segment")).agg(rollups.nearest_rank("c_acctbal", [0.1, 0.5, 0.9]).alias("q"))
-    return rows.select("segment", *[F.col("q")[i].alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
+    rows = rollups.nearest_ranks(Tables(spark, sf_dir).customer.withColumnRenamed("c_mktsegment", "segment"), ["segment"], "c_acctbal", [0.1, 0.5, 0.9])
+    return rows.select("segment", *[F.col("ranks")[i].alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
 
 
 @query("SELECT c_mktsegment AS segment, floor(median(c_acctbal) * 10000 + 0.5) / 10000 AS middle, floor(quantile_cont(c_acctbal, 0.25) * 10000 + 0.5) / 10000 AS lower, quantile_disc(c_acctbal, 0.9) AS ninth FROM customer GROUP BY 1")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tiersight.functions import geo
 from tiersight.functions.numbers import half_up
-from tiersight.operators import checks, matching, places, topology
+from tiersight.operators import checks, matching, places, tiling, topology
 from tiersight.queries.base import Tables, query
 from tiersight.queries.joins import SQUARES_SQL
 
@@ -174,3 +174,11 @@ def finding_checks(spark, sf_dir):
     families = spark.createDataFrame([("balance.total", "balance"), ("other.total", "other")], "path string, family string")
     measures = units.select("code", F.lit("other.total").alias("measure"))
     return checks.evaluated(asked, units, facts, matching.both_ways(edges), families, measures)
+
+
+@query()
+def adaptive_tiles(spark, sf_dir):
+    """Squares' outlines in tiles that are split where they hold many points."""
+    rings = square_rings(Tables(spark, sf_dir)).groupBy("unit", "ring").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("p")).select("unit", "ring", F.transform("p", lambda p: F.struct(p["x"] / 4 + 0.013, p["y"] / 4 + 0.017)).cast("array<struct<x:double,y:double>>").alias("points"))
+    leaves, _ = tiling.adaptive_tiles(rings, (0.0, 0.0), 24, 4)
+    return tiling.tile_steps(leaves, (0.0, 0.0), 1e-4).select("z", "x", "y", "unit", "ring", F.size("points").alias("n"), F.to_json("flat").alias("flat"))

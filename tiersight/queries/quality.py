@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tiersight.functions import text as names
+from tiersight.functions.canonical import canonical_json
 from tiersight.operators import validators
 from tiersight.queries.base import Tables, money, query
 
@@ -93,3 +94,19 @@ def personal_data_flags(spark, sf_dir):
 @query(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\w.+-]+@[\w-]+\.[\w.]+', ' ', 'g'), 'https?://\S+', ' ', 'g'), '\+?\d(?:[\s().-]*\d){7,}', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM conversations""")
 def scrubbed_texts(spark, sf_dir):
     return Tables(spark, sf_dir).conversations.select("conv_id", "turn", names.scrubbed(F.col("text")).alias("text"))
+
+
+@query(r"""WITH c AS (SELECT p_partkey AS id, p_brand AS field, p_size / 3.0::DOUBLE AS value, p_size / 700.0::DOUBLE AS share, p_size % 2 = 0 AS ranked FROM part),
+n AS (SELECT *, regexp_replace((floor(value * 10 + 0.5) / 10)::DECIMAL(18,1)::VARCHAR, '\.?0+$', '') AS v, regexp_replace((floor(share * 100 + 0.5) / 100)::DECIMAL(18,2)::VARCHAR, '\.?0+$', '') AS s FROM c)
+SELECT id, CASE WHEN ranked THEN '{"check":"rank","field":"' || field || '","position":"top","share":' || s || ',"within":["level",null]}'
+  ELSE '{"check":"compare","left":{"field":"' || field || '","subject":"self"},"op":">","right":{"value":' || v || '}}' END AS signature FROM n""")
+def check_signatures(spark, sf_dir):
+    """Checks of findings in canonical JSON."""
+    rows = Tables(spark, sf_dir).part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("field"), (F.col("p_size") / F.lit(3.0)).alias("value"), (F.col("p_size") / F.lit(700.0)).alias("share"), (F.col("p_size") % 2 == 0).alias("ranked"))
+    rank = F.struct(F.lit("top").alias("position"), "share", F.array(F.lit("level"), F.lit(None).cast("string")).alias("within"), "field", F.lit("rank").alias("check"))
+    left = F.struct(F.lit("self").alias("subject"), "field")
+    compare = F.struct(F.lit(">").alias("op"), F.struct("value").alias("right"), left.alias("left"), F.lit("compare").alias("check"))
+    both = rows.select("id", "ranked", rank.alias("rank"), compare.alias("compare"))
+    finer = {"share": 2}
+    written = {c: canonical_json(F.col(c), both.schema[c].dataType, 1, finer) for c in ("rank", "compare")}
+    return both.select("id", F.when(F.col("ranked"), written["rank"]).otherwise(written["compare"]).alias("signature"))

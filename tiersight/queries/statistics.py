@@ -98,6 +98,24 @@ def bootstrap_interval(spark, sf_dir):
     return out.select(numbers.half_up(F.col("low"), 9).alias("low"), numbers.half_up(F.col("high"), 9).alias("high"))
 
 
+@query("""WITH g AS (SELECT c_nationkey AS grp, count(*) AS n, sum(c_custkey % 100) AS x, sum(c_nationkey + c_custkey % 7) AS y, sum((c_custkey % 100) * (c_custkey % 100)) AS xx, sum((c_nationkey + c_custkey % 7) * (c_nationkey + c_custkey % 7)) AS yy, sum((c_custkey % 100) * (c_nationkey + c_custkey % 7)) AS xy FROM customer GROUP BY 1),
+cdf AS (SELECT sum(exp(-1.0) / factorial(k::INT)::DOUBLE) OVER (ORDER BY k) AS c FROM range(0, 12) t(k)),
+d AS (SELECT r.round, g.*, ('0x' || substr(md5('9:' || r.round || ':' || g.grp), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM range(0, 300) r(round), g),
+t AS (SELECT *, (SELECT count(*) FROM cdf WHERE c <= u) AS times FROM d),
+s AS (SELECT round, sum(n * times)::DOUBLE AS n, sum(x * times)::DOUBLE AS x, sum(y * times)::DOUBLE AS y, sum(xx * times)::DOUBLE AS xx, sum(yy * times)::DOUBLE AS yy, sum(xy * times)::DOUBLE AS xy FROM t GROUP BY 1
+  UNION ALL SELECT -1, sum(n)::DOUBLE, sum(x)::DOUBLE, sum(y)::DOUBLE, sum(xx)::DOUBLE, sum(yy)::DOUBLE, sum(xy)::DOUBLE FROM g),
+v AS (SELECT round, 'correlation' AS statistic, CASE WHEN n * xx - x * x > 0 AND n * yy - y * y > 0 THEN (n * xy - x * y) / sqrt((n * xx - x * x) * (n * yy - y * y)) END AS v FROM s UNION ALL SELECT round, 'mean', CASE WHEN n > 0 THEN x / n END FROM s)
+SELECT statistic, floor(max(v) FILTER (round = -1) * 1e6 + 0.5) / 1e6 AS value, floor(quantile_cont(v, 0.05) FILTER (round >= 0) * 1e6 + 0.5) / 1e6 AS low, floor(quantile_cont(v, 0.95) FILTER (round >= 0) * 1e6 + 0.5) / 1e6 AS high FROM v GROUP BY 1""")
+def resampled_statistics(spark, sf_dir):
+    """A mean and a correlation with their intervals over resampled groups."""
+    x, y = F.col("c_custkey") % 100, F.col("c_nationkey") + F.col("c_custkey") % 7
+    groups = Tables(spark, sf_dir).customer.groupBy(F.col("c_nationkey").alias("group")).agg(F.count("*").alias("n"), *[F.sum(e).alias(c) for c, e in (("x", x), ("y", y), ("xx", x * x), ("yy", y * y), ("xy", x * y))])
+    sums = ["n", "x", "y", "xx", "yy", "xy"]
+    kinds = (("correlation", hypotheses.correlation()), ("mean", hypotheses.share("x", "n")))
+    found = [hypotheses.resampled(groups, sums, of, rounds=300, seed=9, confidence=0.9).select(F.lit(name).alias("statistic"), *[numbers.half_up(F.col(c), 6).alias(c) for c in ("value", "low", "high")]) for name, of in kinds]
+    return found[0].unionAll(found[1])
+
+
 @query()
 def permutation_test(spark, sf_dir):
     """Rank correlation of size and price per brand with its p over 199 seeded shuffles."""
