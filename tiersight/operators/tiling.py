@@ -32,7 +32,11 @@ def adaptive_tiles(rings: DataFrame, origin: tuple[float, float], most: int = 25
     def row(c: str, k: int) -> Column:
         return F.explode(F.sequence(F.floor(ends(F.array_min, c) - origin[k] - margin), F.floor(ends(F.array_max, c) - origin[k] + margin)))
 
+    # the map's own tiles; the margin opens no others
+    least, greatest = (lambda c, k: F.min(F.floor(ends(F.array_min, c) - origin[k]))), (lambda c, k: F.max(F.floor(ends(F.array_max, c) - origin[k])))
+    x0, x1, y0, y1 = rows.agg(least("x", 0), greatest("x", 0), least("y", 1), greatest("y", 1)).first()
     level = rows.withColumn("x", row("x", 0)).withColumn("y", row("y", 1)).withColumn("z", F.lit(0))
+    level = level.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
     leaves, split = None, None
     for z in range(deepest + 1):
         level = stage(_cut(level, origin, margin).select("z", "x", "y", "unit", "ring", "points"))
