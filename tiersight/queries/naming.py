@@ -90,7 +90,18 @@ def merged_place_lists(spark, sf_dir):
     """Parts' names of even and odd keys as two lists of a city; the second's spellings go under the first's names."""
     part = Tables(spark, sf_dir).part
     rows = lambda odd, name: part.where(F.col("p_partkey") % 2 == odd).select(F.col("p_brand").alias("city"), name.alias("name"), (F.col("p_size") % 5).cast("string").alias("postcode")).distinct()
-    return gazetteers.merged_lists(rows(0, F.col("p_name")), rows(1, F.regexp_replace("p_name", "e", "a")), decompose=False)
+    return gazetteers.merged_lists(rows(0, F.col("p_name")), rows(1, F.regexp_replace("p_name", "e", "a")), decompose=False).select("city", "name", "list", F.array_join("also", ", ").alias("also"))
+
+
+@query()
+def bordering_names(spark, sf_dir):
+    """Parts' names that a brand has of its own go to the brand beside it that is known to have them."""
+    part = Tables(spark, sf_dir).part
+    rows = part.select(F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("city"), F.concat_ws(" ", "p_name", "p_type").alias("name"), "p_partkey")
+    located, added = rows.where("p_partkey % 2 = 0").select("city", "name"), rows.where("p_partkey % 2 = 1").select("city", "name")
+    cities = rows.select(F.col("city").alias("a")).distinct()
+    borders = cities.select("a", F.explode(F.array(F.col("a") - 1, F.col("a") + 1)).alias("b"))
+    return gazetteers.spilled(added, located, borders, decompose=False)
 
 
 @query()
