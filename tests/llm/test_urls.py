@@ -117,3 +117,26 @@ def test_against_following_links(spark):
     want = plain_verdicts(rows)
     assert got == want and len({v for i, v in want.items() if i < 120}) == 2
     assert sum(r.via == "alias" for r in urls.url_verdicts(df, RULES).collect()) > 10
+
+
+def test_links_are_read_from_tags():
+    def links(page):
+        return urls.links_of(page)
+
+    assert links('<link rel=canonical data-href="http://a/" href="http://b/?x=1&amp;y=2">') == ("", ["http://b/?x=1&y=2"])
+    assert links("<link title='a > b' rel='canonical' href='/c'>") == ("", ["/c"])
+    assert links('<base href="http://b.test/dir/"><base href="x"><link rel="alternate Canonical" href=c>') == ("http://b.test/dir/", ["c"])
+    assert links('<!-- <link rel="canonical" href="/no"> --><script>var x = \'<link rel="canonical" href="/no">\'</script>') == ("", [])
+    assert links('<link rel="not-canonical" href="/no"><link rel=canonical href=""><link rel=canonical>') == ("", [])
+    assert links('<META HTTP-EQUIV=Refresh CONTENT="5;URL=\'/r s\'"><meta http-equiv=refresh content=30><meta name=refresh content="0;url=/no">') == ("", ["/r s"])
+    assert links('<p title="<link rel=canonical href=/no>">') == ("", []) and links("<link rel=canonical href=/x") == ("", [])
+
+
+def test_odd_links_carry_decisions(spark):
+    bad = "http://bad.com/en/1"
+    rows = [
+        (1, "http://a.test/", f'<link data-href="/x" rel=canonical href="{bad}">', None), (2, "http://b.test/", f"<link title='>' rel=canonical href='{bad}'>", None),
+        (3, "http://c.test/", '<base href="http://bad.com/en/"><link rel=canonical href="1">', None), (4, "http://d.test/", f"<!-- <link rel=canonical href='{bad}'> -->", None),
+        (5, "http://e.test/", f'<link rel="not-canonical" href="{bad}">', None), (6, "http://f.test/", "<link rel=canonical href='z'>", None),
+    ]
+    assert {i: v[3] for i, v in verdicts(spark, rows).items()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow"}

@@ -8,15 +8,19 @@ of them is explicitly allowed.
 from __future__ import annotations
 
 import html as html_module
+import re
+from collections.abc import Iterator
 from typing import NamedTuple
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tiersight.llm.flat import free_name
+from tiersight.llm.flat import free_name, parts
+from tiersight.llm.html_text import RAW, Tokens
 from tiersight.operators.graph import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,41 +62,72 @@ def rule_columns(rules: list[Rule], host: Column, path: Column) -> tuple[Column,
     return text, verdict
 
 
-def _tags(html: Column, tag: str, marked: str, value: str) -> Column:
-    """Group 1 of `value` in every <tag> that matches `marked`; empty ones left out."""
-    tags = F.filter(F.regexp_extract_all(html, F.lit(f"(?is)<{tag}\\b[^>]*>"), F.lit(0)), lambda x: x.rlike(marked))
-    return F.filter(F.transform(tags, lambda x: F.trim(F.regexp_extract(x, value, 1))), lambda x: F.length(x) > 0)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+REFRESH = re.compile(r"""^[\s\d.]*[;,]?\s*url\s*=\s*(?:"([^"]*)|'([^']*)|(.*))""", re.I | re.S)
+
+
+def attributes(text: str) -> dict[str, str]:
+    """A tag's attributes by name in lower case, the first of each name, character references decoded."""
+    out: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), html_module.unescape(a or b or c))
+    return out
+
+
+def links_of(page: str) -> tuple[str, list[str]]:
+    """A page's base address, empty if it gives none, and the targets of its canonical links and meta refreshes, in order.
+
+    Only tags count: not what looks like one in a comment, in a script or in another tag's quotes.
+    """
+    tokens, at, base, found = Tokens(page), 0, "", []
+    while token := tokens.after(at):
+        at = token.end
+        if token.closing or not token.name:
+            continue
+        if token.name in RAW:
+            close = re.compile(f"</{token.name}\\b", re.I).search(page, at)
+            at = close.start() if close else len(page)
+        elif token.name in ("link", "meta", "base"):
+            own = attributes(token.attributes)
+            target = own.get("href", "").strip()
+            if token.name == "base":
+                base = base or target
+            elif token.name == "meta":
+                m = REFRESH.search(own.get("content", "")) if own.get("http-equiv", "").strip().lower() == "refresh" else None
+                target = ((m[1] or m[2] or m[3] or "") if m else "").strip()
+            elif "canonical" not in own.get("rel", "").lower().split():
+                continue
+            if target and token.name != "base":
+                found.append(target)
+    return base, found
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(url, target) of all canonical links and meta refreshes in the pages' html, target as written but for character references."""
-    html = F.col("html")
-    own = pages.where(F.col("url").contains("://") & html.rlike("(?i)canonical|http-equiv"))
-    targets = F.concat(
-        _tags(html, "link", r"(?is)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"),
-        _tags(html, "meta", r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b", r"(?is)\burl\s*=\s*[\"']?([^\"'>]+)"),
-    )
-    return own.select("url", F.explode(targets).alias("target")).withColumn("target", decoded("target"))
+    """(url, base, target) of all canonical links and meta refreshes in the pages' html, and the base address that they are relative to, if any."""
+    own = pages.where(F.col("url").contains("://") & F.col("html").rlike("(?i)canonical|refresh")).select("url", "html")
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in parts(batch, "html"):
+                rows = [(url, base, target) for url, page in zip(piece.column("url").to_pylist(), piece.column("html").to_pylist()) for base, targets in [links_of(page)] for target in targets]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["url", "base", "target"])
 
-@F.pandas_udf(StringType())
-def decoded(target: pd.Series) -> pd.Series:
-    return target.map(html_module.unescape)
+    return own.mapInArrow(each, "url string, base string, target string")
 
 
 @F.pandas_udf(StringType())
-def resolved(url: pd.Series, target: pd.Series) -> pd.Series:
+def resolved(url: pd.Series, base: pd.Series, target: pd.Series) -> pd.Series:
     """A link's target as an absolute address, dot segments taken out; null where there is none."""
 
-    def one(url: str | None, target: str | None) -> str | None:
+    def one(url: str | None, base: str | None, target: str | None) -> str | None:
         if not url or not target or "://" not in url:
             return None
         try:  # the scheme tells nothing here, and joining knows only some
-            return urljoin("http" + url[url.index("://") :], target)
+            return urljoin(urljoin("http" + url[url.index("://") :], base or ""), target)
         except ValueError:
             return None
 
-    return pd.Series([one(u, t) for u, t in zip(url, target)], dtype=object)
+    return pd.Series([one(*x) for x in zip(url, base, target)], dtype=object)
 
 
 def node(url: Column) -> Column:
@@ -111,8 +146,8 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], redirects: DataFrame | Non
     """
     links = page_links(pages)
     if redirects is not None:
-        links = links.unionByName(redirects.select("url", "target"))
-    edges = links.select(node(F.col("url")).alias("a"), node(resolved(F.col("url"), F.col("target"))).alias("b"))
+        links = links.unionByName(redirects.select("url", F.lit("").alias("base"), "target"))
+    edges = links.select(node(F.col("url")).alias("a"), node(resolved(F.col("url"), F.col("base"), F.col("target"))).alias("b"))
     names = components(edges)
     full = F.concat(F.lit("x://"), F.col("node"))
     judged = names.select("node", "component", rule_columns(rules, part(full, 1), part(full, 2))[1].alias("own"))
@@ -124,7 +159,9 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], redirects: DataFrame | Non
     taken = [f"`{c}`" for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "via")]
     host, path = part(F.col("url"), 1), part(F.col("url"), 2)
     text, verdict = rule_columns(rules, F.col("host"), F.col("path"))
-    rows = pages.select(*taken, host.alias("host"), path.alias("path"), node(F.col("url")).alias(name))
+    # names never hold a #, so rows without one are dealt out and meet nothing
+    nowhere = F.concat(F.lit("#"), F.monotonically_increasing_id() % 4096)
+    rows = pages.select(*taken, host.alias("host"), path.alias("path"), F.coalesce(node(F.col("url")), nowhere).alias(name))
     out = rows.select("*", text.alias("rule"), verdict.alias(own)).join(alias, name, "left")
     via = F.when(F.col(own).isNotNull(), "rule").when(F.col(other).isNotNull(), "alias").otherwise("none")
     return out.select(*taken, "host", "path", "rule", F.coalesce(own, other, F.lit("allow")).alias("verdict"), via.alias("via"))
