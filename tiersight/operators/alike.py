@@ -86,7 +86,7 @@ def best_alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     return best.join(_spread(left, a, "left"), ["grp", "left"]).select(F.col("left_code").alias("left"), "right", "score")
 
 
-def mutual_alike(left: DataFrame, right: DataFrame, over: float, steps: tuple[float, ...] = (0.75, 0.5)) -> DataFrame:
+def mutual_alike(left: DataFrame, right: DataFrame, over: float, steps: tuple[float, ...] = (0.5,)) -> DataFrame:
     """(left, right, score) of rows that are each other's most alike in their group, with a share over `over` (at least 0).
 
     Ties go to the smaller codes, so only the smallest codes of classes can be in a pair. What has a
