@@ -29,10 +29,6 @@ def stripped(names: pd.Series) -> pd.Series:
     return names.map(lambda s: s and "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn"))
 
 
-def has_marks(s: Column) -> Column:
-    return s.rlike(r"[^\x00-\x7F]")
-
-
 def normalise(name: Column, decompose: bool = True) -> Column:
     """The form that names and queries are compared in: folded, lower case, single spaces.
 

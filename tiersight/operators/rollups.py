@@ -33,8 +33,9 @@ def summed_parents(facts: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
-    total = F.sum(F.when(value.isNotNull(), weight))
-    return F.sum(value * weight) / F.nullif(total, F.lit(0).cast("decimal(1,0)"))
+    """Per group, of the rows that have a value; null where their weights sum to nothing."""
+    total = F.sum(F.when(value.isNotNull(), weight)).cast("double")
+    return F.sum(value * weight).cast("double") / F.nullif(total, F.lit(0.0))
 
 
 def share_beyond(value: Column, weight: Column, limit: float) -> Column:

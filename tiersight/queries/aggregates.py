@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tiersight.functions import numbers
-from tiersight.operators import rollups
+from tiersight.operators import ranks, rollups
 from tiersight.queries.base import Tables, money, query
 
 
@@ -46,8 +46,7 @@ def parents_from_children(spark, sf_dir):
   sum(CASE WHEN l_discount > 0.05 THEN l_quantity::DECIMAL(18,2) ELSE 0 END)::DOUBLE / sum(l_quantity::DECIMAL(18,2))::DOUBLE * 100 AS share_over FROM lineitem GROUP BY 1""")
 def weighted_means(spark, sf_dir):
     q, d = F.col("l_quantity").cast("decimal(18,2)"), F.col("l_discount").cast("decimal(18,2)")
-    mean = F.sum(d * q).cast("double") / F.sum(q).cast("double")
-    return Tables(spark, sf_dir).lineitem.groupBy(F.col("l_returnflag").alias("flag")).agg(mean.alias("mean_discount"), rollups.share_beyond(F.col("l_discount"), q, 0.05).alias("share_over"))
+    return Tables(spark, sf_dir).lineitem.groupBy(F.col("l_returnflag").alias("flag")).agg(rollups.weighted_mean(d, q).alias("mean_discount"), rollups.share_beyond(F.col("l_discount"), q, 0.05).alias("share_over"))
 
 
 @query("""WITH b AS (SELECT c_mktsegment AS segment, CASE WHEN c_acctbal < 0 THEN 0 WHEN c_acctbal < 3000 THEN 1 WHEN c_acctbal < 6000 THEN 2 ELSE 3 END AS band, 1 AS w FROM customer)
@@ -128,10 +127,8 @@ def greedy_coverage(spark, sf_dir):
 @query("""WITH g AS (SELECT p_brand AS brand, count(*) AS n, avg(p_size::DOUBLE) AS mean, sum(p_size::BIGINT) AS s, sum(p_size::BIGINT * p_size) AS ss FROM part GROUP BY 1)
 SELECT brand, n, s::DOUBLE / n::DOUBLE AS mean, sqrt(ss::DOUBLE / n::DOUBLE - (s::DOUBLE / n::DOUBLE) * (s::DOUBLE / n::DOUBLE)) AS spread FROM g""")
 def mean_and_spread(spark, sf_dir):
-    size = F.col("p_size").cast("long")
-    rows = Tables(spark, sf_dir).part.groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("n"), F.sum(size).cast("double").alias("s"), F.sum(size * size).cast("double").alias("ss"))
-    n, mean = F.col("n").cast("double"), F.col("s") / F.col("n").cast("double")
-    return rows.select("brand", "n", mean.alias("mean"), F.sqrt(F.col("ss") / n - mean * mean).alias("spread"))
+    rows = Tables(spark, sf_dir).part.select(F.col("p_brand").alias("brand"), F.col("p_size").cast("long").alias("size"))
+    return ranks.with_moments(rows, "size", "brand").select("brand", "n", "mean", "spread").distinct()
 
 
 @query("SELECT s_nationkey AS nation, list_sort(list(DISTINCT (s_suppkey % 7)::BIGINT)) AS codes FROM supplier GROUP BY 1")

@@ -90,6 +90,8 @@ def best_within_parent(spark, sf_dir):
 
 @query()
 def coverage_holes(spark, sf_dir):
-    """Holes in blocks of squares."""
-    sides = square_sides(Tables(spark, sf_dir)).withColumn("grp", F.lit(1))
-    return records.outline_parts(places.outlines(sides)).select("grp", "sides", "west", "south", "east", "north", "outline")
+    """The closed lines around groups of squares, of which each lacks every sixth; those that are holes."""
+    edges = places.outlines(square_sides(Tables(spark, sf_dir)).withColumn("grp", F.floor(F.col("unit") / 50)))
+    holes = records.coverage_holes(edges).select("grp", "ring", F.lit(True).alias("hole"))
+    lines = records.outline_parts(edges).join(holes, ["grp", "ring"], "left")
+    return lines.select("grp", "sides", "west", "south", "east", "north", F.coalesce("hole", F.lit(False)).alias("hole"))
