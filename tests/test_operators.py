@@ -1,6 +1,8 @@
 """Operators on small inputs with known results."""
 
+import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +73,27 @@ def test_statistics(spark):
     assert hypotheses.mann_whitney(two, ["g"], "first", "v").first().p == pytest.approx(0.0495, abs=1e-3)
 
 
+def test_permutations_against_all_of_them(spark):
+    a, b = [1, 2, 3, 4, 5, 5], [2, 1, 4, 3, 6, 6]
+    known = [(1, x, y) for x, y in zip(a, b)]
+    rows = spark.createDataFrame([*known, (1, None, 3), (1, 9, None), (2, 1, 1), (2, 1, 2), (3, 4, 4), *[(4, i // 3, -(i // 3)) for i in range(30)]], "g int, x int, y int")
+    got = {r.g: r for r in hypotheses.permutation_p(rows, "g", "x", "y", rounds=2000).collect()}
+    twice = lambda v: np.array([2 * sum(o < x for o in v) + sum(o == x for o in v) + 1 for x in v])
+    p, q = twice(a), twice(b)
+    apart = lambda order: abs(len(p) * int(p @ q[list(order)]) - p.sum() * q.sum())
+    every = [apart(o) >= apart(range(6)) for o in itertools.permutations(range(6))]
+    assert got[1].n == 6 and got[1].p == pytest.approx(np.mean(every), abs=0.02)
+    assert (got[2].rho, got[2].p, got[3].rho, got[3].n) == (None, None, None, 1)
+    assert got[4].rho == -1.0 and got[4].p == pytest.approx(1 / 2001)
+    again = {r.g: r for r in hypotheses.permutation_p(rows.repartition(7), "g", "x", "y", rounds=2000, tasks=3).collect()}
+    assert again == got
+    seeded = hypotheses.permutation_p(rows.where("g = 1"), "g", "x", "y", rounds=2000, seed=F.lit(77)).first()
+    assert seeded.p != got[1].p and seeded.p == pytest.approx(got[1].p, abs=0.02)
+    with pytest.raises(Exception, match="too many"):
+        hypotheses.permutation_p(rows, "g", "x", "y", rounds=9, largest=5).collect()
+    assert hypotheses.permutation_p(rows.limit(0), "g", "x", "y").collect() == []
+
+
 def test_hierarchy(spark):
     kinds = "region province cercle commune centre commune district province commune arrondissement region commune".split()
     rows = spark.createDataFrame([(i, 0, k, f"c{i}") for i, k in enumerate(kinds)], "row_idx long, part int, kind string, code string")

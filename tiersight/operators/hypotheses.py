@@ -54,28 +54,58 @@ def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return sums.select(*by, "n", F.when((sxx > 0) & (syy > 0), sxy / F.sqrt(sxx * syy)).alias("rho"))
 
 
-def permutation_p(rows: DataFrame, by: str, x: str, y: str, rounds: int = 999, seed: Column | None = None) -> DataFrame:
-    """Per group rho and the share of seeded reshuffles that correlate as strongly, each with one added.
-
-    One task per group: groups are a level's units, which are few; the work is the rounds.
+def permutation_p(rows: DataFrame, by: str, x: str, y: str, rounds: int = 999, seed: Column | None = None, tasks: int = 16, largest: int = 1_000_000) -> DataFrame:
+    """(by, n, rho, p) per group: the share of reshuffles that correlate as strongly, each with one added; null where a side is constant.
+
+    A reshuffle orders a group's rows by a hash of seed, round and their place among the ranks, so that it
+    doesn't depend on how rows are dealt out. Twice the ranks and their sums are whole numbers, so equal
+    correlations are equal. Rounds are dealt out: each of up to `tasks` tasks gets a group's distinct pairs of
+    ranks with their counts and does its share of the rounds, one vector at a time, so that what is shuffled
+    doesn't grow with the rounds. A group of over `largest` rows is refused with an error.
     """
-    out_type = f"{by} {rows.schema[by].dataType.simpleString()}, n long, rho double, p double"
-    seeded = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_seed", F.pmod(F.coalesce(seed, F.lit(1)) if seed is not None else F.lit(1), F.lit(2**32)))
+    keyed = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_seed", F.coalesce(seed, F.lit(1)).cast("long") if seed is not None else F.lit(1).cast("long"))
+    twice = keyed.select(by, "_seed", (average_rank(x, by) * 2).cast("long").alias("_a"), (average_rank(y, by) * 2).cast("long").alias("_b"))
+    # copies of a row are one with a count, so that heavy ties cost nothing
+    cells = twice.groupBy(by, "_a", "_b").agg(F.count("*").alias("_times"), F.min("_seed").alias("_seed"))
+    block = max(1, -(-rounds // tasks))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(max(rounds - 1, 0) // block))).alias("_block")
+    dealt = cells.select("*", blocks)
+    key = rows.schema[by].dataType.simpleString()
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([x, y], kind="stable")
-        a, b = (pdf[c].rank().to_numpy() for c in (x, y))
-        a, b = a - a.mean(), b - b.mean()
-        scale = np.sqrt((a @ a) * (b @ b))
-        if scale == 0:
-            return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [len(pdf)], "rho": [None], "p": [None]})
-        rho, draw, hits, mixed = float(a @ b / scale), stream(int(pdf["_seed"].iloc[0])), 0, b
-        for _ in range(rounds):
-            mixed = shuffled(mixed, draw)
-            hits += abs(a @ mixed / scale) >= abs(rho)
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [len(pdf)], "rho": [rho], "p": [(hits + 1) / (rounds + 1)]})
-
-    return seeded.groupBy(by).applyInPandas(each, out_type)
+        pdf = pdf.sort_values(["_a", "_b"])
+        if pdf["_times"].sum() > largest:
+            raise ValueError(f"a group has {pdf['_times'].sum()} rows, too many to permute in one task")
+        a, b = (np.repeat(pdf[c].to_numpy(np.int64), pdf["_times"]) for c in ("_a", "_b"))
+        n, start = len(a), int(pdf["_block"].iloc[0]) * block
+        centred = a * n - a.sum(), b * n - b.sum()
+        spread = [float(c.astype(float) @ c) for c in centred]
+        rho = None if 0.0 in spread else float(centred[0].astype(float) @ centred[1] / np.sqrt(spread[0] * spread[1]))
+        hits = 0
+        if rho is not None:
+            expected, own = int(a.sum()) * int(b.sum()), int(a @ b)
+            for r in range(start, min(start + block, rounds)):
+                drawn = int(a @ b[np.argsort(mixed(int(pdf["_seed"].min()), r, n), kind="stable")])
+                hits += abs(n * drawn - expected) >= abs(n * own - expected)
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [n], "rho": [rho], "hits": [hits]})
+
+    counted = dealt.groupBy(by, "_block").applyInPandas(each, f"`{by}` {key}, n long, rho double, hits long")
+    p = (F.sum("hits") + 1) / F.lit(float(rounds + 1))
+    # a group's tasks agree in all but their hits
+    return counted.groupBy(by).agg(F.max("n").alias("n"), F.max("rho").alias("rho"), p.alias("p")).withColumn("p", F.when(F.col("rho").isNotNull(), F.col("p")))
+
+
+def mixed(seed: int, turn: int, n: int) -> np.ndarray:
+    """n well-mixed 64-bit numbers by place for a seed and a round (the finaliser of splitmix64, twice)."""
+
+    def finish(z: np.ndarray) -> np.ndarray:
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+    with np.errstate(over="ignore"):
+        base = finish(np.array([(seed * 0x9E3779B97F4A7C15 + turn) % 2**64], np.uint64))
+        return finish(base + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def mann_whitney(rows: DataFrame, by: list[str], first: str, value: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tiersight.queries import aggregates, demand, geography, joins, lists, naming, quality, recordkeeping, search, statistics, villages, windows  # noqa: F401
+from tiersight.queries import aggregates, demand, geography, joins, lists, naming, quality, recordkeeping, scripts, search, statistics, villages, windows  # noqa: F401
 from tiersight.queries.base import QUERIES, SQL, Query
 
 
