@@ -122,3 +122,17 @@ def test_words_by_rule(spark):
     df = spark.createDataFrame([(w, c) for w in words for c in (True, False)], "word string, construct boolean")
     got = {(r.word, r.construct): r.latin for r in tl.by_rule(df).collect()}
     assert got == {(w, c): plain_word(w, c) for w in words for c in (True, False)}
+
+
+def test_words_that_names_write_for_each_other(spark):
+    names = [
+        ("Sidi Ali", "سيدي علي"), ("Sidi ’Ali", "سيدي علي"), ("Sidi Abdelkader", "سيدي عبد القادر"), ("Hay 2", "حي 2"), ("Rbat", "فاس"), ("Ouled Ali Sidi", "سيدي علي"),
+        ("El Bir", "البير"), ("n’Ali", "نعلي"), ("Sidi", None), (None, "سيدي"), ("", ""), ("Sédi", "سيدي"),
+    ]
+    pairs = tl.word_pairs(spark.createDataFrame([*names, *names], "fr string, ar string"))
+    got = {(r.arabic, r.latin): r.n for r in pairs.collect()}
+    assert got == {("سيدي", "Sidi"): 6, ("سيدي", "Sédi"): 2, ("علي", "Ali"): 4, ("عبد القادر", "Abdelkader"): 2, ("البير", "El Bir"): 2, ("نعلي", "n’Ali"): 2, ("حي", "Hay"): 2}
+    assert {(r.arabic, r.latin) for r in tl.word_table(pairs).collect()} == {("سيدي", "Sidi"), ("علي", "Ali"), ("عبد القادر", "Abdelkader"), ("البير", "El Bir"), ("نعلي", "n’Ali"), ("حي", "Hay")}
+    back = {r.latin: r.arabic for r in tl.word_table(pairs, to_latin=False).collect()}
+    assert back["el bir"] == "البير" and back["sidi"] == "سيدي" and back["abdelkader"] == "عبد القادر"
+    assert latin(spark, ["سيدي عبد القادر نعلي"], table=tl.word_table(pairs)) == {"سيدي عبد القادر نعلي": "Sidi Abdelkader n'Ali"}

@@ -142,3 +142,44 @@ def shared_edges(segments: DataFrame) -> DataFrame:
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def placed_under(leaves: DataFrame, parents: DataFrame, width: int, skip: int = 0) -> DataFrame:
+    """Leaves (code, ...) with `parent`, the unit (code) whose digits after the first `skip` are the leaf's first `width`; null where none is.
+
+    Codes are digits, padded on both sides. Of parents of equal digits the smallest counts.
+    """
+    keyed = parents.groupBy(F.substr(F.col("code"), F.lit(skip + 1)).alias("_key")).agg(F.min("code").alias("parent"))
+    return leaves.withColumn("_key", F.substring("code", 1, width)).join(keyed, "_key", "left").drop("_key")
+
+
+def placing_problems(placed: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """(code, problem) of what `placed_under` gives: no parent, listed twice, and what the parents' own lists say otherwise.
+
+    listed (parent, name, size): leaves by name as the parents' records have them; placed has name and size
+    then. A leaf is not listed, or has another size, where no row of its name there has the same; null sizes are equal.
+    """
+    out = placed.where("parent is null").select("code", F.lit("no parent").alias("problem")).distinct()
+    out = out.unionByName(placed.groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code", F.lit("listed twice").alias("problem")))
+    if listed is None:
+        return out
+    known = listed.select("parent", "name", F.col("size").alias("_size"), F.lit(True).alias("_there"))
+    held = placed.where("parent is not null").join(known, ["parent", "name"], "left").groupBy("code", "parent", "name", "size").agg(F.bool_or("_there").alias("there"), F.bool_or(F.col("_size").eqNullSafe(F.col("size"))).alias("same"))
+    wrong = F.when(F.col("there").isNull(), "not listed").when(~F.col("same"), "other size")
+    return out.unionByName(held.select("code", wrong.alias("problem")).where("problem is not null").distinct())
+
+
+def widest_gap(units: DataFrame, edges: DataFrame, figures: DataFrame, least: float, smallest: float = 0) -> DataFrame:
+    """(code, neighbour, path, here, there, gap): where a unit and one that borders it are furthest apart, if by `least` or more.
+
+    units: code, population, flagged (figures that can't be compared); edges: a, b, both ways; figures: code,
+    path, value. Units under `smallest` people and flagged ones take no part. Gaps are rounded to one decimal; of
+    equal ones the first path counts, then the first neighbour.
+    """
+    sound = units.where((F.col("population") >= smallest) & ~F.coalesce("flagged", F.lit(False))).select("code")
+    values = figures.where("value is not null").join(sound, "code", "left_semi")
+    here = values.select(F.col("code").alias("a"), "path", F.col("value").alias("here"))
+    there = values.select(F.col("code").alias("b"), "path", F.col("value").alias("there"))
+    apart = edges.select("a", "b").where("a <> b").join(here, "a").join(there, ["b", "path"]).withColumn("gap", F.floor(F.abs(F.col("here") - F.col("there")) * 10 + 0.5) / 10).where(F.col("gap") >= least)
+    best = F.min(F.struct((-F.col("gap")).alias("by"), "path", F.col("b").alias("neighbour"), "here", "there", "gap")).alias("x")
+    return apart.groupBy(F.col("a").alias("code")).agg(best).select("code", "x.neighbour", "x.path", "x.here", "x.there", "x.gap")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tiersight.functions.scripts import arabic_keys, keys_meet, latin_keys
 from tiersight.functions.text import ARTICLES, normalise, stripped
 from tiersight.operators.spellings import spelled
 from tiersight.operators.staging import stage
@@ -71,6 +72,47 @@ def words_of(name: Column) -> Column:
     return F.regexp_extract_all(name, F.lit(f"[^{SPACE}]+"), F.lit(0))
 
 
+def latin_words_of(name: Column) -> Column:
+    """A Latin name's words, an article written apart with the word after it."""
+    return F.regexp_extract_all(name, F.lit(f"(?i)(?:{'|'.join(ARTICLES)})[{SPACE}]+[^{SPACE}]+|[^{SPACE}]+"), F.lit(0))
+
+
+def without_ayn(latin: Column, arabic: Column) -> Column:
+    """A Latin word without the marks that lists write for ayn: those before a word or after a vowel, and, where the Arabic has ayn, all but typed ones and the n' and d' that join words."""
+    marks = "’‘`ʿ"
+    out = F.regexp_replace(latin, rf"(?<![^{SPACE}])['{marks}]+", "")
+    out = F.regexp_replace(out, rf"(?i)(?<=[aeiouàâäéèêëîïôöûü])[{marks}]+", "")
+    return F.when(arabic.contains("ع"), F.regexp_replace(out, rf"(?i)(?<!(?<![^{SPACE}])[nd])[{marks}]", "")).otherwise(out)
+
+
+def word_pairs(names: DataFrame) -> DataFrame:
+    """(arabic, latin, n): words that names in both scripts (fr, ar) write for each other, and how often.
+
+    Names of as many words are lined up as they are. Where the Arabic has one more, abd and the word after it are
+    taken as one, if there is one way to do so in which the keys of all words meet. Words with digits and
+    words whose keys don't meet are left out.
+    """
+    rows = names.where("fr is not null and ar is not null").groupBy("fr", "ar").agg(F.count("*").alias("n")).withColumns({"f": latin_words_of(F.col("fr")), "a": words_of(F.col("ar"))})
+    same = rows.where("size(a) = size(f)").select("fr", "ar", "n", "f", F.lit(-1).alias("way"), "a")
+    abd = F.filter(F.transform("a", lambda w, i: F.when((F.regexp_replace(w, "[ً-ْٰـ]", "") == "عبد") & (i < F.size("a") - 1), i)), lambda i: i.isNotNull())
+    longer = rows.where("size(a) = size(f) + 1").select("fr", "ar", "n", "f", F.explode(abd).alias("way"), "a")
+    at = F.col("way")
+    joined = F.concat(F.slice("a", F.lit(1), at), F.array(F.concat_ws(" ", F.get("a", at), F.get("a", at + 1))), F.slice("a", at + 3, F.size("a")))
+    longer = longer.withColumn("a", joined)
+    each = same.unionByName(longer).select("fr", "ar", "n", "way", F.inline(F.arrays_zip("a", "f"))).toDF("fr", "ar", "n", "way", "arabic", "latin")
+    met = stage(each.withColumn("meet", keys_meet(arabic_keys(F.col("arabic")), latin_keys(F.col("latin")))))
+    good = met.where("way >= 0").groupBy("fr", "ar", "way").agg(F.bool_and("meet").alias("good")).where("good").groupBy("fr", "ar").agg(F.count("*").alias("ways"), F.min("way").alias("way")).where("ways = 1").drop("ways")
+    kept = met.where("way < 0").unionByName(met.join(good, ["fr", "ar", "way"], "left_semi")).where(F.col("meet") & ~F.concat("arabic", "latin").rlike(r"\p{Nd}"))
+    return kept.groupBy("arabic", without_ayn(F.col("latin"), F.col("arabic")).alias("latin")).agg(F.sum("n").alias("n"))
+
+
+def word_table(pairs: DataFrame, to_latin: bool = True) -> DataFrame:
+    """(arabic, latin) of `word_pairs`: for each word of one script, as it folds, what the other writes for it most often; of equals the first in order."""
+    source, target = ("arabic", "latin") if to_latin else ("latin", "arabic")
+    counted = pairs.groupBy(normalise(F.col(source)).alias(source), target).agg(F.sum("n").alias("n")).where(f"{source} <> ''")
+    return counted.groupBy(source).agg(F.min(F.struct((-F.col("n")).alias("by"), target)).alias("x")).select(source, f"x.{target}").select("arabic", "latin")
+
+
 def letters_of(word: Column) -> Column:
     return F.regexp_extract_all(word, F.lit("(?s)."), F.lit(0))
 
@@ -317,9 +359,7 @@ def in_arabic(names: DataFrame, table: DataFrame | None = None, counts: DataFram
     as they are known to be written; counts: a model from Latin to Arabic for those it lacks; then letter rules.
     decompose: False where all names are ASCII.
     """
-    article = "|".join(ARTICLES)
-    tokens = F.regexp_extract_all("name", F.lit(f"(?i)(?:{article})[{SPACE}]+[^{SPACE}]+|[^{SPACE}]+"), F.lit(0))
-    rows = names.select("name").where("name is not null").distinct().select("name", F.posexplode_outer(tokens).alias("at", "word"))
+    rows = names.select("name").where("name is not null").distinct().select("name", F.posexplode_outer(latin_words_of(F.col("name"))).alias("at", "word"))
     apart = F.col("word").rlike(f"[{SPACE}]")
     # a word whose article stands apart is the rest, and has the article joined on
     rows = rows.withColumns({"key": normalise(F.col("word"), decompose), "rest": normalise(F.when(apart, F.regexp_extract("word", f"[{SPACE}]+(.*)$", 1)).otherwise(F.col("word")), decompose), "apart": apart})

@@ -203,9 +203,26 @@ def mark_join_and_first(spark, sf_dir):
 SELECT c.parent, count(code) AS n, min(code) AS first FROM c JOIN p USING (parent) GROUP BY 1""")
 def prefix_join(spark, sf_dir):
     """Leaves to the units whose code theirs starts with."""
-    part = Tables(spark, sf_dir).part.select(F.substring(F.lpad(F.col("p_partkey").cast("string"), 9, "0"), 1, 7).alias("parent"), F.col("p_partkey").alias("code"))
-    parents = part.where("code % 200 < 150").select("parent").distinct()
-    return parents.join(part, "parent").groupBy("parent").agg(F.count("code").alias("n"), F.min("code").alias("first"))
+    placed = _placed_parts(Tables(spark, sf_dir)).where("parent is not null")
+    return placed.groupBy("parent").agg(F.count("key").alias("n"), F.min("key").alias("first"))
+
+
+def _placed_parts(t: Tables):
+    """Parts by nine digits under the units that seven of them name, which some lack."""
+    leaves = t.part.select(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("code"), F.col("p_partkey").alias("key"), F.col("p_brand").alias("name"), F.col("p_size").alias("size"))
+    parents = leaves.where("key % 200 < 150").select(F.substring("code", 1, 7).alias("code")).distinct()
+    return matching.placed_under(leaves, parents, 7)
+
+
+@query("""WITH p AS (SELECT lpad(p_partkey::VARCHAR, 9, '0') AS code, substr(lpad(p_partkey::VARCHAR, 9, '0'), 1, 7) AS parent, p_brand AS name, p_size AS size, p_partkey AS key FROM part),
+c AS (SELECT DISTINCT parent FROM p WHERE key % 200 < 150), l AS (SELECT parent, name, size FROM p WHERE key % 3 = 0)
+SELECT code, CASE WHEN parent NOT IN (SELECT parent FROM c) THEN 'no parent' WHEN NOT EXISTS (SELECT 1 FROM l WHERE l.parent = p.parent AND l.name = p.name) THEN 'not listed' ELSE 'other size' END AS problem FROM p
+WHERE parent NOT IN (SELECT parent FROM c) OR NOT EXISTS (SELECT 1 FROM l WHERE l.parent = p.parent AND l.name = p.name AND l.size = p.size)""")
+def placing_problems(spark, sf_dir):
+    """Leaves without a unit, and those that their unit's list of names and sizes, a third of all here, doesn't have."""
+    placed = _placed_parts(Tables(spark, sf_dir))
+    listed = placed.where("key % 3 = 0").select("parent", "name", "size")
+    return matching.placing_problems(placed, listed)
 
 
 @query("""WITH m AS (SELECT p_brand AS a, p_type AS b, p_partkey AS code FROM part), k AS (SELECT b, min(a) AS a FROM m GROUP BY b HAVING count(DISTINCT a) <= 2)

@@ -145,6 +145,35 @@ def neighbour_gaps(spark, sf_dir):
     return pairs.groupBy(F.col("a").alias("code")).agg(F.max_by("b", F.struct("gap", -F.col("b"))).alias("neighbour"), F.max("gap").alias("gap")).where("gap >= 3000")
 
 
+@query("""WITH u AS (SELECT s_suppkey AS code, s_suppkey % 900 AS population, s_suppkey % 17 = 0 AS flagged FROM supplier), s AS (SELECT * FROM u WHERE population >= 50 AND NOT flagged),
+f AS (SELECT s_suppkey AS code, unnest(['balance', 'key', 'nation']) AS path, unnest([floor(s_acctbal / 100), (s_suppkey * 37 % 101)::DOUBLE, CASE WHEN s_nationkey <> 3 THEN s_nationkey * 4.0::DOUBLE END]) AS value FROM supplier), v AS (SELECT f.* FROM f JOIN s USING (code) WHERE value IS NOT NULL),
+e AS (SELECT x.s_suppkey AS a, y.s_suppkey AS b FROM supplier x JOIN supplier y ON y.s_suppkey IN (x.s_suppkey - 3, x.s_suppkey - 1, x.s_suppkey + 1, x.s_suppkey + 3)),
+g AS (SELECT a, b, x.path, x.value AS here, y.value AS there, floor(abs(x.value - y.value) * 10 + 0.5) / 10 AS gap FROM e JOIN v x ON x.code = a JOIN v y ON y.code = b AND y.path = x.path)
+SELECT a AS code, b AS neighbour, path, here, there, gap FROM g WHERE gap >= 30 QUALIFY row_number() OVER (PARTITION BY a ORDER BY gap DESC, path, b) = 1""")
+def widest_gaps(spark, sf_dir):
+    """The figure on which a supplier is furthest from one that borders it."""
+    rows = Tables(spark, sf_dir).supplier
+    key = F.col("s_suppkey")
+    units = rows.select(key.alias("code"), (key % 900).alias("population"), (key % 17 == 0).alias("flagged"))
+    wide = rows.select(key.alias("code"), F.floor(F.col("s_acctbal") / 100).cast("double").alias("balance"), (key * 37 % 101).cast("double").alias("key"), F.when(F.col("s_nationkey") != 3, F.col("s_nationkey") * F.lit(4.0)).alias("nation"))
+    edges = rows.select(key.alias("a"), F.explode(F.array(key + 1, key + 3)).alias("b"))
+    return matching.widest_gap(units, matching.both_ways(edges), wide.unpivot(["code"], ["balance", "key", "nation"], "path", "value"), 30, 50)
+
+
+@query("""WITH p AS (SELECT p_partkey AS row, CASE WHEN p_partkey % 13 > 0 THEN p_brand END AS unit, CASE p_size % 10 WHEN 0 THEN 'Rue ' || p_name WHEN 1 THEN '' WHEN 2 THEN lower(p_type) WHEN 3 THEN upper(p_name) ELSE p_name END AS fr FROM part),
+u AS (SELECT p_brand AS unit, min(p_type) AS fr FROM part GROUP BY 1), j AS (SELECT p.*, u.fr AS own FROM p LEFT JOIN u USING (unit)),
+s AS (SELECT row, unit, fr, CASE WHEN fr = '' THEN 'unnamed' WHEN fr LIKE 'Rue %' THEN 'street' WHEN own IS NULL THEN 'outside' WHEN lower(fr) = lower(own) THEN 'unit' END AS state FROM j)
+SELECT row, unit, fr, coalesce(state, CASE WHEN row = min(row) OVER (PARTITION BY unit, lower(fr), state) THEN 'kept' ELSE 'repeat' END) AS state FROM s""")
+def place_states(spark, sf_dir):
+    """What becomes of each place of a list: parts as places of their brands."""
+    part = Tables(spark, sf_dir).part
+    cases = F.when(F.col("p_size") % 10 == 0, F.concat(F.lit("Rue "), "p_name")).when(F.col("p_size") % 10 == 1, "").when(F.col("p_size") % 10 == 2, F.lower("p_type")).when(F.col("p_size") % 10 == 3, F.upper("p_name")).otherwise(F.col("p_name"))
+    none = F.lit(None).cast("string").alias("ar")
+    places = part.select(F.col("p_partkey").alias("row"), F.when(F.col("p_partkey") % 13 > 0, F.col("p_brand")).alias("unit"), cases.alias("fr"), none)
+    units = part.groupBy(F.col("p_brand").alias("code")).agg(F.min("p_type").alias("fr")).select("code", "fr", none)
+    return gazetteers.place_states(places, units, decompose=False).select("row", "unit", "fr", "state")
+
+
 @query("""SELECT proposer, finding, id, row_number() OVER (PARTITION BY proposer, finding ORDER BY score DESC, id) AS place FROM (SELECT p_brand AS proposer, p_size % 5 AS finding, p_partkey AS id, p_retailprice AS score FROM part WHERE p_size > 25)""")
 def rank_among_passing(spark, sf_dir):
     rows = Tables(spark, sf_dir).part.where("p_size > 25").select(F.col("p_brand").alias("proposer"), (F.col("p_size") % 5).alias("finding"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"))

@@ -52,3 +52,10 @@ SELECT arabic AS name, string_agg(x, ' ' ORDER BY k) AS latin FROM e GROUP BY ar
 def written_in_latin(spark, sf_dir):
     """The same names, as they are in Arabic letters, written in Latin letters again by rule."""
     return transliteration.in_latin(_in_arabic(Tables(spark, sf_dir)).select(F.col("arabic").alias("name")))
+
+
+@query()
+def known_words(spark, sf_dir):
+    """What parts' names in Arabic letters write for each word of theirs in Latin ones, most often."""
+    pairs = _in_arabic(Tables(spark, sf_dir)).select(F.col("name").alias("fr"), F.col("arabic").alias("ar"))
+    return transliteration.word_table(transliteration.word_pairs(pairs))
