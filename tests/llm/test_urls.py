@@ -4,6 +4,8 @@ import re
 from collections import defaultdict
 from urllib.parse import urljoin
 
+from pyspark.sql import functions as F
+
 from tiersight.llm import queries, urls
 
 RULES = queries.RULES
@@ -140,3 +142,31 @@ def test_odd_links_carry_decisions(spark):
         (5, "http://e.test/", f'<link rel="not-canonical" href="{bad}">', None), (6, "http://f.test/", "<link rel=canonical href='z'>", None),
     ]
     assert {i: v[3] for i, v in verdicts(spark, rows).items()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow"}
+
+
+def test_a_table_of_rules_is_joined(spark):
+    """The same verdicts as one rule after another, for hosts and paths of any length, and 100,000 rules."""
+    rng = random.Random(9)
+    label = lambda: rng.choice(["a", "b", "com", "www", "x-y"])
+    host = lambda most: ".".join(label() for _ in range(rng.randrange(1, most)))
+    path = lambda most: "".join(rng.choice(["/", "a", "b", "/en"]) for _ in range(rng.randrange(most)))
+    rules = [urls.Rule(rng.choice(["allow", "block"]), host(4), rng.choice(["", "/", "/" + path(4)])) for _ in range(60)]
+    rules += [urls.Rule("allow", "both.com", "/x"), urls.Rule("block", "both.com", "/x"), urls.Rule("block", "com", "x")]
+    rows = [(host(7), rng.choice(["", "/" + path(6)])) for _ in range(400)] + [("", "/a"), ("", ""), ("..", "/"), ("both.com", "/xy"), ("ab.com", ""), ("a.", "/"), (".".join(["a"] * 500), "/")]
+    df = spark.createDataFrame([(*r, i, "k") for i, r in enumerate(rows)], "host string, path string, i int, _key string")
+
+    def plain(host, path):
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = max(fits, key=lambda r: (len(r.text), r.verdict == "allow"), default=None)
+        return (len(best.text), best.verdict) if best else None
+
+    table = spark.createDataFrame([*rules, (None, "a", ""), *rules[:9]], "verdict string, host string, path string")
+    got = {r.i: (len(r.rule), r.own) if r.own else None for r in urls.ruled(df, table, "rule", "own").collect()}
+    assert got == {i: plain(*r) for i, r in enumerate(rows)} and len({*got.values()}) > 8
+    listed = {r.i: (len(r.rule), r.own) if r.own else None for r in urls.ruled(df, rules, "rule", "own").collect()}
+    assert listed == got
+    many = spark.range(100_000).select(F.lit("block").alias("verdict"), F.concat(F.lit("h"), F.col("id") % 50_000, F.lit(".test")).alias("host"), F.concat(F.lit("/"), F.col("id") % 2).alias("path"))
+    pages = spark.createDataFrame([(1, "http://www.h7.test/1", None), (2, "http://h7.test/2", None), (3, "http://h50001.test/1", None), (4, None, None), (5, "http://ok.test/", '<link rel=canonical href="http://h9.test/1x">')], "page_id long, url string, html string")
+    got = {r.page_id: (r.rule, r.verdict, r.via) for r in urls.url_verdicts(pages, many).collect()}
+    assert got == {1: ("h7.test/1", "block", "rule"), 2: (None, "allow", "none"), 3: (None, "allow", "none"), 4: (None, "allow", "none"), 5: (None, "block", "alias")}
+    assert urls.url_verdicts(pages, many.limit(0)).where("verdict = 'allow'").count() == 5

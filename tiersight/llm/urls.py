@@ -62,6 +62,43 @@ def rule_columns(rules: list[Rule], host: Column, path: Column) -> tuple[Column,
     return text, verdict
 
 
+def _by_join(rows: DataFrame, rules: DataFrame, text: str, verdict: str) -> DataFrame:
+    """As `ruled`, for a table of rules: each name meets the rules of its host's suffixes by the starts of its path.
+
+    Only suffixes of as many labels as rules have, and starts of as many letters as the rules of that host, are
+    tried, each in an equal join. A host and path is judged once, however many rows have it.
+    """
+    tidy = rules.select("verdict", F.coalesce("host", F.lit("")).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"))
+    # of rules alike in host and path the one that allows counts
+    tidy = tidy.where("verdict is not null").groupBy("r_host", "r_path").agg(F.min("verdict").alias("verdict"))
+    sizes = tidy.groupBy("r_host").agg(F.collect_set(F.length("r_path")).alias("sizes"))
+    most = tidy.agg(F.max(F.size(F.split("r_host", r"\."))).alias("n")).first().n or 0
+    key = free_name("_key", rows)
+    # names without a host fit no rule that has one, and are dealt out
+    nowhere = F.concat(F.lit("#"), F.monotonically_increasing_id() % 4096)
+    keyed = rows.withColumn(key, F.when(F.col("host") != "", F.concat("host", "path")).otherwise(nowhere))
+    once = rows.select("host", "path").where("host <> ''").distinct()
+    labels = F.split("host", r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(most, 1)))), lambda k: F.array_join(F.slice(labels, -k, k), "."))
+    tried = once.select("host", "path", F.explode(tails).alias("r_host")).join(sizes, "r_host")
+    tried = tried.select("host", "path", "r_host", F.explode(F.filter("sizes", lambda n: n <= F.length("path"))).alias("n")).select("host", "path", "r_host", F.substr(F.col("path"), F.lit(1), F.col("n")).alias("r_path"))
+    found = tried.join(tidy, ["r_host", "r_path"])
+    best = F.max(F.struct((F.length("r_host") + F.length("r_path")).alias("n"), (F.col("verdict") == "allow").alias("allows"), F.concat("r_host", "r_path").alias("text"), "verdict")).alias("x")
+    judged = found.groupBy("host", "path").agg(best).select(F.concat("host", "path").alias(key), F.col("x.text").alias(text), F.col("x.verdict").alias(verdict))
+    return keyed.join(judged, key, "left").drop(key)
+
+
+def ruled(rows: DataFrame, rules: list[Rule] | DataFrame, text: str, verdict: str) -> DataFrame:
+    """Rows (host, path, ...) with text and verdict of the longest rule that fits, allow before block at equal length; else null.
+
+    A list of rules becomes one expression, without a shuffle; a table of them (verdict, host, path), of any size, is joined.
+    """
+    if isinstance(rules, DataFrame):
+        return _by_join(rows, rules, text, verdict)
+    t, v = rule_columns(rules, F.col("host"), F.col("path"))
+    return rows.withColumns({text: t, verdict: v})
+
+
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 REFRESH = re.compile(r"""^[\s\d.]*[;,]?\s*url\s*=\s*(?:"([^"]*)|'([^']*)|(.*))""", re.I | re.S)
 
@@ -135,10 +172,11 @@ def node(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(part(url, 1), part(url, 2), part(url, 3)))
 
 
-def url_verdicts(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: list[Rule] | DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """All columns of `pages`, and host, path, rule, verdict and via.
 
-    redirects: more links (url, target) from a crawl's log. via says what decided: rule, alias or
+    rules: a list, or a table (verdict, host, path) for block lists of any size. redirects: more links
+    (url, target) from a crawl's log. via says what decided: rule, alias or
     none. A url that no rule fits gets block if a name reachable over links is blocked and none is
     allowed; otherwise allow. Null urls and urls without `://` have empty host and path, fit no rule
     and are allowed. Repeated rows are judged alike. A column of `pages` named like a new one is
@@ -150,7 +188,7 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], redirects: DataFrame | Non
     edges = links.select(node(F.col("url")).alias("a"), node(resolved(F.col("url"), F.col("base"), F.col("target"))).alias("b"))
     names = components(edges)
     full = F.concat(F.lit("x://"), F.col("node"))
-    judged = names.select("node", "component", rule_columns(rules, part(full, 1), part(full, 2))[1].alias("own"))
+    judged = ruled(names.select("node", "component", part(full, 1).alias("host"), part(full, 2).alias("path")), rules, "rule", "own").select("node", "component", "own")
     groups = judged.groupBy("component").agg(
         F.when(F.bool_or(F.col("own") == "allow"), "allow").when(F.bool_or(F.col("own") == "block"), "block").alias("alias_verdict")
     )
@@ -158,10 +196,9 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], redirects: DataFrame | Non
     alias = judged.join(groups, "component").where("alias_verdict is not null").select(F.col("node").alias(name), F.col("alias_verdict").alias(other))
     taken = [f"`{c}`" for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "via")]
     host, path = part(F.col("url"), 1), part(F.col("url"), 2)
-    text, verdict = rule_columns(rules, F.col("host"), F.col("path"))
     # names never hold a #, so rows without one are dealt out and meet nothing
     nowhere = F.concat(F.lit("#"), F.monotonically_increasing_id() % 4096)
     rows = pages.select(*taken, host.alias("host"), path.alias("path"), F.coalesce(node(F.col("url")), nowhere).alias(name))
-    out = rows.select("*", text.alias("rule"), verdict.alias(own)).join(alias, name, "left")
+    out = ruled(rows, rules, "rule", own).join(alias, name, "left")
     via = F.when(F.col(own).isNotNull(), "rule").when(F.col(other).isNotNull(), "alias").otherwise("none")
     return out.select(*taken, "host", "path", "rule", F.coalesce(own, other, F.lit("allow")).alias("verdict"), via.alias("via"))
