@@ -1,4 +1,4 @@
-from tiersight.operators import gazetteers, matching
+from tiersight.operators import gazetteers, matching, ranks
 
 
 def test_leaves_are_placed_by_prefix(spark):
@@ -26,3 +26,10 @@ def test_places_of_a_list(spark):
     places = [(1, "u", "Hay Salam", None), (2, "u", "hay  salam", ""), (3, "u", " ", None), (4, "u", "Bd. Zerktouni", "x"), (5, None, "Oasis", None), (6, "w", "Oasis", None), (7, "u", "FES", "y"), (8, "u", "", "فاس"), (9, "v", "Hay Salam", None), (10, "u", "Routes", None), (11, "u", "Hay Salam", "ب")]
     got = {r.row: r.state for r in gazetteers.place_states(spark.createDataFrame(places, "row int, unit string, fr string, ar string"), units).collect()}
     assert got == {1: "kept", 2: "repeat", 3: "unnamed", 4: "street", 5: "outside", 6: "outside", 7: "unit", 8: "unit", 9: "kept", 10: "kept", 11: "kept"}
+
+
+def test_short_lists(spark):
+    rows = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 7.0), ("a", 3, 7.0), ("a", 4, None), ("b", 1, 1.0), *[("c", i, 1.0) for i in range(4)], ("d", 1, None), (None, 1, 2.0)], "s string, code int, v double")
+    got = sorted((r.s, r.place, r.code) for r in ranks.short_lists(rows, "s", "v", ["code"], 3).collect())
+    assert got == [("a", 1, 2), ("a", 2, 3), ("a", 3, 1), ("b", 1, 1)]
+    assert ranks.short_lists(rows.limit(0), "s", "v", ["code"]).collect() == []

@@ -62,6 +62,17 @@ def best_of(rows: DataFrame, by: list[str], order: list[Column], n: int = 1) ->
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
 
 
+def short_lists(rows: DataFrame, section: str, value: str, ties: list[str], most: int = 100) -> DataFrame:
+    """Rows with `place`, highest value first, of the sections that `most` rows or fewer are in; rows without a value are in none.
+
+    Sections are counted before their rows meet, so that no long one is ordered.
+    """
+    known = rows.where(F.col(value).isNotNull() & F.col(section).isNotNull())
+    short = known.groupBy(section).agg(F.count("*").alias("_n")).where(F.col("_n") <= most).select(section)
+    order = Window.partitionBy(section).orderBy(F.col(value).desc(), *ties)
+    return known.join(short, section, "left_semi").withColumn("place", F.row_number().over(order))
+
+
 def unique_slugs(rows: DataFrame, slug: str, code: str) -> DataFrame:
     """Slugs that several rows share get their code's digits."""
     shared = F.count("*").over(Window.partitionBy(slug)) > 1

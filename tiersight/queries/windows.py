@@ -197,6 +197,14 @@ def peer_median_split(spark, sf_dir):
     return customer.join(F.broadcast(middle), "c_nationkey").where("c_acctbal <> middle").select(F.col("c_custkey").alias("code"), half.alias("half"))
 
 
+@query("""WITH m AS (SELECT p_name AS section, p_partkey AS code, p_brand AS name, CASE WHEN p_size > 10 THEN p_retailprice END AS value FROM part), k AS (SELECT * FROM m WHERE value IS NOT NULL)
+SELECT section, code, name, value, row_number() OVER (PARTITION BY section ORDER BY value DESC, name, code) AS place FROM k WHERE section IN (SELECT section FROM k GROUP BY 1 HAVING count(*) <= 25)""")
+def short_lists(spark, sf_dir):
+    """Names of parts that few have, each with its parts, dearest first."""
+    rows = Tables(spark, sf_dir).part.select(F.col("p_name").alias("section"), F.col("p_partkey").alias("code"), F.col("p_brand").alias("name"), F.when(F.col("p_size") > 10, F.col("p_retailprice")).alias("value"))
+    return ranks.short_lists(rows, "section", "value", ["name", "code"], 25).select("section", "code", "name", "value", F.col("place").cast("long").alias("place"))
+
+
 @query("""WITH s AS (SELECT lower(replace(p_name, ' ', '-')) AS slug, p_partkey AS code FROM part)
 SELECT code, CASE WHEN count(*) OVER (PARTITION BY slug) > 1 THEN slug || '-' || code ELSE slug END AS slug FROM s""")
 def unique_slugs(spark, sf_dir):
