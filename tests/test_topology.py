@@ -1,9 +1,11 @@
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tiersight import registry
 from tiersight.operators import topology
 
 SCHEMA = "part string, unit long, ring int, seq int, x double, y double"
@@ -126,3 +128,23 @@ def test_rings_that_the_grid_flattens_are_refused(spark):
     with pytest.raises(ValueError, match="2 ring 0"):
         topology.built(table(spark, rings), 50)
     assert topology.built(table(spark, rings), 100_000).arcs.count() == 2
+
+
+def test_cells_are_as_small_in_a_wide_part(spark):
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]
+    rings = {(u, 0): [(x, y + far) for x, y in square] for u, far in ((1, 0.0), (2, 7.0), (3, 60_000.0))}
+    area = lambda found: sorted(round(shoelace([(p.x, p.y) for p in r.points]), 6) for r in topology.rings_of(found).collect())
+    assert area(topology.built(table(spark, rings), 100_001, 0.001)) == [1.0, 1.0, 1.0]
+    assert area(topology.built(table(spark, rings), 100_001)) != [1.0, 1.0, 1.0]
+
+
+@pytest.mark.parametrize("name", ["topology_of_squares"])
+def test_squares_of_far_suppliers(spark, tmp_path, name):
+    keys = [1, 2, 3, 13, 2999, 60_001, 60_002, 60_011]
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    df = registry.queries()[name](spark, str(tmp_path))
+    want = duck.execute(registry.oracle_sql()[name])
+    at = [d[0] for d in want.description]
+    assert sorted(tuple(r[c] for c in at) for r in df.collect()) == sorted(want.fetchall())

@@ -29,12 +29,14 @@ class Topology(NamedTuple):
     grid: DataFrame
 
 
-def quantised(rings: DataFrame, steps: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def quantised(rings: DataFrame, steps: int = 100_000, widest: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Rings' points (part, unit, ring, seq, x, y) on a grid of `steps` by `steps` over each part: (points, grid).
 
-    Points that fall on the one before, and the last where it repeats the first, are left out.
+    widest: the grid of a part that would have wider cells gets more steps, so that places are as exact in a part of any
+    extent. Points that fall on the one before, and the last where it repeats the first, are left out.
     """
-    width = lambda c: F.coalesce(F.nullif((F.max(c) - F.min(c)) / (steps - 1), F.lit(0.0)), F.lit(1.0))
+    even = lambda c: (F.max(c) - F.min(c)) / (steps - 1)
+    width = lambda c: F.coalesce(F.nullif(even(c) if widest is None else F.least(even(c), F.lit(widest)), F.lit(0.0)), F.lit(1.0))
     grid = rings.groupBy("part").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), width("x").alias("kx"), width("y").alias("ky"))
     cell = lambda c: F.floor((F.col(c) - F.col(f"{c}0")) / F.col(f"k{c}") + 0.5).cast("long")
     own = Window.partitionBy("part", "unit", "ring")
@@ -57,14 +59,14 @@ def _cut(points: list[tuple], joints: list[bool]) -> list[list[tuple]]:
     return [turned[a : b + 1] for a, b in zip(edges, edges[1:])]
 
 
-def built(rings: DataFrame, steps: int = 100_000) -> Topology:
-    """The topology of rings (part, unit, ring, seq, x, y), each part on a grid of its own.
+def built(rings: DataFrame, steps: int = 100_000, widest: float | None = None) -> Topology:
+    """The topology of rings (part, unit, ring, seq, x, y), each part on a grid of its own (`quantised`).
 
     part: what is written as one document, such as a region; rings: numbered within their unit. A ring
     that the grid leaves without three different points is an error that names its unit, as its area
     would be lost; so a unit that has rings is covered.
     """
-    points, grid = quantised(rings, steps)
+    points, grid = quantised(rings, steps, widest)
     own = Window.partitionBy("part", "unit", "ring")
     points = stage(points)
     lost = [f"{r.unit} ring {r.ring}" for r in degenerate(points).select("unit", "ring").orderBy("unit", "ring").limit(20).collect()]

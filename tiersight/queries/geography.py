@@ -81,6 +81,10 @@ def dissolved_outlines(spark, sf_dir):
     return places.outlines(sides).groupBy("grp").agg(F.count("*").alias("sides"))
 
 
+#: All squares are one part, which grows with the table; cells of the grid don't.
+WIDEST = 0.001
+
+
 def square_rings(t: Tables):
     """Corners of the squares as rings of one part."""
     cells = t.supplier.where("s_suppkey % 6 <> 0").select(F.col("s_suppkey").alias("unit"), (F.col("s_suppkey") % 10).alias("cx"), F.floor(F.col("s_suppkey") / 10).alias("cy"))
@@ -92,7 +96,7 @@ def square_rings(t: Tables):
 @query(SQUARES_SQL + ", u AS (SELECT unit, x1, y1, x2, y2, count(*) OVER (PARTITION BY x1, y1, x2, y2) AS n FROM seg) SELECT unit, 4 AS sides, sum((n > 1)::INTEGER)::BIGINT AS shared, 1.0::DOUBLE AS area FROM u GROUP BY unit")
 def topology_of_squares(spark, sf_dir):
     """Squares cut into shared arcs, written as steps, and put together again: their sides, how many are shared, and their areas."""
-    found = topology.built(square_rings(Tables(spark, sf_dir)), 100_001)
+    found = topology.built(square_rings(Tables(spark, sf_dir)), 100_001, WIDEST)
     again = found._replace(arcs=topology.summed_steps(topology.steps_of(found.arcs)))
     times = found.uses.groupBy("arc").agg(F.count("*").alias("n"))
     lengths = found.arcs.join(found.grid, "part").select("arc", F.expr("aggregate(sequence(1, size(cells) - 1), 0D, (a, i) -> a + abs(cells[i].x - cells[i - 1].x) * kx + abs(cells[i].y - cells[i - 1].y) * ky)").alias("length"))
