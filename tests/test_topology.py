@@ -138,7 +138,7 @@ def test_cells_are_as_small_in_a_wide_part(spark):
     assert area(topology.built(table(spark, rings), 100_001)) != [1.0, 1.0, 1.0]
 
 
-@pytest.mark.parametrize("name", ["topology_of_squares"])
+@pytest.mark.parametrize("name", ["topology_of_squares", "dissolved_rings"])
 def test_squares_of_far_suppliers(spark, tmp_path, name):
     keys = [1, 2, 3, 13, 2999, 60_001, 60_002, 60_011]
     spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))

@@ -111,7 +111,7 @@ def dissolved_rings(spark, sf_dir):
     """Groups of units as closed rings with holes: area and perimeter."""
     rows = square_rings(Tables(spark, sf_dir))
     groups = rows.select("unit").distinct().withColumn("grp", F.floor(F.col("unit") / 20))
-    nested = topology.nested(topology.dissolved(topology.built(rows, 100_001), groups), 2.0)
+    nested = topology.nested(topology.dissolved(topology.built(rows, 100_001, WIDEST), groups), 2.0)
     around = F.expr("aggregate(sequence(0, size(points) - 2), 0D, (a, i) -> a + abs(points[i + 1].x - points[i].x) + abs(points[i + 1].y - points[i].y))")
     perimeter = nested.groupBy("grp").agg(F.sum(around).alias("perimeter"))
     return topology.features(nested).join(perimeter, "grp").select("grp", half_up(F.col("area"), 3).alias("area"), half_up(F.col("perimeter"), 3).alias("perimeter"))
