@@ -89,3 +89,20 @@ def test_many_fingerprints_in_one_cell(spark):
         x, y = find(a), find(b)
         top[max(x, y)] = min(x, y)
     assert {i: find(i) for i in items} == plain_components(items, near)
+
+
+def test_cells_are_never_broadcast(spark, monkeypatch):
+    """A class has up to 33 cells and 65 midpoints, so their tables are far larger than Spark takes them for."""
+    plans = []
+
+    def stage(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    kept = simhash.stage
+    monkeypatch.setattr(simhash, "stage", stage)
+    classes = spark.range(100).select((F.col("id") % 7 * 3).alias("fp"), F.col("id").alias("rep")).dropDuplicates(["fp"])
+    found = simhash.near_links(classes)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 3 and sum(p.count("SortMergeJoin") for p in plans) >= 3
+    assert not any("Broadcast" in p for p in plans)

@@ -123,18 +123,19 @@ def near_links(classes: DataFrame) -> DataFrame:
     In fuller cells each fingerprint is linked to the smallest rep among those with which it shares
     a midpoint, a fingerprint at one bit or none from both: every such link is within two bits, and
     every pair within two bits shares a midpoint, so no group is expanded into pairs.
+    Cells and midpoints are many times what their table's size tells Spark, so they are never broadcast.
     """
     cells = classes.where("rep is not null").select("fp", "rep", F.explode(grid_cells(popcounts(F.col("fp")))).alias("cell"))
     busy = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stage(cells.join(busy, "cell"))
-    few = shared.where(F.col("n") <= PAIRED)
+    shared = stage(cells.hint("merge").join(busy, "cell"))
+    few = shared.where(F.col("n") <= PAIRED).hint("merge")
     pairs = few.select("cell", F.col("fp").alias("f"), F.col("rep").alias("a")).join(few.select("cell", F.col("fp").alias("g"), F.col("rep").alias("b")), "cell")
     close = pairs.where((F.col("f") < F.col("g")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= 2)).select("a", "b")
     crowded = shared.where(F.col("n") > PAIRED).select("fp", "rep").distinct()
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - ((i == 63) << 64))) for i in range(64)])
     mids = stage(crowded.select("rep", F.explode(flips).alias("mid")))
     hubs = mids.groupBy("mid").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").select("mid", "b")
-    return close.unionAll(mids.join(hubs, "mid").where("rep <> b").select(F.col("rep").alias("a"), "b"))
+    return close.unionAll(mids.hint("merge").join(hubs, "mid").where("rep <> b").select(F.col("rep").alias("a"), "b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
