@@ -2,8 +2,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tiersight.operators import places
+from tiersight.operators.ranks import best_of
 
 
 def ring_edges(unit, corners):
@@ -73,3 +75,26 @@ def test_odd_coordinates_and_no_rows(spark):
     assert [tuple(r) for r in places.placed(points.where("point in (1, 5)"), rings.where("unit = 1"), 1.5).orderBy("point").collect()] == [(1, 1, 1), (5, None, 0)]
     levels = [rings.where("false"), rings.where("unit = 1")]
     assert {(r.point, r.unit) for r in places.finest(points.where("point in (1, 5)"), levels, 1.5).collect()} == {(1, 1), (5, None)}
+
+
+def test_nearest_of_crowded_places(spark, monkeypatch):
+    """Units and points that share places, or are dense, give few pairs, and the nearest of all pairs."""
+    rng = np.random.default_rng(5)
+    dense = [(float(a), float(b)) for a, b in np.round(rng.uniform(0, 0.2, (300, 2)), 3)] + [(1.0 + float(a), float(b)) for a, b in np.round(rng.uniform(0, 4, (40, 2)), 1)]
+    spot = [dense[i % len(dense)] for i in range(3000)]
+    units = spark.createDataFrame([(i, *p) for i, p in enumerate(spot)] + [(-1, None, 0.0)], "code long, lat double, lng double")
+    asked = [(float(a), float(b)) for a, b in np.round(rng.uniform(0, 0.2, (60, 2)), 3)] + [(float(a), float(b)) for a, b in np.round(rng.uniform(-2, 6, (200, 2)), 1)] + dense[:20]
+    points = spark.createDataFrame([(k, *asked[k % len(asked)]) for k in range(900)] + [(-1, 0.0, None)], "point long, lat double, lng double")
+    met, within = [], places.within
+
+    def counted(*args):
+        out = within(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(places, "within", counted)
+    got = {r.point: (r.code, round(r.km, 9)) for r in places.nearest(points, units, 20.5).collect()}
+    best = best_of(within(points, units, 20.5), ["point"], [F.asc("km"), F.asc("code")])
+    want = {r.point: (r.code, round(r.km, 9)) for r in best.collect()}
+    assert got == want and 300 < len(want) < 900
+    assert sum(met) * 50 < within(points, units, 20.5).count()

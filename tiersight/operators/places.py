@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tiersight.functions.geo import DEGREE_KM, haversine
 from tiersight.operators.ranks import best_of
+from tiersight.operators.staging import stage
 
 
 def near(units: DataFrame, lat: float, lng: float, radius_km: float, limit: int = 10) -> DataFrame:
@@ -35,8 +36,29 @@ def within(points: DataFrame, units: DataFrame, radius_km: float, widest_lat: fl
     return pairs.withColumn("km", haversine(F.col("plat"), F.col("plng"), F.col("lat"), F.col("lng"))).where(F.col("km") <= radius_km).select("point", "code", "km")
 
 
+#: Shares of the reach within which the nearest is looked for, one after the other.
+REACHES = (1 / 64, 1 / 8, 1.0)
+
+
 def nearest(points: DataFrame, units: DataFrame, reach_km: float) -> DataFrame:
-    return best_of(within(points, units, reach_km), ["point"], [F.asc("km"), F.asc("code")])
+    """(point, code, km): each point's nearest unit within reach, the smallest code of equals.
+
+    What is at one place counts once: the units of a place under their smallest code, and places of points.
+    A place that has a unit in a small reach has its nearest there, so that only the others look farther,
+    and a dense map gives no more pairs than a thin one.
+    """
+    at = F.struct("lat", "lng")
+    spots = stage(points.where("lat is not null and lng is not null").groupBy("lat", "lng").agg(F.count("*")).select(at.alias("point"), "lat", "lng"))
+    held = stage(units.groupBy("lat", "lng").agg(F.min("code").alias("code")))
+    first = [F.asc("km"), F.asc("code")]
+    open_, out = spots, None
+    for share in REACHES:
+        found = best_of(within(open_, held, reach_km * share), ["point"], first).select("point.lat", "point.lng", "code", "km")
+        # at the very edge of a small reach, rounding may leave out one of equals
+        found = stage(found if share == 1.0 else found.where(F.col("km") < reach_km * share * (1 - 1e-9)))
+        out = found if out is None else out.unionAll(found)
+        open_ = open_.join(found.select("lat", "lng"), ["lat", "lng"], "left_anti")
+    return best_of(points.join(out, ["lat", "lng"]).select("point", "code", "km"), ["point"], first)
 
 
 #: Where the lines between tiles are, as a share of a tile, so that coordinates with few decimals are not on them.
