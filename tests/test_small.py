@@ -1,11 +1,12 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tiersight.functions import numbers
 from tiersight.functions import text as names
-from tiersight.operators import records, rollups, validators
+from tiersight.operators import records, rollups, textsearch, validators
 from tiersight.queries import recordkeeping
 from tiersight.streaming import demand
 
@@ -64,3 +65,28 @@ def test_daily_counts_of_a_stream(spark, tmp_path):
     written = demand.run_to_table(counts, str(tmp_path / "out"), str(tmp_path / "mark"))
     # the last day stays open until events come that are later than it by the watermark
     assert {tuple(r) for r in written.collect()} == {("2024-01-01", "a", 2), ("2024-01-02", "b", 1)}
+
+
+def test_picker_by_few_and_by_many_queries(spark, monkeypatch):
+    """Both ways of meeting give what a plain scan gives, and few queries need no runs of letters."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abei") for _ in range(rng.randint(1, 5)))
+    rows = [(k, None if k % 50 == 0 else " ".join(word() for _ in range(rng.randint(1, 3))), None if k % 3 else word(), word(), float(k % 7)) for k in range(400)]
+    units = spark.createDataFrame(rows, "code long, name string, arabic string, bones string, people double")
+    asked = sorted({word() for _ in range(90)}) + ["ab e", ""]
+    queries = spark.createDataFrame([(q, q.replace("a", "")) for q in asked], "query string, bones string")
+
+    def plain(q, bones, name, arabic, own):
+        names = [n for n in (name, arabic) if n is not None]
+        tests = [any(n == q for n in names), any(n.startswith(q) for n in names), any(w.startswith(q) for n in names for w in n.split(" ")), len(bones) >= 2 and own.startswith(bones), len(q) >= 3 and any(q in n for n in names)]
+        return next((k for k, t in enumerate(tests) if t), None)
+
+    want = []
+    for q in asked:
+        found = sorted((t, -p, c) for c, name, arabic, own, p in rows if q and (t := plain(q, q.replace("a", ""), name, arabic, own)) is not None)
+        want += [(q, c, t, k + 1) for k, (t, _, c) in enumerate(found[:8])]
+    many = textsearch.picked(units, queries)
+    monkeypatch.setattr(textsearch, "DIRECT", 1000)
+    few = textsearch.picked(units, queries)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect())) == sorted(want)
+    assert "Generate" in many._jdf.queryExecution().optimizedPlan().toString() and "Generate" not in few._jdf.queryExecution().optimizedPlan().toString()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tiersight.functions import text as names
 from tiersight.functions.numbers import half_up
+from tiersight.operators.ranks import best_of
 from tiersight.operators.stored import Stored
 
 #: Scores of the tiers, fixed values.
@@ -258,22 +259,36 @@ def villages(index: VillageIndex | DataFrame, queries: DataFrame, limit: int = 1
     return best.join(total, "query").select("query", "code", "rank", "near", "total", "place")
 
 
+#: A unit's name has about so many runs of letters; up to so many queries are held against each unit without them.
+DIRECT = 64
+
+
 def picked(units: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
     """(query, code, tier, place): units for a picker, the larger first within a tier.
 
     units: code, name, arabic (folded), bones, people; queries: query (folded), bones. Tiers: the whole
     name, its beginning, a word's beginning, equal first consonants (two or more), inside (three letters).
     """
-    asked = queries.where(F.col("query") != "").withColumn("run", F.substring("query", 1, 3))
+    asked = queries.where(F.col("query") != "").groupBy("query").agg(F.collect_set("bones").alias("asked_bones"))
     q = F.col("query")
-    word = lambda c: F.exists(F.split(c, " "), lambda w: w.startswith(q))
+    # a word begins after a space or with the name, and has no space
+    word = lambda c: ~q.contains(" ") & F.concat(F.lit(" "), c).contains(F.concat(F.lit(" "), q))
     either = lambda test: F.coalesce(test(F.col("name")), F.lit(False)) | F.coalesce(test(F.col("arabic")), F.lit(False))
-    tier = F.when(either(lambda c: c == q), 0).when(either(lambda c: c.startswith(q)), 1).when(either(word), 2).when((F.length(q) >= 3) & either(lambda c: c.contains(q)), 4)
-    runs = F.array_distinct(F.concat(_starts(F.coalesce("name", F.lit(""))), _starts(F.coalesce("arabic", F.lit("")))))
-    spelt = units.select("code", "name", "arabic", F.explode(runs).alias("run")).join(asked.select("query", "run"), "run").select("query", "code", tier.alias("tier"))
-    begins = F.transform(F.sequence(F.lit(2), F.greatest(F.length("bones"), F.lit(2))), lambda i: F.substr("bones", F.lit(1), i))
-    heard = units.where(F.length("bones") >= 2).select("code", F.explode(begins).alias("bones")).join(asked.where(F.length("bones") >= 2).select("query", "bones"), "bones")
-    heard = heard.select("query", "code", F.lit(3).alias("tier"))
-    hits = spelt.where("tier is not null").unionAll(heard).groupBy("query", "code").agg(F.min("tier").alias("tier")).join(units.select("code", "people"), "code")
-    w = Window.partitionBy("query").orderBy("tier", F.desc("people"), "code")
-    return hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("query", "code", "tier", "place")
+    inside = (F.length(q) >= 3) & either(lambda c: c.contains(q))
+    tier = lambda heard: F.when(either(lambda c: c == q), 0).when(either(lambda c: c.startswith(q)), 1).when(either(word), 2).when(heard, 3).when(inside, 4)
+    best = lambda hits: best_of(hits.select("query", "code", "tier", "people").where("tier is not null"), ["query"], [F.asc("tier"), F.desc("people"), F.asc("code")], limit)
+    if asked.limit(DIRECT + 1).count() <= DIRECT:
+        heard = F.exists("asked_bones", lambda b: (F.length(b) >= 2) & F.col("bones").startswith(b))
+        # a file of few megabytes is one task's, though each of its rows meets all queries
+        dealt = units.repartition(units.sparkSession.sparkContext.defaultParallelism)
+        hits = best(dealt.crossJoin(F.broadcast(asked)).withColumn("tier", tier(F.coalesce(heard, F.lit(False)))))
+    else:
+        runs = F.array_distinct(F.concat(_starts(F.coalesce("name", F.lit(""))), _starts(F.coalesce("arabic", F.lit("")))))
+        spelt = units.select("code", "name", "arabic", "people", F.explode(runs).alias("run")).join(asked.select("query", F.substring("query", 1, 3).alias("run")), "run")
+        begins = F.transform(F.sequence(F.lit(2), F.greatest(F.length("bones"), F.lit(2))), lambda i: F.substr("bones", F.lit(1), i))
+        heard = units.where(F.length("bones") >= 2).select("code", "people", F.explode(begins).alias("bones")).join(asked.select("query", F.explode("asked_bones").alias("bones")).where(F.length("bones") >= 2), "bones")
+        # what is before a unit in one of the two is before it in both together, so that no more of either counts
+        both = best(spelt.withColumn("tier", tier(F.lit(False)))).unionAll(best(heard.dropDuplicates(["query", "code"]).withColumn("tier", F.lit(3))))
+        hits = best(both.groupBy("query", "code").agg(F.min("tier").alias("tier"), F.first("people").alias("people")))
+    place = F.row_number().over(Window.partitionBy("query").orderBy("tier", F.desc("people"), "code"))
+    return hits.select("query", "code", "tier", place.alias("place"))
