@@ -79,9 +79,7 @@ def fuzzy_gated_join(spark, sf_dir):
     """Pairs in a group whose names are alike or whose sizes are equal."""
     left, right = name_sides(Tables(spark, sf_dir), "size")
     close = alike.alike(left, right, 0.5).select("left", "right", F.col("score").alias("similarity"))
-    a = left.select(F.col("code").alias("left"), "grp", "size", F.col("grams").alias("g1"))
-    b = right.select(F.col("code").alias("right"), "grp", "size", F.col("grams").alias("g2"))
-    equal = a.join(b, ["grp", "size"]).select("left", "right", names.dice(F.col("g1"), F.col("g2")).alias("similarity")).where("similarity < 0.5")
+    equal = alike.scored_equals(left, right, "size").where("score < 0.5").select("left", "right", F.col("score").alias("similarity"))
     return close.unionAll(equal).where("left < right")
 
 
